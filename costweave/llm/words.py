@@ -97,7 +97,7 @@ def shingle_hashes(words: np.ndarray, k: int = K) -> np.ndarray:
         return words
     total = np.zeros(n - width + 1, np.uint64)
     for j in range(width):
-        total += words[j : n - width + 1 + j] * np.uint64((2 * j + 1) * 0xD1342543DE82EF95 & (2**64 - 1))
+        total += words[j : n - width + 1 + j] * np.uint64(pow(0xD1342543DE82EF95, j + 1, 2**64))
     return mix(total, width)
 
 
