@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from costweave.llm import toxicity
+from costweave.llm.decontaminate import contaminated
 from costweave.llm.ngram_jaccard import similar_classes
 from costweave.session import table
 
@@ -13,8 +15,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"))
 
 
+QUERIES["op6_toxicity"] = op6_toxicity
+QUERIES["op8_decontamination"] = op8_decontamination
 QUERIES["op10_ngram_jaccard"] = op10_ngram_jaccard

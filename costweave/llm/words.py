@@ -14,6 +14,8 @@ BLOCK = 1 << 21  # bytes hashed at once
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators for words of letters and digits only: every other ASCII byte.
+LETTERS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
@@ -49,9 +51,9 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw, at - at[0]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of every word; a text's end also ends its word."""
-    solid = ~_SPACE[raw]
+    solid = ~separators[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[offsets] = True
     before = np.empty(len(raw), bool)
@@ -82,10 +84,10 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out)
 
 
-def batch_words(column) -> tuple[np.ndarray, np.ndarray]:
+def batch_words(column, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and where each text's words begin (one more entry at the end)."""
     raw, offsets = text_buffers(column)
-    starts, ends = word_spans(raw, offsets)
+    starts, ends = word_spans(raw, offsets, separators)
     return word_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
 
 
