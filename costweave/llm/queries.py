@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from costweave.llm import chat, packing, quality, toxicity, warc
+from costweave.llm import chat, packing, quality, secrets, toxicity, warc
 from costweave.llm.decontaminate import contaminated
 from costweave.llm.ngram_jaccard import similar_classes
 from costweave.session import table
@@ -27,6 +27,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload", "archive", "target_uri")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", *(F.round(c, 9).alias(c) for c in ("evidence", "prior", "posterior")), "keep")
@@ -51,6 +55,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_chat_format"] = op1_chat_format
 QUERIES["op2_warc"] = op2_warc
+QUERIES["op3_secrets"] = op3_secrets
 QUERIES["op4_quality"] = op4_quality
 QUERIES["op5_packing"] = op5_packing
 QUERIES["op6_toxicity"] = op6_toxicity
