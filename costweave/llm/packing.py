@@ -13,18 +13,25 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from costweave.llm.words import BLOCK, text_buffers
 from costweave.session import stage
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-CACHED = 400_000  # encoded words that a task keeps
+CACHED = 300_000  # encoded words that a Python worker keeps, about
+_parts: dict[str | None, dict[str, bytes]] = {}  # of each tokenizer file; tasks of one worker share them
 RANKED = 200_000  # pieces of one length that one task ranks, about
+# printable ASCII and the letters of Latin-1, upper case and lower case
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# fixed by the vocabulary's pre-tokenizer, over the characters of _PLAIN in lower case
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 _BLANK = re.compile(r"[\t\n\x0b\x0c\r]")
 
 
@@ -35,27 +42,45 @@ def _tokenizer(path: str | None):
     return Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _byte_level() -> dict[int, str]:
+    """Code point below 256 -> how a byte-level vocabulary writes its UTF-8 bytes."""
+    shown = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
 def encoder(path: str | None = None):
     """text -> its ids as little-endian 32-bit bytes, END included.
 
-    The tokenizer drops white space and never joins across it, so each run of other characters is encoded once and remembered.
+    The tokenizer drops white space and never joins across it, so each run of other characters is encoded once and
+    remembered. Runs of printable ASCII and plain Latin letters are lower-cased and split as its pre-tokenizer does, and
+    the parts go to its BPE model directly; every other run goes through the whole tokenizer.
     """
-    tokenizer, known = _tokenizer(path), {"": b""}
+    tokenizer, shown = _tokenizer(path), _byte_level()
+    model = tokenizer.model
+    known: dict[str, bytes] = {"": b""}
+    parts = _parts.setdefault(path, {})
+
+    def part(x: str) -> bytes:
+        ids = array("I", [t.id for t in model.tokenize(x if x.isascii() else x.translate(shown))]).tobytes()
+        parts[x] = ids
+        return ids
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > CACHED:
-            known.clear()
-            known[""] = b""
-        out = []
+        for cache in (known, parts):
+            if len(cache) > CACHED:
+                cache.clear()
+                known[""] = b""
         split = [_BLANK.sub(" ", x).split(" ") for x in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        for words in split:
-            out.append(b"".join([known[w] for w in words]) + END)
-        return out
+        other = []
+        for w in {w for words in split for w in words}.difference(known):
+            if _PLAIN.fullmatch(w) and "<|" not in w:
+                known[w] = b"".join([parts[x] if x in parts else part(x) for x in _PARTS.findall(w.lower())])
+            else:
+                other.append(w)
+        for w, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+        return [b"".join([known[w] for w in words]) + END for words in split]
 
     return encode
 
@@ -65,17 +90,16 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
     def cut(batches):
         encode = encoder(path)
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("").to_pylist()
-            at = 0
-            while at < len(ids):
-                end, chars = at, 0
-                while end < len(ids) and (end == at or chars < 1 << 20):
-                    chars += len(texts[end])
-                    end += 1
-                rows = [(d, k, k * capacity, len(b) // 4, zlib.crc32(b)) for d, x in zip(ids[at:end], encode(texts[at:end]), strict=True) for k in range(-(-len(x) // (4 * capacity))) for b in (x[4 * k * capacity : 4 * (k + 1) * capacity],)]
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-                at = end
+        for whole in batches:
+            sizes = np.diff(text_buffers(whole.column("text"))[1])
+            block = np.cumsum(sizes) // BLOCK  # texts encoded at once
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
+            for at, end in zip(edges[:-1], edges[1:], strict=True):
+                batch = whole.slice(at, end - at)
+                ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("").to_pylist()
+                rows = [(d, k, k * capacity, len(b) // 4, zlib.crc32(b)) for d, x in zip(ids, encode(texts), strict=True) for k in range(-(-len(x) // (4 * capacity))) for b in (x[4 * k * capacity : 4 * (k + 1) * capacity],)]
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
