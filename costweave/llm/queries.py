@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from costweave.llm import chat, packing, quality, secrets, toxicity, warc
+from costweave.llm import chat, media, packing, quality, secrets, toxicity, warc
 from costweave.llm.decontaminate import contaminated
 from costweave.llm.ngram_jaccard import similar_classes
 from costweave.session import table
@@ -45,6 +45,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.media(table(spark, sf_dir, "documents")))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,5 +63,6 @@ QUERIES["op3_secrets"] = op3_secrets
 QUERIES["op4_quality"] = op4_quality
 QUERIES["op5_packing"] = op5_packing
 QUERIES["op6_toxicity"] = op6_toxicity
+QUERIES["op7_media"] = op7_media
 QUERIES["op8_decontamination"] = op8_decontamination
 QUERIES["op10_ngram_jaccard"] = op10_ngram_jaccard
