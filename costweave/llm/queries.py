@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from costweave.llm import chat, media, packing, quality, secrets, toxicity, warc
+from costweave.llm import chat, media, packing, quality, secrets, suffix_dedup, toxicity, warc
 from costweave.llm.decontaminate import contaminated
 from costweave.llm.ngram_jaccard import similar_classes
 from costweave.session import table
@@ -53,6 +53,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"))
 
@@ -65,4 +69,5 @@ QUERIES["op5_packing"] = op5_packing
 QUERIES["op6_toxicity"] = op6_toxicity
 QUERIES["op7_media"] = op7_media
 QUERIES["op8_decontamination"] = op8_decontamination
+QUERIES["op9_suffix_dedup"] = op9_suffix_dedup
 QUERIES["op10_ngram_jaccard"] = op10_ngram_jaccard
