@@ -112,3 +112,9 @@ def classify(docs: DataFrame, labels: DataFrame, host="source", path="lang") ->
     out = joined.select(*(docs[c] for c in docs.columns), evidence.alias("evidence"), prior.alias("prior"))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("prior") / (1 - F.col("prior")))))))
     return out.withColumn("keep", F.col("posterior") >= CUT)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, host="source", path="lang") -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with their own columns, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", host, path)
+    return classify(rows, labels, host, path).where("keep").select("row.*")

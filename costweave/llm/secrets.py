@@ -136,7 +136,10 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["text"], gap).alias("text"))
 
     clean = F.aggregate("secret_spans", zero, step, lambda acc: F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    found = find(docs, train(docs)).withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    names = docs.columns
+    rows = find(docs.select(F.struct("*").alias("row"), "text"), train(docs))
+    hit = F.size("secret_spans") > 0
+    fixed = {"text": F.when(hit, clean).otherwise(F.col("text"))}
+    if "n_chars" in names:
+        fixed["n_chars"] = F.when(hit, F.length(clean).cast("long")).otherwise(F.col("row.n_chars"))
+    return rows.select(*(fixed.get(c, F.col(f"row.`{c}`")).alias(c) for c in names))
