@@ -7,24 +7,202 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costweave.operators import analytics, catalogue, matching
 from costweave.session import table
+from costweave.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def sec_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return (
-        items.join(parts, items.l_partkey == parts.p_partkey)
-        .groupBy(F.col("p_brand").alias("sec_code"))
-        .agg(F.count("*").alias("item_count"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total_amount"))
-    )
+def query(sql: str):
+    """Register a function under its name, with the SQL that must give the same rows (the views are in front of it)."""
 
+    def add(function):
+        QUERIES[function.__name__] = function
+        ORACLES[function.__name__] = views.SQL + sql
+        return function
 
-QUERIES["sec_distribution"] = sec_distribution
-ORACLES["sec_distribution"] = """
-SELECT p_brand AS sec_code, count(*) AS item_count, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total_amount
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand
-"""
+    return add
+
+
+@query("SELECT sec_code, count(*) AS item_count, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount FROM line_items GROUP BY sec_code")
+def sec_distribution(spark, sf_dir):
+    return analytics.by_code(views.line_items(spark, sf_dir))
+
+
+@query("SELECT method, count(*) AS item_count, CAST(sum(confidence) AS DOUBLE) / count(confidence) AS avg_confidence FROM line_items GROUP BY method")
+def classification_breakdown(spark, sf_dir):
+    return analytics.by_method(views.line_items(spark, sf_dir))
+
+
+@query("SELECT file_id, line_number, confidence, sec_code FROM line_items WHERE confidence < 80 OR sec_code IS NULL")
+def needs_review_items(spark, sf_dir):
+    return analytics.needs_review(views.line_items(spark, sf_dir)).select("file_id", "line_number", "confidence", "sec_code")
+
+
+@query("""SELECT CASE WHEN confidence < 80 THEN 'low' WHEN confidence < 95 THEN 'medium' ELSE 'high' END AS band,
+  count(*) AS item_count, min(confidence) AS lowest, max(confidence) AS highest FROM line_items GROUP BY 1""")
+def confidence_band_counts(spark, sf_dir):
+    return analytics.confidence_bands(views.line_items(spark, sf_dir))
+
+
+@query("SELECT CAST(least((confidence // 10) * 10, 90) AS INTEGER) AS range_from, count(*) AS item_count FROM line_items GROUP BY 1")
+def confidence_histogram(spark, sf_dir):
+    return analytics.confidence_histogram(views.line_items(spark, sf_dir))
+
+
+@query(""", f AS (SELECT project_id, count(*) AS file_count FROM files GROUP BY 1),
+i AS (SELECT project_id, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS s FROM files JOIN line_items USING (file_id) GROUP BY 1)
+SELECT p.project_id, project_name, region, coalesce(file_count, 0) AS file_count, coalesce(n, 0) AS item_count, coalesce(s, 0.0) AS total_amount
+FROM projects p LEFT JOIN f USING (project_id) LEFT JOIN i USING (project_id)""")
+def project_summary_view(spark, sf_dir):
+    return analytics.project_summary(views.projects(spark, sf_dir), views.files(spark, sf_dir), views.line_items(spark, sf_dir))
+
+
+@query("""SELECT i.file_id, line_number, description, amount, status, project_name, region
+FROM line_items i LEFT JOIN files f ON i.file_id = f.file_id LEFT JOIN projects p ON f.project_id = p.project_id""")
+def line_items_detailed_view(spark, sf_dir):
+    rows = views.line_items(spark, sf_dir).join(views.files(spark, sf_dir), "file_id", "left").join(views.projects(spark, sf_dir), "project_id", "left")
+    return rows.select("file_id", "line_number", "description", "amount", "status", "project_name", "region")
+
+
+@query(""", s AS (SELECT sec_code, list_sort(list(unit_price)) AS v FROM line_items WHERE unit_price > 0 GROUP BY 1)
+SELECT sec_code, len(v) AS n_prices, v[1] AS min_price, v[len(v)] AS max_price,
+  CASE WHEN len(v) >= 4 THEN v[len(v) // 4 + 1] END AS p25, CASE WHEN len(v) >= 4 THEN v[3 * len(v) // 4 + 1] END AS p75 FROM s""")
+def price_distribution(spark, sf_dir):
+    return analytics.price_distribution(views.line_items(spark, sf_dir))
+
+
+@query("SELECT DISTINCT region FROM projects")
+def available_regions(spark, sf_dir):
+    return analytics.regions(views.projects(spark, sf_dir))
+
+
+@query("""SELECT event_type AS action, count(*) AS n, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) > 50) AS n_large,
+  max(value) AS max_value FROM events GROUP BY 1""")
+def training_log_stats(spark, sf_dir):
+    return analytics.log_stats(table(spark, sf_dir, "events"))
+
+
+_FREQUENCY = ", g AS (SELECT description, unit, count(*) AS frequency, count(DISTINCT file_id) AS n_files FROM line_items GROUP BY 1, 2) "
+
+
+@query(_FREQUENCY + "SELECT * FROM g WHERE frequency >= 2")
+def aggregate_descriptions(spark, sf_dir):
+    return catalogue.aggregate(views.line_items(spark, sf_dir), 2)
+
+
+@query(_FREQUENCY + """SELECT CASE WHEN frequency <= 1 THEN '1' WHEN frequency <= 5 THEN '2-5' WHEN frequency <= 10 THEN '6-10' WHEN frequency <= 50 THEN '11-50' ELSE '50+' END AS bucket,
+  count(*) AS n_items, CAST(sum(frequency) AS BIGINT) AS n_rows FROM g GROUP BY 1""")
+def frequency_buckets(spark, sf_dir):
+    return analytics.frequency_buckets(catalogue.aggregate(views.line_items(spark, sf_dir)))
+
+
+@query(_FREQUENCY + """, c AS (SELECT *, sum(frequency) OVER (ORDER BY frequency DESC, description, unit ROWS UNBOUNDED PRECEDING) - frequency AS before, sum(frequency) OVER () AS whole FROM g)
+SELECT description, unit, frequency, before * 100 < whole * 80 AS is_top FROM c""")
+def pareto_top_items(spark, sf_dir):
+    return catalogue.pareto(catalogue.aggregate(views.line_items(spark, sf_dir)))
+
+
+@query("SELECT description, min(master_id) AS master_id FROM catalogue GROUP BY 1")
+def first_wins_dedup(spark, sf_dir):
+    return catalogue.first_of(views.catalogue(spark, sf_dir), ["description"], ["master_id"]).select("description", "master_id")
+
+
+@query("SELECT description, max(master_id) AS master_id FROM catalogue GROUP BY 1")
+def last_wins_dedup(spark, sf_dir):
+    return catalogue.first_of(views.catalogue(spark, sf_dir), ["description"], [F.desc("master_id")]).select("description", "master_id")
+
+
+_VERSION = ", v AS (SELECT file_id, project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY uploaded_at, file_id) AS INTEGER) AS version FROM files) "
+
+
+@query(_VERSION + "SELECT * FROM v")
+def version_numbers(spark, sf_dir):
+    return catalogue.versions(views.files(spark, sf_dir)).select("file_id", "project_id", "version")
+
+
+_DIFF = _VERSION + """, r AS (SELECT project_id, version, lower(trim(description)) AS item, quantity, CAST(CAST(unit_price AS DECIMAL(18,2)) AS DOUBLE) AS price,
+  row_number() OVER (PARTITION BY project_id, version, lower(trim(description)) ORDER BY line_number DESC, master_id DESC, amount DESC) AS k FROM line_items JOIN v USING (file_id) WHERE version <= 2 AND trim(description) <> ''),
+a AS (SELECT * FROM r WHERE k = 1 AND version = 1), b AS (SELECT * FROM r WHERE k = 1 AND version = 2),
+d AS (SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.item, b.item) AS item, a.quantity AS quantity_old, a.price AS price_old, b.quantity AS quantity_new, b.price AS price_new,
+  CASE WHEN a.item IS NULL THEN 'added' WHEN b.item IS NULL THEN 'removed'
+    WHEN abs(b.quantity - a.quantity) > abs(a.quantity) * CAST(0.01 AS DOUBLE) OR abs(b.price - a.price) > abs(a.price) * CAST(0.05 AS DOUBLE) THEN 'modified' ELSE 'unchanged' END AS status
+  FROM a FULL OUTER JOIN b ON a.project_id = b.project_id AND a.item = b.item) """
+
+
+@query(_DIFF + "SELECT * FROM d")
+def version_diff_items(spark, sf_dir):
+    return catalogue.version_diff(views.line_items(spark, sf_dir), views.files(spark, sf_dir))
+
+
+@query(_DIFF + "SELECT project_id, status, count(*) AS n_items FROM d GROUP BY 1, 2")
+def version_diff_summary(spark, sf_dir):
+    return version_diff_items(spark, sf_dir).groupBy("project_id", "status").agg(F.count("*").alias("n_items"))
+
+
+@query("SELECT master_id, sec_code || '-' || lpad(CAST(row_number() OVER (PARTITION BY sec_code ORDER BY master_id) AS VARCHAR), 4, '0') AS work_code FROM catalogue")
+def next_work_code(spark, sf_dir):
+    return catalogue.next_codes(views.catalogue(spark, sf_dir), "sec_code", ["master_id"]).select("master_id", "work_code")
+
+
+@query(", k AS (SELECT lower(trim(description)) AS key, max(master_id) AS matched_id FROM catalogue GROUP BY 1) SELECT file_id, line_number, matched_id FROM line_items LEFT JOIN k ON lower(trim(description)) = key")
+def exact_match_join(spark, sf_dir):
+    return matching.exact(views.line_items(spark, sf_dir), views.catalogue(spark, sf_dir)).select("file_id", "line_number", "matched_id")
+
+
+@query("SELECT file_id, line_number, description FROM line_items WHERE lower(trim(description)) NOT IN (SELECT lower(trim(description)) FROM catalogue WHERE sec_code = 'Brand#11' AND unit = 'SMALL')")
+def unmatched_items(spark, sf_dir):
+    known = matching.lookup(views.catalogue(spark, sf_dir).where("sec_code = 'Brand#11' and unit = 'SMALL'"))
+    items = views.line_items(spark, sf_dir)
+    return items.join(known, F.lower(F.trim("description")) == F.col("key"), "left_anti").select("file_id", "line_number", "description")
+
+
+_WORDS = "list_distinct(string_split_regex(lower(trim({})), ' +'))"
+_A, _B = _WORDS.format("description"), _WORDS.format("unit || ' ' || sec_code || ' ' || description")
+
+
+@query(f"SELECT master_id, CAST(len(list_intersect({_A}, {_B})) AS DOUBLE) / greatest(len({_A}), len({_B})) AS similarity FROM catalogue")
+def token_overlap_similarity(spark, sf_dir):
+    rows = views.catalogue(spark, sf_dir).withColumn("other", F.concat_ws(" ", "unit", "sec_code", "description"))
+    return rows.select("master_id", matching.overlap("description", "other").alias("similarity"))
+
+
+@query("SELECT master_id, levenshtein(lower(description), lower(unit)) AS distance FROM catalogue")
+def edit_distance(spark, sf_dir):
+    return views.catalogue(spark, sf_dir).select("master_id", F.levenshtein(F.lower("description"), F.lower("unit")).cast("long").alias("distance"))
+
+
+@query("SELECT master_id, description FROM catalogue WHERE sec_code LIKE 'Brand#1%'")
+def glob_code_search(spark, sf_dir):
+    return views.catalogue(spark, sf_dir).where(F.col("sec_code").like("Brand#1*".replace("*", "%"))).select("master_id", "description")
+
+
+@query("SELECT master_id, description FROM catalogue WHERE description ILIKE '%RED%'")
+def contains_search(spark, sf_dir):
+    return views.catalogue(spark, sf_dir).where(F.col("description").ilike("%RED%")).select("master_id", "description")
+
+
+_RAW = """, raw AS (SELECT file_id, line_number, CASE WHEN file_id % 17 = 0 THEN ' nan ' ELSE description END AS description,
+  CASE WHEN file_id % 13 = 0 THEN 0.0 WHEN file_id % 11 = 0 THEN -quantity ELSE quantity END AS quantity, unit_price, amount FROM line_items),
+c AS (SELECT file_id, line_number, trim(description) AS description, quantity * unit_price AS amount,
+  concat_ws('; ', CASE WHEN quantity < 0 THEN 'Negative quantity' END, CASE WHEN quantity = 0 THEN 'Zero quantity' END, CASE WHEN unit_price < 0 THEN 'Negative price' END,
+    CASE WHEN amount <> 0 AND abs(amount - quantity * unit_price) > CAST(0.01 AS DOUBLE) * abs(amount) THEN 'Amount mismatch' END) AS issues FROM raw WHERE lower(trim(description)) NOT IN ('', 'nan')) """
+
+
+def _raw(spark, sf_dir):
+    """Line items with defects: the given tables have none."""
+    f = F.col("file_id")
+    bad = F.when(f % 13 == 0, 0.0).when(f % 11 == 0, -F.col("quantity")).otherwise(F.col("quantity"))
+    return views.line_items(spark, sf_dir).withColumns({"description": F.when(f % 17 == 0, " nan ").otherwise(F.col("description")), "quantity": bad})
+
+
+@query(_RAW + "SELECT * FROM c")
+def clean_line_items(spark, sf_dir):
+    return matching.clean(_raw(spark, sf_dir)).select("file_id", "line_number", "description", "amount", "issues")
+
+
+@query(_RAW + "SELECT issues, count(*) AS n FROM c GROUP BY 1")
+def validation_issue_counts(spark, sf_dir):
+    return matching.clean(_raw(spark, sf_dir)).groupBy("issues").agg(F.count("*").alias("n"))
