@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from costweave.sources.views import money
 
 PARETO = 80  # percent of all rows
 QUANTITY_CHANGE, PRICE_CHANGE = 0.01, 0.05
@@ -45,7 +44,7 @@ def version_diff(items: DataFrame, files: DataFrame) -> DataFrame:
     key = F.lower(F.trim("description"))
     rows = items.join(numbered, "file_id").withColumn("item", key).where("item <> ''")
     last = first_of(rows, ["project_id", "version", "item"], [F.desc("line_number"), F.desc("master_id"), F.desc("amount")])
-    old, new = (last.where(F.col("version") == v).select("project_id", "item", F.col("quantity").alias(f"quantity_{n}"), money("unit_price").cast("double").alias(f"price_{n}")) for v, n in ((1, "old"), (2, "new")))
+    old, new = (last.where(F.col("version") == v).select("project_id", "item", F.col("quantity").alias(f"quantity_{n}"), F.col("unit_price").alias(f"price_{n}")) for v, n in ((1, "old"), (2, "new")))
     pairs = old.join(new, ["project_id", "item"], "full_outer")
     far = lambda a, b, most: F.abs(F.col(b) - F.col(a)) > F.abs(F.col(a)) * most
     status = F.when(F.col("quantity_old").isNull(), "added").when(F.col("quantity_new").isNull(), "removed").when(far("quantity_old", "quantity_new", QUANTITY_CHANGE) | far("price_old", "price_new", PRICE_CHANGE), "modified").otherwise("unchanged")

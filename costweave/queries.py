@@ -123,7 +123,7 @@ def version_numbers(spark, sf_dir):
     return catalogue.versions(views.files(spark, sf_dir)).select("file_id", "project_id", "version")
 
 
-_DIFF = _VERSION + """, r AS (SELECT project_id, version, lower(trim(description)) AS item, quantity, CAST(CAST(unit_price AS DECIMAL(18,2)) AS DOUBLE) AS price,
+_DIFF = _VERSION + """, r AS (SELECT project_id, version, lower(trim(description)) AS item, quantity, unit_price AS price,
   row_number() OVER (PARTITION BY project_id, version, lower(trim(description)) ORDER BY line_number DESC, master_id DESC, amount DESC) AS k FROM line_items JOIN v USING (file_id) WHERE version <= 2 AND trim(description) <> ''),
 a AS (SELECT * FROM r WHERE k = 1 AND version = 1), b AS (SELECT * FROM r WHERE k = 1 AND version = 2),
 d AS (SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.item, b.item) AS item, a.quantity AS quantity_old, a.price AS price_old, b.quantity AS quantity_new, b.price AS price_new,
