@@ -71,3 +71,45 @@ def frequency_buckets(frequencies: DataFrame) -> DataFrame:
     f = F.col("frequency")
     bucket = F.when(f <= 1, "1").when(f <= 5, "2-5").when(f <= 10, "6-10").when(f <= 50, "11-50").otherwise("50+")
     return frequencies.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n_items"), F.sum("frequency").alias("n_rows"))
+
+
+def price_histogram(items: DataFrame, buckets: int) -> DataFrame:
+    """Equal-width buckets from the least to the largest price, empty ones too; the last one is open above, so no price is lost."""
+    prices = items.where("unit_price > 0").select("unit_price")
+    span = prices.agg(F.min("unit_price").alias("low"), F.max("unit_price").alias("high")).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    edge = lambda i: F.col("low") + i * ((F.col("high") - F.col("low")) / buckets)
+    edges = span.select("bucket", edge(F.col("bucket")).alias("bucket_from"), edge(F.col("bucket") + 1).alias("bucket_to"))
+    inside = (F.col("unit_price") >= F.col("bucket_from")) & ((F.col("unit_price") < F.col("bucket_to")) | (F.col("bucket") == buckets - 1))
+    counts = prices.join(F.broadcast(edges), inside).groupBy("bucket").agg(F.count("*").alias("n"))  # one row a bucket is broadcast
+    return edges.join(counts, "bucket", "left").select("bucket", "bucket_from", "bucket_to", F.coalesce("n", F.lit(0)).alias("n_prices"))
+
+
+def prices_by(prices: DataFrame, keys: list[str], since: str, until: str) -> DataFrame:
+    """Count, range and median of the positive prices of a period."""
+    at = F.col("recorded_at")
+    rows = prices.where((F.col("unit_price") > 0) & (at >= F.lit(since).cast("timestamp")) & (at <= F.lit(until).cast("timestamp")))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_prices"), F.min("unit_price").alias("min_price"), F.max("unit_price").alias("max_price"), F.percentile("unit_price", 0.5).alias("median_price"))
+
+
+def gate_counts(items: DataFrame, key: str) -> DataFrame:
+    """Items by quality gate: green from 90, yellow from 60, red below."""
+    c = F.col("confidence")
+    return items.groupBy(key).agg(F.count("*").alias("n_items"), F.count_if(c >= 90).alias("green"), F.count_if((c >= 60) & (c < 90)).alias("yellow"), F.count_if(c < 60).alias("red"))
+
+
+def dashboard(projects: DataFrame, files: DataFrame, items: DataFrame) -> DataFrame:
+    """One row of totals; the cross joins are of one-row frames."""
+    review = F.count_if((F.col("confidence") < REVIEW_BELOW) | F.col("sec_code").isNull())
+    rows = items.agg(F.count("*").alias("n_items"), review.alias("n_review"), F.count_distinct("sec_code").alias("n_codes"), total("amount").alias("total_amount"))
+    sizes = projects.agg(F.count("*").alias("n_projects")).crossJoin(files.agg(F.count("*").alias("n_files")))
+    return sizes.crossJoin(rows)
+
+
+def project_stats(items: DataFrame) -> DataFrame:
+    mean = F.sum("confidence") / F.count("confidence")
+    method = lambda m: F.count_if(F.col("method") == m)
+    return items.groupBy("project_id").agg(F.count("*").alias("n_items"), total("amount").alias("total_amount"), mean.alias("avg_confidence"), method("A").alias("n_auto"), method("R").alias("n_manual"))
+
+
+def master_stats(catalogue: DataFrame) -> DataFrame:
+    return catalogue.groupBy("sec_code").agg(F.count("*").alias("n_masters"), F.count_distinct("description").alias("n_descriptions"), F.min("ref_price").alias("lowest"), F.max("ref_price").alias("highest"))

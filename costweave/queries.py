@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costweave.operators import analytics, catalogue, matching
+from costweave.functions import text
+from costweave.operators import analytics, cascade, catalogue, hierarchy, matching
 from costweave.session import table
 from costweave.sources import views
 
@@ -206,3 +207,145 @@ def clean_line_items(spark, sf_dir):
 @query(_RAW + "SELECT issues, count(*) AS n FROM c GROUP BY 1")
 def validation_issue_counts(spark, sf_dir):
     return matching.clean(_raw(spark, sf_dir)).groupBy("issues").agg(F.count("*").alias("n"))
+
+
+# Tiered matching. The catalogue knows the descriptions of some brands only; synonyms are their words in reverse order.
+_CASCADE = """, known AS (SELECT * FROM catalogue WHERE sec_code IN ('Brand#11', 'Brand#12') AND master_id % 3 = 0),
+syn AS (SELECT master_id, description || ' type' AS synonym FROM catalogue WHERE sec_code = 'Brand#13'),
+items AS (SELECT file_id, line_number, CASE WHEN line_number % 3 = 1 THEN description || ' type' WHEN line_number % 3 = 2 THEN split_part(description, ' ', 2) || ' ' || split_part(description, ' ', 1) ELSE description END AS description FROM line_items),
+e AS (SELECT lower(trim(description)) AS k, max(master_id) AS id FROM known GROUP BY 1),
+s AS (SELECT lower(trim(synonym)) AS k, max(master_id) AS id FROM syn GROUP BY 1),
+t AS (SELECT array_to_string(list_sort(list_distinct(string_split_regex(lower(trim(description)), ' +'))), ' ') AS k, max(master_id) AS id FROM known GROUP BY 1),
+m AS (SELECT file_id, line_number, CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN s.id IS NOT NULL THEN 'synonym' WHEN t.id IS NOT NULL THEN 'token' ELSE 'new' END AS stage, coalesce(e.id, s.id, t.id) AS matched_id
+  FROM items i LEFT JOIN e ON lower(trim(i.description)) = e.k LEFT JOIN s ON lower(trim(i.description)) = s.k
+  LEFT JOIN t ON array_to_string(list_sort(list_distinct(string_split_regex(lower(trim(i.description)), ' +'))), ' ') = t.k) """
+
+
+def _cascaded(spark, sf_dir):
+    masters, words = views.catalogue(spark, sf_dir), F.split("description", " ")
+    known = masters.where("sec_code in ('Brand#11', 'Brand#12') and master_id % 3 = 0")
+    synonyms = masters.where("sec_code = 'Brand#13'").select("master_id", F.concat("description", F.lit(" type")).alias("synonym"))
+    part = F.col("line_number") % 3
+    text = F.when(part == 1, F.concat("description", F.lit(" type"))).when(part == 2, F.concat_ws(" ", words[1], words[0])).otherwise(F.col("description"))
+    items = views.line_items(spark, sf_dir).select("file_id", "line_number", text.alias("description"))
+    return cascade.cascade(items, known, synonyms)
+
+
+@query(_CASCADE + "SELECT * FROM m")
+def tier_cascade(spark, sf_dir):
+    return _cascaded(spark, sf_dir).select("file_id", "line_number", "stage", "matched_id")
+
+
+@query(_CASCADE + "SELECT file_id, line_number, matched_id FROM m WHERE stage = 'synonym'")
+def synonym_match_join(spark, sf_dir):
+    return _cascaded(spark, sf_dir).where("stage = 'synonym'").select("file_id", "line_number", "matched_id")
+
+
+@query(_CASCADE + """, tiers AS (SELECT * FROM (VALUES (0, 'exact'), (1, 'synonym'), (2, 'token')) AS v(ord, stage)),
+r AS (SELECT ord, tiers.stage, count(m.stage) AS resolved FROM tiers LEFT JOIN m ON m.stage = tiers.stage GROUP BY 1, 2),
+i AS (SELECT stage, resolved, CAST((SELECT count(*) FROM m) - coalesce(sum(resolved) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS items_in FROM r)
+SELECT stage, items_in, resolved, CASE WHEN items_in > 0 THEN resolved / CAST(items_in AS DOUBLE) ELSE 0.0 END AS hit_rate FROM i""")
+def funnel_stage_metrics(spark, sf_dir):
+    return cascade.stage_metrics(_cascaded(spark, sf_dir))
+
+
+@query("""SELECT file_id, line_number, 'PRJ.' || project_id || '-TEMP-' || CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 3, '0') ELSE CAST(k AS VARCHAR) END AS temp_code
+FROM (SELECT file_id, line_number, project_id, row_number() OVER (PARTITION BY project_id ORDER BY file_id, line_number) AS k FROM line_items JOIN files USING (file_id))""")
+def temp_codes(spark, sf_dir):
+    rows = views.line_items(spark, sf_dir).join(views.files(spark, sf_dir).select("file_id", "project_id"), "file_id")
+    return cascade.temp_codes(rows, "project_id", ["file_id", "line_number"]).select("file_id", "line_number", "temp_code")
+
+
+@query(_FREQUENCY + """, r AS (SELECT *, row_number() OVER (PARTITION BY split_part(description, ' ', 1), unit ORDER BY length(trim(description)) < 3, frequency DESC, length(description) DESC, description) AS k,
+  CAST(sum(frequency) OVER (PARTITION BY split_part(description, ' ', 1), unit) AS BIGINT) AS total_frequency FROM g)
+SELECT split_part(description, ' ', 1) AS cluster, unit, description, frequency, total_frequency FROM r WHERE k = 1""")
+def elect_canonical(spark, sf_dir):
+    rows = catalogue.aggregate(views.line_items(spark, sf_dir)).withColumn("cluster", F.split("description", " ")[0])
+    return cascade.elect_canonical(rows, ["cluster", "unit"]).select("cluster", "unit", "description", "frequency", "total_frequency")
+
+
+@query("""SELECT file_id, line_number, array_to_string(list_sort(list(other)), '|') AS neighbours FROM (SELECT a.file_id, a.line_number, a.k, b.line_number || ':' || b.description AS other FROM
+  (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_number, master_id, amount) AS k FROM line_items) a JOIN
+  (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_number, master_id, amount) AS k FROM line_items) b ON a.file_id = b.file_id AND b.k - a.k BETWEEN -2 AND 2 AND a.k <> b.k) GROUP BY 1, 2, k""")
+def neighbors_window(spark, sf_dir):
+    return hierarchy.neighbours(views.line_items(spark, sf_dir), "file_id", ["line_number", "master_id", "amount"]).select("file_id", "line_number", F.array_join("neighbours", "|").alias("neighbours"))
+
+
+_PRICES = """, p AS (SELECT unit_price AS x FROM line_items WHERE unit_price > 0), e AS (SELECT min(x) AS low, max(x) AS high, count(*) AS n FROM p),
+edges AS (SELECT CAST(i AS INTEGER) AS bucket, low + i * ((high - low) / 10) AS bucket_from, low + (i + 1) * ((high - low) / 10) AS bucket_to, n FROM e, range(10) AS r(i)) """
+
+
+@query(_PRICES + """SELECT bucket, bucket_from, bucket_to, count(x) AS n_prices FROM edges LEFT JOIN p ON x >= bucket_from AND (x < bucket_to OR bucket = 9) GROUP BY 1, 2, 3""")
+def price_histogram(spark, sf_dir):
+    return analytics.price_histogram(views.line_items(spark, sf_dir), 10)
+
+
+@query("""SELECT i.file_id, line_number, unit_price, recorded_at, project_name, region FROM line_items i JOIN files f ON i.file_id = f.file_id JOIN projects p ON f.project_id = p.project_id
+WHERE region = 'ASIA' AND recorded_at >= TIMESTAMP '1997-01-01' ORDER BY recorded_at DESC, i.file_id, line_number, unit_price LIMIT 50 OFFSET 100""")
+def price_sources_page(spark, sf_dir):
+    prices = views.price_history(spark, sf_dir).where((F.col("region") == "ASIA") & (F.col("recorded_at") >= F.lit("1997-01-01").cast("timestamp")))
+    page = prices.orderBy(F.desc("recorded_at"), "file_id", "line_number", "unit_price").offset(100).limit(50)
+    return page.select("file_id", "line_number", "unit_price", "recorded_at", "project_name", "region")
+
+
+@query("""SELECT region, project_type, count(*) AS n_prices, min(unit_price) AS min_price, max(unit_price) AS max_price, quantile_cont(unit_price, 0.5) AS median_price
+FROM line_items JOIN files USING (file_id) JOIN projects USING (project_id) WHERE unit_price > 0 AND recorded_at >= TIMESTAMP '1996-01-01' AND recorded_at <= TIMESTAMP '1999-12-31' GROUP BY 1, 2""")
+def price_distribution_filtered(spark, sf_dir):
+    return analytics.prices_by(views.price_history(spark, sf_dir), ["region", "project_type"], "1996-01-01", "1999-12-31")
+
+
+_TREE = """, links AS (SELECT r_name AS code, NULL AS parent FROM region UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT DISTINCT n_name || '/' || c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey) """
+
+
+@query(_TREE + """SELECT code, parent, CAST(CASE WHEN parent IS NULL THEN 1 WHEN strpos(code, '/') > 0 THEN 3 ELSE 2 END AS INTEGER) AS level,
+  CASE WHEN parent IS NULL THEN code WHEN strpos(code, '/') > 0 THEN (SELECT any_value(u.parent) FROM links u WHERE u.code = links.parent) || ' > ' || parent || ' > ' || code ELSE parent || ' > ' || code END AS path FROM links""")
+def sec_tree_recursive(spark, sf_dir):
+    return hierarchy.tree(views.code_links(spark, sf_dir))
+
+
+@query("SELECT vec_id, label, n_id FROM (SELECT a.vec_id, a.label, b.vec_id AS n_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE k <= 5")
+def vector_topk(spark, sf_dir):
+    return hierarchy.vector_topk(table(spark, sf_dir, "embeddings"), 5).select("vec_id", "label", "n_id")
+
+
+# Work-item states and quality of rows.
+@query("""SELECT f.status, count(*) AS n_items, count(*) FILTER (WHERE confidence >= 90) AS green, count(*) FILTER (WHERE confidence >= 60 AND confidence < 90) AS yellow,
+  count(*) FILTER (WHERE confidence < 60) AS red FROM line_items JOIN files f USING (file_id) GROUP BY 1""")
+def work_item_stats(spark, sf_dir):
+    return analytics.gate_counts(views.line_items(spark, sf_dir).join(views.files(spark, sf_dir).select("file_id", "status"), "file_id"), "status")
+
+
+@query("""SELECT (SELECT count(*) FROM projects) AS n_projects, (SELECT count(*) FROM files) AS n_files, count(*) AS n_items, count(*) FILTER (WHERE confidence < 80 OR sec_code IS NULL) AS n_review,
+  count(DISTINCT sec_code) AS n_codes, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount FROM line_items""")
+def dashboard_stats(spark, sf_dir):
+    return analytics.dashboard(views.projects(spark, sf_dir), views.files(spark, sf_dir), views.line_items(spark, sf_dir))
+
+
+@query("""SELECT project_id, count(*) AS n_items, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount, CAST(sum(confidence) AS DOUBLE) / count(confidence) AS avg_confidence,
+  count(*) FILTER (WHERE method = 'A') AS n_auto, count(*) FILTER (WHERE method = 'R') AS n_manual FROM line_items JOIN files USING (file_id) GROUP BY 1""")
+def project_stats(spark, sf_dir):
+    return analytics.project_stats(views.line_items(spark, sf_dir).join(views.files(spark, sf_dir).select("file_id", "project_id"), "file_id"))
+
+
+@query("SELECT sec_code, count(*) AS n_masters, count(DISTINCT description) AS n_descriptions, min(ref_price) AS lowest, max(ref_price) AS highest FROM catalogue GROUP BY 1")
+def master_stats(spark, sf_dir):
+    return analytics.master_stats(views.catalogue(spark, sf_dir))
+
+
+@query("SELECT master_id, description FROM catalogue WHERE starts_with(sec_code, 'Brand#2')")
+def prefix_search(spark, sf_dir):
+    return views.catalogue(spark, sf_dir).where(F.col("sec_code").startswith("Brand#2")).select("master_id", "description")
+
+
+_FOLD = "translate(lower(text), 'àáâäãåçèéêëìíîïñòóôöõùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+
+
+@query(f"SELECT doc_id, md5({_FOLD}) AS folded_md5 FROM documents WHERE text IS NOT NULL")
+def fold_diacritics(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(text.fold("text")).alias("folded_md5"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches({_FOLD}, '(^|[^a-z0-9])(eeai|fur|e)($|[^a-z0-9])')")
+def fold_keyword_match(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(text.has_word("text", ["eeai", "fur", "e"])).select("doc_id")

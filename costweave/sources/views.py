@@ -39,6 +39,20 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the project that paid the price."""
+    return line_items(spark, sf_dir).join(files(spark, sf_dir).select("file_id", "project_id"), "file_id").join(projects(spark, sf_dir), "project_id")
+
+
+def code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(code, parent) of a three-level code system: region, nation, market segment in a nation."""
+    regions, nations = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    top = regions.select(F.col("r_name").alias("code"), F.lit(None).cast("string").alias("parent"))
+    middle = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    low = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", "n_name", "c_mktsegment"), "n_name").distinct()
+    return top.union(middle).union(low)
+
+
 #: The same views for SQL engines, as common table expressions.
 SQL = """
 WITH projects AS (
