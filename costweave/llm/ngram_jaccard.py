@@ -2,7 +2,7 @@
 
 Documents with the same set are one class; classes with the same size and the same prefix (the rarest shingles, as
 many as the threshold requires) are one group. Groups meet on prefix shingles under size and position filters, are
-expanded to their classes and verified on whole sets. A bucket of m classes gives 2 m candidate pairs first (each with
+expanded to their classes and verified on whole sets; the classes of a group also meet in a bucket of their own. A bucket of m classes gives 2 m candidate pairs first (each with
 its neighbour by size and with its first one); only pairs that are still in different components are tried after that,
 so a group of near copies never becomes all its pairs. A bucket is cut into runs of sizes wherever the size filter
 rules out every pair across the cut; pairs tried last must share as many prefix shingles as the threshold leaves open.
@@ -178,7 +178,10 @@ def similar_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     found = stage(components(links), "components")
 
     # what is left: classes of one bucket in different components; rounds of few pairs merge most of them first
-    slots = stage(shared.select("tok", "gid", "n", "pos").join(members.select("gid", "rep"), "gid").select("tok", "rep", "n", "pos"), "slots")
+    met = shared.select("tok", "gid", "n", "pos").join(members.select("gid", "rep"), "gid").select("tok", "rep", "n", "pos")
+    # classes of one group share their whole prefix, whether or not another group has any of it: a bucket of their own
+    own = members.where("size > 1").select(F.xxhash64("gid", F.lit("group")).alias("tok"), "rep", "n", F.lit(-1).alias("pos"))
+    slots = stage(met.union(own), "slots")
 
     def mixed(found: DataFrame) -> DataFrame:
         wide = slots.join(found, slots.rep == found.node, "left").select("tok", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))

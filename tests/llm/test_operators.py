@@ -48,6 +48,33 @@ def test_jaccard_against_all_pairs(spark):
     assert {r.doc_id for r in kept.collect()} == set(root.values())
 
 
+def linked(texts):
+    """Smallest id of every text's component, from all pairs."""
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0:
+                ra, rb = root[a], root[b]
+                root = {k: min(ra, rb) if v in (ra, rb) else v for k, v in root.items()}
+    return root
+
+
+def components_of(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in ngram_jaccard.similar_classes(docs).collect()}
+
+
+def test_jaccard_inside_groups_no_other_group_meets(spark):
+    rng, texts = random.Random(11), {}
+    for k in range(60):
+        a = [f"t{k}x{rng.random()}" for _ in range(13)]
+        b = [*a[:9], "other", *a[10:]]
+        texts |= {10 * k: " ".join(a), 10 * k + 1: " ".join(b), 10 * k + 2: " ".join([*b[:12], "last"])}
+    want = linked(texts)
+    assert all(want[10 * k + 2] == 10 * k + 1 for k in range(60))
+    assert components_of(spark, texts) == want
+
+
 def test_suffix_dedup_against_all_windows(spark):
     rows, docs = documents(spark)
     raw, starts = {i: (t or "").encode() for i, t in rows}, defaultdict(list)
