@@ -1,11 +1,12 @@
 """N-gram Jaccard join: grouped prefix join over distinct 5-word shingles, and its connected classes.
 
-Documents with the same set are one class; classes with the same size and the same prefix (the rarest shingles, as
-many as the threshold requires) are one group. Groups meet on prefix shingles under size and position filters, are
-expanded to their classes and verified on whole sets; the classes of a group also meet in a bucket of their own. A bucket of m classes gives 2 m candidate pairs first (each with
-its neighbour by size and with its first one); only pairs that are still in different components are tried after that,
-so a group of near copies never becomes all its pairs. A bucket is cut into runs of sizes wherever the size filter
-rules out every pair across the cut; pairs tried last must share as many prefix shingles as the threshold leaves open.
+Documents with the same set are one class; classes with the same size and the same prefix (the rarest shingles, as many
+as the threshold requires) are one group. Groups meet on prefix shingles under size and position filters, are expanded
+to their classes and verified on whole sets; the classes of a group also meet in a bucket of their own. A bucket of m
+classes gives 2 m candidate pairs first (each with its neighbour by size and with its first one); only pairs that are
+still in different components are tried after that, so a group of near copies never becomes all its pairs. A bucket is
+cut into runs of sizes wherever the size filter rules out every pair across the cut; pairs of two groups tried last must
+share as many prefix shingles as the threshold leaves open.
 
 Rows with null or wordless text have an empty set and stand alone. Repeated rows give repeated result rows. A null
 doc_id gets the component of its class's smallest id, or null. Empty tables give empty results.
@@ -178,13 +179,13 @@ def similar_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     found = stage(components(links), "components")
 
     # what is left: classes of one bucket in different components; rounds of few pairs merge most of them first
-    met = shared.select("tok", "gid", "n", "pos").join(members.select("gid", "rep"), "gid").select("tok", "rep", "n", "pos")
+    met = shared.select("tok", "gid", "n", "pos").join(members.select("gid", "rep"), "gid").select("tok", "gid", "rep", "n", "pos")
     # classes of one group share their whole prefix, whether or not another group has any of it: a bucket of their own
-    own = members.where("size > 1").select(F.xxhash64("gid", F.lit("group")).alias("tok"), "rep", "n", F.lit(-1).alias("pos"))
+    own = members.where("size > 1").select(F.xxhash64("gid", F.lit("group")).alias("tok"), "gid", "rep", "n", F.lit(-1).alias("pos"))
     slots = stage(met.union(own), "slots")
 
     def mixed(found: DataFrame) -> DataFrame:
-        wide = slots.join(found, slots.rep == found.node, "left").select("tok", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
+        wide = slots.join(found, slots.rep == found.node, "left").select("tok", "gid", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
         apart = wide.groupBy("tok").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("tok")
         return stage(wide.join(apart, "tok", "left_semi"), "mixed")
 
@@ -202,13 +203,15 @@ def similar_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         links = links.union(more)
         found = stage(components(links), "components")
         wide = mixed(found)
-    left, right = (wide.select("tok", *(F.col(c).alias(f"{c}{i}") for c in ("rep", "n", "c"))) for i in (1, 2))
-    pairs = left.join(right, "tok").where((F.col("c1") != F.col("c2")) & (F.struct("n1", "rep1") < F.struct("n2", "rep2")) & (F.col("n1") * 100 >= F.col("n2") * threshold))
+    left, right = (wide.select("tok", *(F.col(c).alias(f"{c}{i}") for c in ("gid", "rep", "n", "pos", "c"))) for i in (1, 2))
+    # pairs of one group come from its own bucket alone, once, and share their whole prefix
+    together = F.col("gid1") == F.col("gid2")
+    pairs = left.join(right, "tok").where((together == (F.col("pos1") < 0)) & (F.col("c1") != F.col("c2")) & (F.struct("n1", "rep1") < F.struct("n2", "rep2")) & (F.col("n1") * 100 >= F.col("n2") * threshold))
     # what two sets share beyond their prefixes is less than the longer remainder, the prefixes must share the rest
-    rest = pairs.groupBy(F.col("rep1").alias("a"), F.col("rep2").alias("b")).agg(F.count("*").alias("shared"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+    rest = pairs.groupBy(F.col("rep1").alias("a"), F.col("rep2").alias("b")).agg(F.count("*").alias("shared"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(together).alias("together"))
     least = F.ceil((F.col("n1") + F.col("n2")) * threshold / (100 + threshold) - 1e-9)
     beyond = F.ceil(F.col("n2") * threshold / 100 - 1e-9) - 1
-    rest = rest.where(F.col("shared") + beyond >= least).select("a", "b")
+    rest = rest.where(F.col("together") | (F.col("shared") + beyond >= least)).select("a", "b")
     rest = stage(plausible(base, rest.join(tried, ["a", "b"], "left_anti"), threshold), "rest")
     if not rest.isEmpty():
         more = stage(verify(docs, rest, threshold), "links")

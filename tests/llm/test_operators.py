@@ -5,9 +5,12 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from costweave.llm import decontaminate, ngram_jaccard, packing, quality, queries, secrets, suffix_dedup
+from costweave.llm.words import batch_shingles
 from costweave.session import table
 
 DATA = "/root/testdata/sf0.001"
@@ -75,6 +78,25 @@ def test_jaccard_inside_groups_no_other_group_meets(spark):
     assert components_of(spark, texts) == want
 
 
+def test_jaccard_inside_groups_that_share_one_shingle_with_another(spark):
+    rng, texts, found = random.Random(12), {}, 0
+    while found < 4:
+        a = [f"t{rng.random()}" for _ in range(34)]
+        b = [*a[:16], "other", *a[17:]]
+        triple = [" ".join(x) for x in (a, b, [*b[:33], "last"])]
+        hashes = [own.tolist() for own in np.split(*(lambda h, at: (h, at[1:-1]))(*batch_shingles(pa.array(triple))))]
+        prefixes = [sorted(own)[:7] for own in hashes]
+        k = hashes[0].index(prefixes[0][0])
+        fresh = [f"t{rng.random()}" for _ in range(14)]
+        beside = " ".join([*fresh, *a[k : k + 5], *(f"t{rng.random()}" for _ in range(15))])
+        if prefixes[0] == prefixes[1] == prefixes[2] and prefixes[0][0] in sorted(batch_shingles(pa.array([beside]))[0].tolist())[:7]:
+            texts |= {10 * found + i: t for i, t in enumerate([*triple, beside])}
+            found += 1
+    want = linked(texts)
+    assert all(want[10 * k + 2] == 10 * k + 1 for k in range(found))
+    assert components_of(spark, texts) == want
+
+
 def test_suffix_dedup_against_all_windows(spark):
     rows, docs = documents(spark)
     raw, starts = {i: (t or "").encode() for i, t in rows}, defaultdict(list)
