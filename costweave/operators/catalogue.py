@@ -38,17 +38,38 @@ def versions(files: DataFrame) -> DataFrame:
     return files.withColumn("version", F.row_number().over(Window.partitionBy("project_id").orderBy("uploaded_at", "file_id")))
 
 
+def _last_lines(items: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The last line of every item, by lower-cased trimmed description, in a version."""
+    rows = items.join(numbered, "file_id").withColumn("item", F.lower(F.trim("description"))).where("item <> ''")
+    return first_of(rows, ["project_id", "version", "item"], [F.desc("line_number"), F.desc("master_id"), F.desc("amount")])
+
+
+def _with_status(pairs: DataFrame) -> DataFrame:
+    far = lambda a, b, most: F.abs(F.col(b) - F.col(a)) > F.abs(F.col(a)) * most
+    status = F.when(F.col("quantity_old").isNull(), "added").when(F.col("quantity_new").isNull(), "removed").when(far("quantity_old", "quantity_new", QUANTITY_CHANGE) | far("price_old", "price_new", PRICE_CHANGE), "modified").otherwise("unchanged")
+    return pairs.withColumn("status", status)
+
+
 def version_diff(items: DataFrame, files: DataFrame) -> DataFrame:
     """Items of a project's first version against its second one, by lower-cased trimmed description; last line wins."""
     numbered = versions(files).where("version <= 2").select("file_id", "project_id", "version")
-    key = F.lower(F.trim("description"))
-    rows = items.join(numbered, "file_id").withColumn("item", key).where("item <> ''")
-    last = first_of(rows, ["project_id", "version", "item"], [F.desc("line_number"), F.desc("master_id"), F.desc("amount")])
+    last = _last_lines(items, numbered)
     old, new = (last.where(F.col("version") == v).select("project_id", "item", F.col("quantity").alias(f"quantity_{n}"), F.col("unit_price").alias(f"price_{n}")) for v, n in ((1, "old"), (2, "new")))
-    pairs = old.join(new, ["project_id", "item"], "full_outer")
-    far = lambda a, b, most: F.abs(F.col(b) - F.col(a)) > F.abs(F.col(a)) * most
-    status = F.when(F.col("quantity_old").isNull(), "added").when(F.col("quantity_new").isNull(), "removed").when(far("quantity_old", "quantity_new", QUANTITY_CHANGE) | far("price_old", "price_new", PRICE_CHANGE), "modified").otherwise("unchanged")
-    return pairs.withColumn("status", status)
+    return _with_status(old.join(new, ["project_id", "item"], "full_outer"))
+
+
+def version_diffs(items: DataFrame, files: DataFrame) -> DataFrame:
+    """Items of every version from a project's second one on against the version before it; last line wins.
+
+    A version without any line has all items of the one before it removed; nothing follows a project's newest version.
+    """
+    numbered = versions(files).select("file_id", "project_id", "version")
+    last = _last_lines(items, numbered)
+    newest = numbered.groupBy("project_id").agg(F.max("version").alias("newest"))
+    old = last.join(newest, "project_id").where("version < newest").withColumn("version", F.col("version") + 1)
+    new = last.where("version > 1")
+    old, new = (x.select("project_id", "version", "item", F.col("quantity").alias(f"quantity_{n}"), F.col("unit_price").alias(f"price_{n}")) for x, n in ((old, "old"), (new, "new")))
+    return _with_status(old.join(new, ["project_id", "version", "item"], "full_outer"))
 
 
 def next_codes(rows: DataFrame, prefix: str, order: list[str]) -> DataFrame:

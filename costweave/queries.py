@@ -143,6 +143,27 @@ def version_diff_summary(spark, sf_dir):
     return version_diff_items(spark, sf_dir).groupBy("project_id", "status").agg(F.count("*").alias("n_items"))
 
 
+_DIFFS = _VERSION + """, r AS (SELECT project_id, version, lower(trim(description)) AS item, quantity, unit_price AS price,
+  row_number() OVER (PARTITION BY project_id, version, lower(trim(description)) ORDER BY line_number DESC, master_id DESC, amount DESC) AS k FROM line_items JOIN v USING (file_id) WHERE trim(description) <> ''),
+n AS (SELECT project_id, max(version) AS newest FROM v GROUP BY 1),
+a AS (SELECT project_id, version + 1 AS version, item, quantity, price FROM r JOIN n USING (project_id) WHERE k = 1 AND version < newest), b AS (SELECT * FROM r WHERE k = 1 AND version > 1),
+d AS (SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.version, b.version) AS version, coalesce(a.item, b.item) AS item,
+  a.quantity AS quantity_old, a.price AS price_old, b.quantity AS quantity_new, b.price AS price_new,
+  CASE WHEN a.item IS NULL THEN 'added' WHEN b.item IS NULL THEN 'removed'
+    WHEN abs(b.quantity - a.quantity) > abs(a.quantity) * CAST(0.01 AS DOUBLE) OR abs(b.price - a.price) > abs(a.price) * CAST(0.05 AS DOUBLE) THEN 'modified' ELSE 'unchanged' END AS status
+  FROM a FULL OUTER JOIN b ON a.project_id = b.project_id AND a.version = b.version AND a.item = b.item) """
+
+
+@query(_DIFFS + "SELECT * FROM d")
+def version_diff_all_items(spark, sf_dir):
+    return catalogue.version_diffs(views.line_items(spark, sf_dir), views.files(spark, sf_dir))
+
+
+@query(_DIFFS + "SELECT project_id, version, status, count(*) AS n_items FROM d GROUP BY 1, 2, 3")
+def version_diff_all_summary(spark, sf_dir):
+    return version_diff_all_items(spark, sf_dir).groupBy("project_id", "version", "status").agg(F.count("*").alias("n_items"))
+
+
 @query("SELECT master_id, sec_code || '-' || lpad(CAST(row_number() OVER (PARTITION BY sec_code ORDER BY master_id) AS VARCHAR), 4, '0') AS work_code FROM catalogue")
 def next_work_code(spark, sf_dir):
     return catalogue.next_codes(views.catalogue(spark, sf_dir), "sec_code", ["master_id"]).select("master_id", "work_code")
