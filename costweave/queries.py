@@ -330,6 +330,11 @@ def vector_topk(spark, sf_dir):
     return hierarchy.vector_topk(table(spark, sf_dir, "embeddings"), 5).select("vec_id", "label", "n_id")
 
 
+@query("SELECT vec_id, label, n_id FROM (SELECT a.vec_id, a.label, b.vec_id AS n_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE k <= 5")
+def vector_topk_all(spark, sf_dir):
+    return hierarchy.vector_topk(table(spark, sf_dir, "embeddings"), 5, in_label=False).select("vec_id", "label", "n_id")
+
+
 # Work-item states and quality of rows.
 @query("""SELECT f.status, count(*) AS n_items, count(*) FILTER (WHERE confidence >= 90) AS green, count(*) FILTER (WHERE confidence >= 60 AND confidence < 90) AS yellow,
   count(*) FILTER (WHERE confidence < 60) AS red FROM line_items JOIN files f USING (file_id) GROUP BY 1""")

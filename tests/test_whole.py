@@ -1,6 +1,6 @@
 """Small inputs on which a part of the job would give other rows."""
 
-from costweave.operators import catalogue
+from costweave.operators import catalogue, hierarchy
 
 
 def test_every_version_meets_the_one_before(spark):
@@ -9,3 +9,10 @@ def test_every_version_meets_the_one_before(spark):
     items = spark.createDataFrame([(f, 1, 1, d, q, 2.0, q) for f, d, q in lines], "file_id long, line_number long, master_id long, description string, quantity double, unit_price double, amount double")
     got = {(r.project_id, r.version, r["item"], r.status) for r in catalogue.version_diffs(items, files).collect()}
     assert got == {(1, 2, "pipe", "unchanged"), (1, 3, "pipe", "modified"), (1, 3, "valve", "added"), (1, 4, "pipe", "removed"), (1, 4, "valve", "removed")}
+
+
+def test_nearest_vectors_of_other_labels_and_none(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "VECTOR_BLOCK", 2)
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 1), (3, [0.0, 1.0], 0), (4, [0.1, 1.0], None), (5, [-1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
+    got = {(r.vec_id, r.label, r.n_id) for r in hierarchy.vector_topk(vectors, 1, in_label=False).collect()}
+    assert got == {(1, 0, 2), (2, 1, 1), (3, 0, 4), (4, None, 3), (5, 1, 3)}
