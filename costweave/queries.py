@@ -262,14 +262,62 @@ def synonym_match_join(spark, sf_dir):
     return _cascaded(spark, sf_dir).where("stage = 'synonym'").select("file_id", "line_number", "matched_id")
 
 
-@query(_CASCADE + """, tiers AS (SELECT * FROM (VALUES (0, 'exact'), (1, 'synonym'), (2, 'token')) AS v(ord, stage)),
+_METRICS = """, tiers AS (SELECT * FROM (VALUES (0, 'exact'), (1, 'synonym'), (2, 'token')) AS v(ord, stage)),
 r AS (SELECT ord, tiers.stage, count(m.stage) AS resolved FROM tiers LEFT JOIN m ON m.stage = tiers.stage GROUP BY 1, 2),
 i AS (SELECT stage, resolved, CAST((SELECT count(*) FROM m) - coalesce(sum(resolved) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS items_in FROM r)
-SELECT stage, items_in, resolved, CASE WHEN items_in > 0 THEN resolved / CAST(items_in AS DOUBLE) ELSE 0.0 END AS hit_rate FROM i""")
+SELECT stage, items_in, resolved, CASE WHEN items_in > 0 THEN resolved / CAST(items_in AS DOUBLE) ELSE 0.0 END AS hit_rate FROM i"""
+
+
+@query(_CASCADE + _METRICS)
 def funnel_stage_metrics(spark, sf_dir):
     return cascade.stage_metrics(_cascaded(spark, sf_dir))
 
 
+# The same against the whole catalogue and all its synonyms; what no tier knows are descriptions with a word of their own.
+_CASCADE_ALL = """, items AS (SELECT file_id, line_number, CASE WHEN line_number = 7 THEN description || ' bespoke' WHEN line_number % 3 = 1 THEN description || ' type'
+  WHEN line_number % 3 = 2 THEN split_part(description, ' ', 2) || ' ' || split_part(description, ' ', 1) ELSE description END AS description FROM line_items),
+e AS (SELECT lower(trim(description)) AS k, max(master_id) AS id FROM catalogue GROUP BY 1),
+s AS (SELECT lower(trim(description || ' type')) AS k, max(master_id) AS id FROM catalogue GROUP BY 1),
+t AS (SELECT array_to_string(list_sort(list_distinct(string_split_regex(lower(trim(description)), ' +'))), ' ') AS k, max(master_id) AS id FROM catalogue GROUP BY 1),
+m AS (SELECT file_id, line_number, i.description, CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN s.id IS NOT NULL THEN 'synonym' WHEN t.id IS NOT NULL THEN 'token' ELSE 'new' END AS stage, coalesce(e.id, s.id, t.id) AS matched_id
+  FROM items i LEFT JOIN e ON lower(trim(i.description)) = e.k LEFT JOIN s ON lower(trim(i.description)) = s.k
+  LEFT JOIN t ON array_to_string(list_sort(list_distinct(string_split_regex(lower(trim(i.description)), ' +'))), ' ') = t.k) """
+
+
+def _altered(spark, sf_dir):
+    """Line items whose descriptions are written as a synonym, in reverse, with a word no catalogue has, or as they are."""
+    line, words = F.col("line_number"), F.split("description", " ")
+    text = F.when(line == 7, F.concat("description", F.lit(" bespoke"))).when(line % 3 == 1, F.concat("description", F.lit(" type")))
+    text = text.when(line % 3 == 2, F.concat_ws(" ", words[1], words[0])).otherwise(F.col("description"))
+    return views.line_items(spark, sf_dir).select("file_id", "line_number", text.alias("description"))
+
+
+def _cascaded_all(spark, sf_dir):
+    masters = views.catalogue(spark, sf_dir)
+    return cascade.cascade(_altered(spark, sf_dir), masters, masters.select("master_id", F.concat("description", F.lit(" type")).alias("synonym")))
+
+
+@query(_CASCADE_ALL + "SELECT file_id, line_number, stage, matched_id FROM m")
+def tier_cascade_all(spark, sf_dir):
+    return _cascaded_all(spark, sf_dir).select("file_id", "line_number", "stage", "matched_id")
+
+
+@query(_CASCADE_ALL + "SELECT file_id, line_number, matched_id FROM m WHERE stage = 'synonym'")
+def synonym_match_join_all(spark, sf_dir):
+    return _cascaded_all(spark, sf_dir).where("stage = 'synonym'").select("file_id", "line_number", "matched_id")
+
+
+@query(_CASCADE_ALL + _METRICS)
+def funnel_stage_metrics_all(spark, sf_dir):
+    return cascade.stage_metrics(_cascaded_all(spark, sf_dir))
+
+
+@query(_CASCADE_ALL + "SELECT file_id, line_number, description FROM items WHERE lower(trim(description)) NOT IN (SELECT k FROM e)")
+def unmatched_items_all(spark, sf_dir):
+    known = matching.lookup(views.catalogue(spark, sf_dir))
+    return _altered(spark, sf_dir).join(known, F.lower(F.trim("description")) == F.col("key"), "left_anti").select("file_id", "line_number", "description")
+
+
 @query("""SELECT file_id, line_number, 'PRJ.' || project_id || '-TEMP-' || CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 3, '0') ELSE CAST(k AS VARCHAR) END AS temp_code
 FROM (SELECT file_id, line_number, project_id, row_number() OVER (PARTITION BY project_id ORDER BY file_id, line_number) AS k FROM line_items JOIN files USING (file_id))""")
 def temp_codes(spark, sf_dir):

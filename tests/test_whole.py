@@ -1,5 +1,6 @@
 """Small inputs on which a part of the job would give other rows."""
 
+from costweave import queries
 from costweave.operators import catalogue, hierarchy
 
 
@@ -16,3 +17,15 @@ def test_nearest_vectors_of_other_labels_and_none(spark, monkeypatch):
     vectors = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 1), (3, [0.0, 1.0], 0), (4, [0.1, 1.0], None), (5, [-1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     got = {(r.vec_id, r.label, r.n_id) for r in hierarchy.vector_topk(vectors, 1, in_label=False).collect()}
     assert got == {(1, 0, 2), (2, 1, 1), (3, 0, 4), (4, None, 3), (5, 1, 3)}
+
+
+def test_items_meet_the_whole_catalogue(spark):
+    data = "/root/testdata/sf0.001"
+    items, masters = queries.views.line_items(spark, data), queries.views.catalogue(spark, data)
+    known = {r.description.lower() for r in masters.collect()}
+    stages = {(r.file_id, r.line_number, r.stage) for r in queries.tier_cascade_all(spark, data).collect()}
+    assert {s for _, line, s in stages if line % 3 == 0} == {"exact"}
+    assert {s for _, line, s in stages if line == 7} == {"new"}
+    assert {s for _, line, s in stages if line in (1, 4)} == {"synonym"}
+    assert all(r.description.lower() not in known for r in queries.unmatched_items_all(spark, data).collect())
+    assert queries.unmatched_items_all(spark, data).where("line_number = 7").count() == items.where("line_number = 7").count()
