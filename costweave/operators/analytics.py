@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from costweave.session import stage
 from costweave.sources.views import money
 
+#: Parts of a group's values that are ranked in tasks of their own.
+BUCKETS = 64
 REVIEW_BELOW, HIGH_FROM = 80, 95
 
 
@@ -47,16 +52,35 @@ def project_summary(projects: DataFrame, files: DataFrame, items: DataFrame) ->
     )
 
 
-def price_distribution(items: DataFrame) -> DataFrame:
-    """Price statistics by code; quartiles are the values at n/4 and 3n/4 of the sorted prices, null below four.
+def placed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """A row per distinct value of every group: its count ``n``, the rows ``before`` it in order and the group's ``total``.
 
-    They are taken by rank over windows, not by collecting a code's prices into one array.
+    Values are counted first, then cut into buckets at approximate quantiles (which change the work only) and ranked in
+    their bucket from where it starts, so that no group is held or sorted in one task.
     """
-    from pyspark.sql import Window
+    counts = stage(rows.groupBy(*keys, value).agg(F.count("*").alias("n")), "counts")
+    same = lambda c: F.lit(True) if not keys else reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"{c}_{k}")) for k in keys))
+    renamed = lambda c: [F.col(k).alias(f"{c}_{k}") for k in keys]
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("edges")).select(*renamed("e"), "edges")
+    dealt = counts.join(edges, same("e")).select(*keys, value, "n", F.size(F.filter("edges", lambda e: e < F.col(value))).alias("bucket"))
+    sums = dealt.groupBy(*keys, "bucket").agg(F.sum("n").alias("held"))
+    group = Window.partitionBy(*keys)
+    starts = sums.select(*renamed("s"), F.col("bucket").alias("s_bucket"), (F.sum("held").over(group.orderBy("bucket")) - F.col("held")).alias("start"), F.sum("held").over(group).alias("total"))
+    inside = Window.partitionBy(*keys, "bucket").orderBy(value)
+    found = dealt.withColumn("_inside", F.sum("n").over(inside) - F.col("n")).join(starts, same("s") & (F.col("bucket") == F.col("s_bucket")))
+    return found.select(*keys, value, "n", (F.col("start") + F.col("_inside")).alias("before"), "total")
+
 
-    ranked = items.where("unit_price > 0").select("sec_code", "unit_price", (F.row_number().over(Window.partitionBy("sec_code").orderBy("unit_price")) - 1).alias("i"), F.count("*").over(Window.partitionBy("sec_code")).alias("n"))
-    at = lambda q: F.max(F.when((F.col("n") >= 4) & (F.col("i") == F.floor(F.col("n") * q / 4)), F.col("unit_price")))
-    return ranked.groupBy("sec_code").agg(F.count("*").alias("n_prices"), F.min("unit_price").alias("min_price"), F.max("unit_price").alias("max_price"), at(1).alias("p25"), at(3).alias("p75"))
+def _at(rank: F.Column, value: str) -> F.Column:
+    """The value at a rank (from 0) of a group of ``placed`` rows."""
+    return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col(value)))
+
+
+def price_distribution(items: DataFrame) -> DataFrame:
+    """Price statistics by code; quartiles are the values at n/4 and 3n/4 of the sorted prices, null below four."""
+    rows = placed(items.where("unit_price > 0"), ["sec_code"], "unit_price")
+    at = lambda q: _at(F.when(F.col("total") >= 4, F.floor(F.col("total") * q / 4)), "unit_price")
+    return rows.groupBy("sec_code").agg(F.sum("n").alias("n_prices"), F.min("unit_price").alias("min_price"), F.max("unit_price").alias("max_price"), at(1).alias("p25"), at(3).alias("p75"))
 
 
 def regions(projects: DataFrame) -> DataFrame:
@@ -88,7 +112,8 @@ def prices_by(prices: DataFrame, keys: list[str], since: str, until: str) -> Dat
     """Count, range and median of the positive prices of a period."""
     at = F.col("recorded_at")
     rows = prices.where((F.col("unit_price") > 0) & (at >= F.lit(since).cast("timestamp")) & (at <= F.lit(until).cast("timestamp")))
-    return rows.groupBy(*keys).agg(F.count("*").alias("n_prices"), F.min("unit_price").alias("min_price"), F.max("unit_price").alias("max_price"), F.percentile("unit_price", 0.5).alias("median_price"))
+    low, high = (_at(F.floor((F.col("total") - k) / 2), "unit_price") for k in (1, 0))
+    return placed(rows, keys, "unit_price").groupBy(*keys).agg(F.sum("n").alias("n_prices"), F.min("unit_price").alias("min_price"), F.max("unit_price").alias("max_price"), ((low + high) / 2).alias("median_price"))
 
 
 def gate_counts(items: DataFrame, key: str) -> DataFrame:

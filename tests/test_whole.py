@@ -1,7 +1,7 @@
 """Small inputs on which a part of the job would give other rows."""
 
 from costweave import queries
-from costweave.operators import catalogue, hierarchy
+from costweave.operators import analytics, catalogue, hierarchy
 
 
 def test_every_version_meets_the_one_before(spark):
@@ -29,3 +29,15 @@ def test_items_meet_the_whole_catalogue(spark):
     assert {s for _, line, s in stages if line in (1, 4)} == {"synonym"}
     assert all(r.description.lower() not in known for r in queries.unmatched_items_all(spark, data).collect())
     assert queries.unmatched_items_all(spark, data).where("line_number = 7").count() == items.where("line_number = 7").count()
+
+
+def test_ranks_hold_no_group_in_one_task(spark):
+    values = [(k, float(x)) for k, n in (("a", 301), ("b", 4), (None, 7)) for x in [*[5] * (n // 3), *((i * 37) % 101 + 1 for i in range(n - n // 3))]]
+    rows = spark.createDataFrame([(k, v, "1998-01-01") for k, v in values], "sec_code string, unit_price double, recorded_at string").selectExpr("sec_code", "unit_price", "cast(recorded_at as timestamp) recorded_at")
+    own = {k: sorted(v for key, v in values if key == k) for k in ("a", "b", None)}
+    spread = analytics.price_distribution(rows)
+    assert {(r.sec_code, r.n_prices, r.p25, r.p75) for r in spread.collect()} == {(k, len(v), v[len(v) // 4], v[3 * len(v) // 4]) for k, v in own.items()}
+    middle = analytics.prices_by(rows, ["sec_code"], "1997-01-01", "1999-01-01")
+    assert {(r.sec_code, r.n_prices, r.median_price) for r in middle.collect()} == {(k, len(v), (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2) for k, v in own.items()}
+    plan = middle._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "before" in spread._jdf.queryExecution().optimizedPlan().toString()
