@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_LEVELS = 20
+from costweave.session import stage
+
 #: Reference vectors that meet a task's batch at once.
 VECTOR_BLOCK = 4096
 
@@ -15,17 +16,16 @@ VECTOR_BLOCK = 4096
 def tree(links: DataFrame) -> DataFrame:
     """(code, parent, level, path) of every code that a root (null parent) reaches; one join a level.
 
-    A level that is empty ends it; MOST_LEVELS is far above any code system and ends loops.
+    A level that is empty ends it. A code that its own path holds already is left out, so loops end too.
     """
-    level = links.where("parent is null").select("code", "parent", F.lit(1).alias("level"), F.col("code").alias("path"))
+    level = stage(links.where("parent is null").select("code", "parent", F.lit(1).alias("level"), F.col("code").alias("path"), F.array("code").alias("codes")), "level")
     out = level
-    for k in range(2, MOST_LEVELS):
-        above = level.select(F.col("code").alias("parent"), F.col("path").alias("above"))
-        level = links.join(above, "parent").select("code", "parent", F.lit(k).alias("level"), F.concat_ws(" > ", "above", "code").alias("path"))
-        if level.isEmpty():
-            break
+    while not level.isEmpty():
+        above = level.select(F.col("code").alias("parent"), F.col("level").alias("k"), F.col("path").alias("above"), F.col("codes").alias("held"))
+        rows = links.join(above, "parent").where(~F.array_contains("held", F.col("code")))
+        level = stage(rows.select("code", "parent", (F.col("k") + 1).alias("level"), F.concat_ws(" > ", "above", "code").alias("path"), F.array_append("held", F.col("code")).alias("codes")), "level")
         out = out.union(level)
-    return out
+    return out.drop("codes")
 
 
 def neighbours(rows: DataFrame, group: str, order: list[str], reach: int = 2) -> DataFrame:

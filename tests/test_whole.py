@@ -41,3 +41,10 @@ def test_ranks_hold_no_group_in_one_task(spark):
     assert {(r.sec_code, r.n_prices, r.median_price) for r in middle.collect()} == {(k, len(v), (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2) for k, v in own.items()}
     plan = middle._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan and "before" in spread._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_deep_code_trees_and_loops(spark):
+    chain = [("c0", None), *((f"c{i}", f"c{i - 1}") for i in range(1, 25)), ("c20", "c24")]
+    rows = hierarchy.tree(spark.createDataFrame(chain, "code string, parent string")).collect()
+    assert sorted((r.level, r.code) for r in rows) == [(i + 1, f"c{i}") for i in range(25)]
+    assert max(rows, key=lambda r: r.level).path == " > ".join(f"c{i}" for i in range(25))
