@@ -2,26 +2,33 @@
 
 Documents with the same set are one class; classes with the same size and the same prefix (the rarest shingles, as many
 as the threshold requires) are one group. Groups meet on prefix shingles under size and position filters, are expanded
-to their classes and verified on whole sets; the classes of a group also meet in a bucket of their own. A bucket of m
-classes gives 2 m candidate pairs first (each with its neighbour by size and with its first one); only pairs that are
-still in different components are tried after that, so a group of near copies never becomes all its pairs. A bucket is
-cut into runs of sizes wherever the size filter rules out every pair across the cut; pairs of two groups tried last must
-share as many prefix shingles as the threshold leaves open.
+to their classes and verified on whole sets; the classes of a group also meet in a bucket of their own.
+
+Two linked sets share a shingle at a place in both prefixes behind which enough is left of either for the overlap that
+their sizes require. So a bucket (a shingle and a run of sizes that the size filter can't cut) is dropped unless one of
+its sets has the shingle that early, and a pair is only made where the shingle is early enough in both: a passage that
+many documents share makes no pairs of those it can't link. A bucket of m classes gives 2 m candidates first (each with
+its neighbour by size and with the hub of its size), then rounds of one random partner of another component each, as long as
+they merge; only pairs that are still in different components are tried after that, so a group of near copies never
+becomes all its pairs.
 
 Rows with null or wordless text have an empty set and stand alone. Repeated rows give repeated result rows. A null
-doc_id gets the component of its class's smallest id, or null. Empty tables give empty results.
+doc_id gets the component of its class's smallest id, or null. Very long texts are hashed in blocks. Other columns are
+not looked at, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costweave.llm.graph import components
 from costweave.llm.words import batch_shingles, mix
-from costweave.session import stage
+from costweave.session import Scratch, stage
 
 THRESHOLD = 80  # percent
 #: Shingles whose counts decide the order inside prefixes. The order changes no result, only the work.
@@ -32,9 +39,9 @@ SALT = 512
 #: Bits of the parity sketch of a set: every shingle flips one, so two sketches differ in at most as many bits as the
 #: sets differ in shingles, and a pair whose sketches differ too much can't reach the threshold.
 SKETCH = 2048
-#: Rounds that try one random partner of another component in each bucket, while buckets hold over FEW pairs a row;
-#: whatever they leave apart is then tried pair by pair.
-ROUNDS, FEW = 2, 4
+#: Rounds of random partners go on while buckets hold over FEW pairs a row and a round merges over one in GAIN of the
+#: components that meet in buckets; whatever they leave apart is then tried pair by pair. This changes the work only.
+FEW, GAIN = 4, 20
 #: Up to so many requests of 24 bytes are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -62,7 +69,7 @@ def required(n: int, threshold: int = THRESHOLD) -> int:
     return -(-threshold * n // 100)
 
 
-def _base(docs: DataFrame, threshold: int) -> DataFrame:
+def _base(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     """A row per document: size and signature of its set, its prefix and the prefix's signature."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
@@ -90,12 +97,19 @@ def _base(docs: DataFrame, threshold: int) -> DataFrame:
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2, p)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), *longs, lists, pa.array(sketch, pa.binary())], ["doc_id", "n", "s1", "s2", "p", "prefix", "sketch"])
 
-    return stage(docs.mapInArrow(build, "doc_id long, n long, s1 long, s2 long, p long, prefix array<long>, sketch binary"), "sets")
+    return scratch.stage(docs.mapInArrow(build, "doc_id long, n long, s1 long, s2 long, p long, prefix array<long>, sketch binary"), "sets")
+
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """Broadcast if it has at most BROADCAST_ROWS rows, as counted."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-def plausible(base: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sketches leave the threshold within reach."""
-    sketches = base.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
+
+def plausible(base: DataFrame, pairs: DataFrame, threshold: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose sketches leave the threshold within reach; only the sketches of their ids are moved."""
+    pairs = scratch.stage(pairs, "met")
+    nodes = scratch.stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
+    sketches = base.select("doc_id", "n", "sketch").join(_bounded(nodes), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs
     for c in ("a", "b"):
         both = both.join(sketches.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c)
@@ -108,10 +122,12 @@ def plausible(base: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
             # 100 i >= t u with i = (na + nb - d) / 2 and u = (na + nb + d) / 2
             yield batch.select(["a", "b"]).filter(pa.array((100 + threshold) * apart <= (100 - threshold) * (na + nb)))
 
-    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(test, "a long, b long")
+    found = scratch.stage(both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(test, "a long, b long"), name)
+    scratch.drop("met", "nodes")
+    return found
 
 
-def verify(docs: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, threshold: int, scratch: Scratch, name: str) -> DataFrame:
     """Those of the pairs (a, b) of doc ids whose whole shingle sets reach the threshold.
 
     The partners of a travel once each to where a's own text is; more than SALT partners are dealt over several tasks.
@@ -119,10 +135,8 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD) -> Dat
     heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
     dealt = pairs.join(heads, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
     need = dealt.union(heads.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt")))
-    need = stage(need, "requests")
-    if need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
-    sent = docs.withColumnRenamed("doc_id", "b").join(need, "b").select("a", "salt", "b", "text")
+    need = scratch.stage(need, "requests")
+    sent = docs.withColumnRenamed("doc_id", "b").join(_bounded(need), "b").select("a", "salt", "b", "text")
     sent = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", (F.col("a") != F.col("b")))
 
     def compare(batches):
@@ -141,92 +155,102 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD) -> Dat
                         keep.append(x)
             yield pa.record_batch([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
 
-    return sent.mapInArrow(compare, "a long, b long")
+    found = scratch.stage(sent.mapInArrow(compare, "a long, b long"), name)
+    scratch.drop("requests")
+    return found
 
 
 def similar_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = _base(docs, threshold)
+    base = _base(docs, threshold, scratch)
     slim = base.drop("prefix", "sketch")
     same = ["n", "p", "s1", "s2"]
-    classes = stage(slim.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.stage(slim.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     groups = classes.groupBy("n", "p").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
-    members = classes.join(groups, ["n", "p"]).where("rep is not null").select("gid", "rep", "n", "size")
+    members = scratch.stage(classes.join(groups, ["n", "p"]).where("rep is not null").select("gid", "rep", "n", "size"), "members")
+
+    def overlap(n1: Column, n2: Column) -> Column:
+        """Least shared shingles of linked sets of these sizes."""
+        return F.ceil((n1 + n2) * threshold / (100 + threshold) - 1e-9)
+
+    def fits(n1: str, p1: str, n2: str, p2: str) -> Column:
+        """Size filter, and whether what the two sets can still share from these places on is enough."""
+        n1, p1, n2, p2 = map(F.col, (n1, p1, n2, p2))
+        return (100 * F.least(n1, n2) >= threshold * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= overlap(n1, n2))
 
     heads = base.drop("sketch").join(groups.select("gid"), base.doc_id == F.col("gid"), "left_semi").dropDuplicates(["doc_id"])
     tokens = heads.select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "tok"))
+    # the hub of a run's band of alike sizes is the set that has the shingle earliest, so with least that is its own
+    band = F.floor(F.log("n") / math.log(100 / threshold) * 2) if threshold < 100 else F.col("n")
     # a bucket is a shingle and a run of sizes: no two sets in different runs are alike enough in size
     by_size = Window.partitionBy("tok").orderBy("n", "gid")
     beside = lambda a, b: F.coalesce(100 * F.col(a) >= threshold * F.col(b), F.lit(False))
     runs = tokens.select("*", F.lag("n").over(by_size).alias("before"), F.lead("n").over(by_size).alias("after"))
-    runs = runs.withColumn("run", F.sum(F.when(beside("before", "n"), 0).otherwise(1)).over(by_size)).where(beside("before", "n") | beside("n", "after"))
-    in_run = Window.partitionBy("tok", "run").orderBy("n", "gid")
-    shared = runs.select("tok", "run", "gid", "n", "pos", *(f(c).over(in_run).alias(f"{x}_{c}") for x, f in (("prev", F.lag), ("hub", F.first)) for c in ("gid", "n", "pos")))
-    shared = stage(shared.withColumn("tok", F.xxhash64("tok", "run")).drop("run"), "shared")
-
-    def fits(n1, p1, n2, p2):
-        """Size filter, and what the two sets can still share from these positions on."""
-        n1, p1, n2, p2 = map(F.col, (n1, p1, n2, p2))
-        least = F.ceil((n1 + n2) * threshold / (100 + threshold) - 1e-9)
-        return (100 * F.least(n1, n2) >= threshold * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= least)
+    runs = runs.withColumn("run", F.sum(F.when(beside("before", "n"), 0).otherwise(1)).over(by_size)).where(beside("before", "n") | beside("n", "after")).withColumn("band", band)
+    in_run, in_band = Window.partitionBy("tok", "run").orderBy("n", "gid"), Window.partitionBy("tok", "run", "band").orderBy("pos", "n", "gid")
+    # the smaller set of a linked pair has a shared shingle at least this early
+    early = F.col("n") - F.col("pos") >= overlap(F.col("n"), F.col("n"))
+    some = F.max(early).over(Window.partitionBy("tok", "run"))
+    shared = runs.select("tok", "run", "gid", "n", "pos", some.alias("some"), *(f(c).over(w).alias(f"{x}_{c}") for x, f, w in (("prev", F.lag, in_run), ("hub", F.first, in_band)) for c in ("gid", "n", "pos"))).where("some")
+    shared = scratch.stage(shared.withColumn("tok", F.xxhash64("tok", "run")).drop("run", "some"), "shared")
 
     near = [shared.where(F.col(f"{x}_gid").isNotNull() & (F.col(f"{x}_gid") != F.col("gid")) & fits(f"{x}_n", f"{x}_pos", "n", "pos")).select(F.col(f"{x}_gid").alias("a"), F.col("gid").alias("b")) for x in ("prev", "hub")]
     inside = members.where("size > 1 and gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    tried = near[0].union(near[1]).union(inside).distinct()
-    tried = stage(plausible(base, tried, threshold), "pairs")
-    links = stage(verify(docs, tried, threshold), "links")
-    found = stage(components(links), "components")
+    tried = plausible(base, near[0].union(near[1]).union(inside).distinct(), threshold, scratch, "tried")
+    links = verify(docs, tried, threshold, scratch, "links")
+    found = components(links)
 
     # what is left: classes of one bucket in different components; rounds of few pairs merge most of them first
     met = shared.select("tok", "gid", "n", "pos").join(members.select("gid", "rep"), "gid").select("tok", "gid", "rep", "n", "pos")
     # classes of one group share their whole prefix, whether or not another group has any of it: a bucket of their own
     own = members.where("size > 1").select(F.xxhash64("gid", F.lit("group")).alias("tok"), "gid", "rep", "n", F.lit(-1).alias("pos"))
-    slots = stage(met.union(own), "slots")
+    slots = scratch.stage(met.union(own), "slots")
+    scratch.drop("shared", "members")
 
     def mixed(found: DataFrame) -> DataFrame:
         wide = slots.join(found, slots.rep == found.node, "left").select("tok", "gid", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
         apart = wide.groupBy("tok").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("tok")
-        return stage(wide.join(apart, "tok", "left_semi"), "mixed")
-
-    wide = mixed(found)
-    for seed in range(ROUNDS):
-        rows, pairs = wide.groupBy("tok", "c").agg(F.count("*").alias("m")).groupBy("tok").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own")).agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("own")) / 2).first()
-        if not rows or pairs <= FEW * rows:
+        return scratch.stage(wide.join(apart, "tok", "left_semi"), "mixed")
+
+    wide, seed, parts = mixed(found), 0, None
+    while True:
+        held = wide.groupBy("tok", "c").agg(F.count("*").alias("m")).groupBy("tok").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
+        rows, pairs = held.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("own")) / 2).first()
+        before, parts = parts, wide.select("c").distinct().count()
+        if not rows or pairs <= FEW * rows or (before is not None and GAIN * (before - parts) < before):
             break
         shuffled = Window.partitionBy("tok").orderBy(F.xxhash64("rep", F.lit(seed)), "rep")
-        beside = wide.select("rep", "n", "pos", "c", *(F.lag(x).over(shuffled).alias(f"prev_{x}") for x in ("rep", "n", "pos", "c"))).where((F.col("c") != F.col("prev_c")) & fits("prev_n", "prev_pos", "n", "pos"))
-        beside = beside.select(F.least("rep", "prev_rep").alias("a"), F.greatest("rep", "prev_rep").alias("b")).distinct()
-        more = stage(verify(docs, stage(plausible(base, beside, threshold), "pairs"), threshold), "links")
+        partners = wide.select("rep", "n", "pos", "c", *(F.lag(x).over(shuffled).alias(f"prev_{x}") for x in ("rep", "n", "pos", "c"))).where((F.col("c") != F.col("prev_c")) & fits("prev_n", "prev_pos", "n", "pos"))
+        partners = partners.select(F.least("rep", "prev_rep").alias("a"), F.greatest("rep", "prev_rep").alias("b")).distinct()
+        more = verify(docs, plausible(base, partners, threshold, scratch, "some"), threshold, scratch, f"links{seed}")
         if more.isEmpty():
             break
         links = links.union(more)
-        found = stage(components(links), "components")
-        wide = mixed(found)
+        found = components(links)
+        wide, seed = mixed(found), seed + 1
     left, right = (wide.select("tok", *(F.col(c).alias(f"{c}{i}") for c in ("gid", "rep", "n", "pos", "c"))) for i in (1, 2))
-    # pairs of one group come from its own bucket alone, once, and share their whole prefix
+    # pairs of one group come from its own bucket alone
     together = F.col("gid1") == F.col("gid2")
-    pairs = left.join(right, "tok").where((together == (F.col("pos1") < 0)) & (F.col("c1") != F.col("c2")) & (F.struct("n1", "rep1") < F.struct("n2", "rep2")) & (F.col("n1") * 100 >= F.col("n2") * threshold))
-    # what two sets share beyond their prefixes is less than the longer remainder, the prefixes must share the rest
-    rest = pairs.groupBy(F.col("rep1").alias("a"), F.col("rep2").alias("b")).agg(F.count("*").alias("shared"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(together).alias("together"))
-    least = F.ceil((F.col("n1") + F.col("n2")) * threshold / (100 + threshold) - 1e-9)
-    beyond = F.ceil(F.col("n2") * threshold / 100 - 1e-9) - 1
-    rest = rest.where(F.col("together") | (F.col("shared") + beyond >= least)).select("a", "b")
-    rest = stage(plausible(base, rest.join(tried, ["a", "b"], "left_anti"), threshold), "rest")
+    pairs = left.join(right, "tok").where((together == (F.col("pos1") < 0)) & (F.col("c1") != F.col("c2")) & (F.struct("n1", "rep1") < F.struct("n2", "rep2")) & fits("n1", "pos1", "n2", "pos2"))
+    rest = pairs.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
+    rest = plausible(base, rest.join(tried, ["a", "b"], "left_anti"), threshold, scratch, "rest")
     if not rest.isEmpty():
-        more = stage(verify(docs, rest, threshold), "links")
+        more = verify(docs, rest, threshold, scratch, "last")
         if not more.isEmpty():
-            found = stage(components(links.union(more)), "components")
+            found = components(links.union(more))
 
     final = classes.join(found, classes.rep == found.node, "left").select(*same, F.coalesce("component", "rep").alias("class_id"))
     joined = slim.join(final, same, "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = stage(out, "similar")
+    scratch.close()
+    return out
 
 
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` but those linked to a smaller doc_id; rows with null doc_id stay, repeated rows too."""
-    gone = stage(similar_classes(docs, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
+    gone = _bounded(stage(similar_classes(docs, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     return rows.join(gone, F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
