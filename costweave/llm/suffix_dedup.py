@@ -1,37 +1,44 @@
 """Suffix-array dedup: removes every byte that a repeated LENGTH-byte string covers, over all documents.
 
 Suffixes are sampled so that no repeat is missed: the anchor of a window of LENGTH bytes is its smallest GRAM-byte hash
-(leftmost of equals), which depends on the window's bytes alone, so equal windows meet at equal anchors. A record is an anchor with the
-run of windows that share it. Records with the same bytes are one class; a class of two or more is repeated as a whole.
-Classes of one anchor value with different bytes are compared by their suffixes from the anchor on (and their reversed
-prefixes), which deep-shallow sorting orders: multikey quicksort by 8-byte words to SHALLOW bytes, then a blind trie
-for each group whose common prefix is longer. Common prefixes of neighbours then tell, window place by window place,
-which windows are equal. An anchor value with more than GROUP classes is not sorted in one task: its windows are
-counted one by one by 128-bit hashes instead, which is as exact.
+(leftmost of equals), which depends on the window's bytes alone, so equal windows meet at equal anchors. A record is an
+anchor with the run of windows that share it. Records with the same bytes are one class; a class of two or more is
+repeated as a whole and needs no sorting. Classes of one anchor value with different bytes are compared by their
+suffixes from the anchor on (and their reversed prefixes), which deep-shallow sorting orders: multikey quicksort by
+8-byte words to SHALLOW bytes, then a blind trie for each group whose common prefix is longer. Common prefixes of
+neighbours then tell, window place by window place, which windows are equal.
+
+An anchor value with more than GROUP classes is split before it is sorted: windows whose place is in a narrow range
+share bytes around the anchor, so the classes are dealt by those bytes, range by range (WIDTHS). Where that range is
+one place the bytes are the whole window, and a group is one class of equal windows.
 
 Strings are UTF-8 bytes; null is empty. Matches never cross documents, and repeated rows are copies of each other.
-Rows with a null doc_id are documents too. An empty table gives an empty result.
+Rows with a null doc_id are documents too. Very long texts are read in chunks. Documents are told apart by 128-bit
+hashes. An empty table gives an empty result; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from costweave.llm.words import mix, text_buffers
-from costweave.session import stage
+from costweave.session import Scratch, stage
 
 LENGTH, GRAM = 400, 100
 SPAN = LENGTH - GRAM + 1  # anchors to choose from in a window
 CHUNK = 1 << 19  # window starts handled at once
 SHALLOW = 32
-GROUP = 50_000
+SMALL = 12  # strings that multikey quicksort leaves to an insertion sort
+GROUP = 20_000
+#: Widths of the ranges of window places that a group too large is split into, one after the other.
+WIDTHS = (40, 5, 1)
 BATCH = 10_000  # records sorted together, whole groups
-BROADCAST_ROWS = 300_000
+#: Tables of arrays are broadcast up to so many bytes, as counted.
+BROADCAST_BYTES = 64 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -81,18 +88,18 @@ def anchors(raw: np.ndarray):
         yield c + first, c + last, best[first] - first, grams[best[first]], _hash(sums, first, last + LENGTH, 0), _hash(other, first, last + LENGTH, 1)
 
 
-_RECORD = "k long, lo long, hi long, d int, h long, r1 long, r2 long"
+_RECORD = "k long, k2 long, lo long, hi long, d int, h long, r1 long, r2 long"
 
 
 def _records(docs: DataFrame) -> DataFrame:
     def build(batches):
         for batch in batches:
             raw, offsets = text_buffers(batch.column("text"))
-            keys = batch.column("k").to_numpy()
+            keys, others = batch.column("k").to_numpy(), batch.column("k2").to_numpy()
             held, size = [], 0
             for i in np.flatnonzero(np.diff(offsets) >= LENGTH):
                 for found in anchors(raw[offsets[i] : offsets[i + 1]]):
-                    held.append((np.full(len(found[0]), keys[i]), *found))
+                    held.append((np.full(len(found[0]), keys[i]), np.full(len(found[0]), others[i]), *found))
                     size += len(found[0])
                     if size > 100_000:
                         yield pack(held)
@@ -101,10 +108,10 @@ def _records(docs: DataFrame) -> DataFrame:
                 yield pack(held)
 
     def pack(held):
-        k, lo, hi, d, *hashes = map(np.concatenate, zip(*held, strict=True))
-        return pa.record_batch([pa.array(x) for x in (k, lo, hi, d.astype(np.int32), *(x.view(np.int64) for x in hashes))], [x.split()[0] for x in _RECORD.split(", ")])
+        k, k2, lo, hi, d, *hashes = map(np.concatenate, zip(*held, strict=True))
+        return pa.record_batch([pa.array(x) for x in (k, k2, lo, hi, d.astype(np.int32), *(x.view(np.int64) for x in hashes))], [x.split()[0] for x in _RECORD.split(", ")])
 
-    return docs.select("k", "text").mapInArrow(build, _RECORD)
+    return docs.select("k", "k2", "text").mapInArrow(build, _RECORD)
 
 
 class BlindTrie:
@@ -170,12 +177,30 @@ class BlindTrie:
         return out, lcp
 
 
+def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
+    """Order of the rows of ``keys``, word by word: a pivot of the current word parts them in three, and only those
+    equal to it go on to the next word."""
+    out, todo = [], [(np.arange(len(keys)), 0)]
+    while todo:
+        rows, word = todo.pop()
+        if word == keys.shape[1] or len(rows) < 2:
+            out.append(rows)
+        elif len(rows) <= SMALL:
+            out.append(np.array(sorted(rows.tolist(), key=lambda i: (*keys[i, word:].tolist(), i))))
+        else:
+            own = keys[rows, word]
+            pivot = np.sort(own[[0, len(own) // 2, -1]])[1]
+            less, more = own < pivot, own > pivot
+            todo += [(rows[more], word), (rows[~less & ~more], word + 1), (rows[less], word)]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def deep_shallow(group: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Order by (group, string), and each one's common prefix with the one before (-1 where a group begins)."""
     n = len(strings)
     words = np.frombuffer(b"".join(s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings), ">u8").reshape(n, -1).astype(np.uint64)
     length = np.minimum(np.array([len(s) for s in strings]), SHALLOW)
-    order = np.lexsort((length, *words.T[::-1], group))
+    order = multikey_quicksort(np.column_stack([group.astype(np.uint64), words, length.astype(np.uint64)]))
     lcp = np.full(n, -1)
     a, b = order[1:], order[:-1]
     same = group[a] == group[b]
@@ -197,8 +222,11 @@ def deep_shallow(group: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, n
     return order, lcp
 
 
-def repeated_windows(group: np.ndarray, regions: list[bytes], d: np.ndarray) -> np.ndarray:
-    """(region, place) of windows that another region of the group has too: covered[i, s] for the window at s of region i."""
+def repeated_windows(group: np.ndarray, regions: list[bytes], d: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(region, place) of windows that another region of the group has too: covered[i, s] for the window at s of region i.
+
+    ``places``: the first and last number of bytes from a window's start to its anchor that a region's group is about.
+    """
     n = len(regions)
     runs = np.array([len(r) - LENGTH for r in regions])
     covered = np.zeros((n, int(runs.max()) + 1), bool)
@@ -208,7 +236,7 @@ def repeated_windows(group: np.ndarray, regions: list[bytes], d: np.ndarray) ->
         classes.append((order, lcp))
     left, right = np.empty(n, np.int64), np.empty(n, np.int64)
     for ahead in range(max(0, int((d - runs).min())), int(d.max()) + 1):  # bytes from a window's start to its anchor
-        inside = np.flatnonzero((d - runs <= ahead) & (ahead <= d))
+        inside = np.flatnonzero((d - runs <= ahead) & (ahead <= d) & (places[:, 0] <= ahead) & (ahead <= places[:, 1]))
         if len(inside) < 2:
             continue
         for (order, lcp), least, out in ((classes[0], LENGTH - ahead, right), (classes[1], ahead, left)):
@@ -226,26 +254,26 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-_SPANS = "k long, a long, b long"
+_SPANS = "k long, k2 long, a long, b long"
 
 
-def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    k, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.record_batch([pa.array(x, pa.int64()) for x in (k, a, b)], ["k", "a", "b"])
+def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.record_batch([pa.array(x, pa.int64()) for x in columns], ["k", "k2", "a", "b"])
 
 
 def _resolve(batches):
-    """Spans of the single records whose windows other classes of their anchor share; rows come sorted by h."""
+    """Spans of the single records whose windows other classes of their group share; rows come sorted by g."""
 
     def solve(rows):
-        h, k, lo, d, single, regions = (list(x) for x in zip(*rows, strict=True))
-        group = np.unique(np.array(h), return_inverse=True)[1]
-        covered = repeated_windows(group, regions, np.array(d))
-        return _spans([(k[i], lo[i] + x, lo[i] + y - 1 + LENGTH) for i in np.flatnonzero(np.array(single) & covered.any(axis=1)).tolist() for x, y in _runs(covered[i])])
+        g, first, last, k, k2, lo, d, single, regions = (list(x) for x in zip(*rows, strict=True))
+        group = np.unique(np.array(g), return_inverse=True)[1]
+        covered = repeated_windows(group, regions, np.array(d), np.array([first, last]).T)
+        return _spans([(k[i], k2[i], lo[i] + x, lo[i] + y - 1 + LENGTH) for i in np.flatnonzero(np.array(single) & covered.any(axis=1)).tolist() for x, y in _runs(covered[i])])
 
     held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("h", "k", "lo", "d", "single", "region")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("g", "first", "last", "k", "k2", "lo", "d", "single", "region")), strict=True):
             if len(held) >= BATCH and row[0] != held[-1][0]:
                 yield solve(held)
                 held = []
@@ -254,84 +282,127 @@ def _resolve(batches):
         yield solve(held)
 
 
-def _windows(batches):
-    """Two hashes and the place of every window of the regions."""
-    for batch in batches:
-        for k, lo, single, region in zip(*(batch.column(c).to_pylist() for c in ("k", "lo", "single", "region")), strict=True):
-            raw = np.frombuffer(region, np.uint8)
-            at = np.arange(len(raw) - LENGTH + 1)
-            w1, w2 = (_hash(_sums(raw, x), at, at + LENGTH, x).view(np.int64) for x in (0, 1))
-            n = len(at)
-            yield pa.record_batch([pa.array(w1), pa.array(w2), pa.array(np.full(n, k, np.int64)), pa.array(lo + at), pa.array(np.full(n, single))], ["w1", "w2", "k", "at", "single"])
-
+_GROUPED = "g long, g2 long, first int, last int, k long, k2 long, lo long, d int, single boolean, region binary"
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast if its rows are few enough, as counted."""
-    df = stage(df, "bounded")
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
+def _split(width: int):
+    """Deal regions into groups by the bytes that all their windows of a range of places share."""
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(k, spans): the covered byte ranges [a, b) of each document k of (k, text), if any; they may overlap."""
-    records = stage(_records(docs), "anchors")
+    def deal(batches):
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("first", "last", "k", "k2", "lo", "d", "single", "region")), strict=True):
+                first, last, k, k2, lo, d, single, region = row
+                raw = np.frombuffer(region, np.uint8)
+                sums = _sums(raw, 0), _sums(raw, 1)
+                for x in range(first, last + 1, width):
+                    y = min(x + width - 1, last)
+                    if max(x, d - (len(raw) - LENGTH)) > min(y, d):
+                        continue  # the region has no window with its anchor at such a place
+                    # windows of these places all have x bytes before the anchor, and LENGTH - y from it on
+                    g, g2 = (int(_hash(sums[i], np.array([d - x]), np.array([d + LENGTH - y]), i).view(np.int64)[0]) for i in (0, 1))
+                    out.append((g ^ x, g2, x, y, k, k2, lo, d, single, region))
+                if len(out) >= 10_000:
+                    yield _grouped(out)
+                    out = []
+            yield _grouped(out)
+
+    return deal
+
+
+def _grouped(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.record_batch([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _GROUPED.split(", ")])
+
+
+def _bounded(df: DataFrame, array: str, width: int) -> DataFrame:
+    """Broadcast a written table if its rows, with arrays of elements of ``width`` bytes, take at most BROADCAST_BYTES."""
+    rows, elements = df.agg(F.count("*"), F.coalesce(F.sum(F.size(array)), F.lit(0))).first()
+    return F.broadcast(df) if 48 * rows + width * elements <= BROADCAST_BYTES else df
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, k2, spans): the covered byte ranges [a, b) of each document (k, k2) of (k, k2, text), if any; sorted and apart."""
+    records = scratch.stage(_records(docs), "anchors")
     same = ["h", "r1", "r2", "d"]
-    classes = records.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("k", "lo", "hi")).alias("rep"))
-    classes = stage(classes.where("n > 1").union(classes.where("n = 1").join(records.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "h", "left_semi").select(*classes.columns)), "classes")
-    whole = records.join(classes.where("n > 1").select(*same), same, "left_semi").select("k", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
+    classes = records.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("k", "k2", "lo", "hi")).alias("rep"))
+    classes = scratch.stage(classes.where("n > 1").union(classes.where("n = 1").join(records.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "h", "left_semi").select(*classes.columns)), "classes")
+    whole = records.join(classes.where("n > 1").select(*same), same, "left_semi").select("k", "k2", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
 
-    mixed = classes.groupBy("h").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 and least = 1").drop("least")
-    asked = classes.join(mixed, "h").select("rep.*", "h", "d", (F.col("n") == 1).alias("single"), (F.col("classes") > GROUP).alias("hot"))
-    asked = _bounded(asked.groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "h", "d", "single", "hot")).alias("asked")))
+    mixed = classes.groupBy("h").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 and least = 1").select("h")
+    asked = classes.join(mixed, "h").select("rep.*", "h", "d", (F.col("n") == 1).alias("single"))
+    asked = scratch.stage(asked.groupBy("k", "k2").agg(F.collect_list(F.struct("lo", "hi", "h", "d", "single")).alias("asked")), "asked")
 
     def fetch(batches):
         for batch in batches:
             texts = batch.column("text")
-            for i, (k, asked) in enumerate(zip(batch.column("k").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
+            for i, (k, k2, asked) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("k", "k2", "asked")), strict=True)):
                 raw = texts[i].as_py().encode()
-                columns = [[x[c] for x in asked] for c in ("lo", "d", "h", "single", "hot")]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
-                yield pa.record_batch([pa.array([k] * len(asked), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([raw[x["lo"] : x["hi"] + LENGTH] for x in asked], pa.binary())], ["k", "lo", "d", "h", "single", "hot", "region"])
-
-    once = docs.join(asked, "k").select("k", "text", "asked").dropDuplicates(["k"])
-    regions = stage(once.mapInArrow(fetch, "k long, lo long, d int, h long, single boolean, hot boolean, region binary"), "regions")
-    sorted_ = regions.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h", "k", "lo")
-    spans = whole.union(sorted_.mapInArrow(_resolve, _SPANS))
-    if not mixed.where(F.col("classes") > GROUP).isEmpty():
-        windows = regions.where("hot").mapInArrow(_windows, "w1 long, w2 long, k long, at long, single boolean")
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        spans = spans.union(windows.where("single").join(twice, ["w1", "w2"], "left_semi").select("k", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b")))
-    return spans.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-
-
-def _merge(spans: list[dict]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for x in spans or []:
-        if out and x["a"] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], x["b"])
-        else:
-            out.append([x["a"], x["b"]])
-    return [tuple(x) for x in out]
+                for j in range(0, len(asked), 10_000):
+                    yield _grouped([(x["h"], 0, 0, SPAN - 1, k, k2, x["lo"], x["d"], x["single"], raw[x["lo"] : x["hi"] + LENGTH]) for x in asked[j : j + 10_000]])
+
+    once = docs.join(_bounded(asked, "asked", 64), ["k", "k2"]).select("k", "k2", "text", "asked").dropDuplicates(["k", "k2"])
+    todo, spans = scratch.stage(once.mapInArrow(fetch, _GROUPED), "regions"), whole
+    for level, width in enumerate(WIDTHS):
+        hot = todo.groupBy("g", "g2").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("g", "g2")
+        hot = F.broadcast(scratch.stage(hot, f"hot{level}"))  # fewer than one row in GROUP of the regions
+        ready = todo.join(hot, ["g", "g2"], "left_anti")
+        spans = spans.union(ready.repartition("g", "g2").sortWithinPartitions("g", "g2", "k", "k2", "lo").mapInArrow(_resolve, _SPANS))
+        if hot.isEmpty():
+            break
+        todo = scratch.stage(todo.join(hot, ["g", "g2"]).select(*(x.split()[0] for x in _GROUPED.split(", "))).mapInArrow(_split(width), _GROUPED), f"split{level}")
+    else:  # groups of one window each
+        twice = todo.groupBy("g", "g2", "first").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        at = F.col("lo") + F.col("d") - F.col("first")
+        spans = spans.union(todo.where("single").join(twice, ["g", "g2", "first"], "left_semi").select("k", "k2", at.alias("a"), (at + LENGTH).alias("b")))
+
+    # overlapping and touching ranges become one
+    key = Window.partitionBy("k", "k2").orderBy("a", "b")
+    apart = F.coalesce(F.max("b").over(key.rowsBetween(Window.unboundedPreceding, -1)) < F.col("a"), F.lit(True))
+    pieces = spans.withColumn("new", apart).withColumn("piece", F.sum(F.col("new").cast("int")).over(key.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = pieces.groupBy("k", "k2", "piece").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return merged.groupBy("k", "k2").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("k", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(rows)
+    """(row, n_bytes, n_removed, n_spans, kept) of every row: the row itself as a struct, its counts and its remaining bytes."""
+    scratch = Scratch(docs.sparkSession, "repeats")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"k": F.xxhash64("row.doc_id", "text"), "k2": F.xxhash64("text", "row.doc_id", F.lit(9))})
+    spans = stage(repeated_spans(rows.select("k", "k2", "text"), scratch), "spans")
+    scratch.close()
 
     def cut(batches):
         for batch in batches:
-            out = []
+            n, removed, count, kept = [], [], [], []
             for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                raw = memoryview(text.as_buffer())
-                digest, at, removed, merged = hashlib.sha256(), 0, 0, _merge(spans)
-                for a, b in merged:
-                    digest.update(raw[at:a])
-                    at, removed = b, removed + b - a
-                digest.update(raw[at:])
-                out.append((len(raw), removed, len(merged), digest.hexdigest()))
-            n, removed, count, sha = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    joined = rows.join(_bounded(spans), "k", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                raw, at, parts = memoryview(text.as_buffer() or b""), 0, []
+                for x in spans or ():
+                    parts.append(raw[at : x["a"]])
+                    at = x["b"]
+                kept.append(b"".join([*parts, raw[at:]]))
+                n.append(len(raw))
+                removed.append(len(raw) - len(kept[-1]))
+                count.append(len(spans or ()))
+            yield pa.record_batch([batch.column("row"), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    joined = rows.join(_bounded(spans, "spans", 32), ["k", "k2"], "left").select("row", "text", "spans")
+    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType
+    schema = StructType([StructField("row", kind), *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
+    return joined.mapInArrow(cut, schema)
+
+
+def digests(removed: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated, kept_text) of the rows of ``remove_repeats``.
+
+    ``kept_text`` is what is left as text; characters that a removal cuts through are dropped from it.
+    """
+
+    def decode(batches):
+        for batch in batches:
+            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "kept_text"])
+
+    rows = removed.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"), "kept")
+    return rows.mapInArrow(decode, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean, kept_text string")

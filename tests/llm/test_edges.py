@@ -19,7 +19,7 @@ EMPTY = {
     "toxicity": lambda t: toxicity.score(t("documents").where("doc_id < -1"), toxicity.train(t("documents").where("doc_id < -1"), t("labels"))),
     "media": lambda t: media.digests(media.media(t("documents").where("doc_id < -1"))),
     "leaks": lambda t: decontaminate.contaminated(t("documents"), t("benchmark").where("item_id < -1")),
-    "repeats": lambda t: suffix_dedup.remove_repeats(t("documents").where("doc_id < -1")),
+    "repeats": lambda t: suffix_dedup.digests(suffix_dedup.remove_repeats(t("documents").where("doc_id < -1"))),
     "jaccard": lambda t: ngram_jaccard.similar_classes(t("documents").where("doc_id < -1")),
 }
 

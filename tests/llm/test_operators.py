@@ -97,23 +97,64 @@ def test_jaccard_inside_groups_that_share_one_shingle_with_another(spark):
     assert components_of(spark, texts) == want
 
 
-def test_suffix_dedup_against_all_windows(spark):
-    rows, docs = documents(spark)
-    raw, starts = {i: (t or "").encode() for i, t in rows}, defaultdict(list)
-    for i, b in raw.items():
+def without_repeats(rows):
+    """n_bytes, n_removed, n_spans and digest by place of the row, from all 400-byte windows."""
+    raw, starts = [(t or "").encode() for _, t in rows], defaultdict(list)
+    for i, b in enumerate(raw):
         for k in range(len(b) - 399):
             starts[b[k : k + 400]].append((i, k))
     gone = defaultdict(set)
     for places in starts.values():
         for i, k in places if len(places) > 1 else ():
             gone[i].update(range(k, k + 400))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
-    want = {}
-    for i, b in raw.items():
+    want = []
+    for i, b in enumerate(raw):
         spans = sum(1 for k in gone[i] if k - 1 not in gone[i])
-        want[i] = (len(b), len(gone[i]), spans, hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in gone[i])).hexdigest())
-    assert got == want
-    assert any(gone.values())
+        want.append((rows[i][0], len(b), len(gone[i]), spans, hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in gone[i])).hexdigest()))
+    return sorted(want, key=repr)
+
+
+def removed(docs):
+    out = suffix_dedup.digests(suffix_dedup.remove_repeats(docs)).collect()
+    assert all(r.repeated == (r.n_removed > 0) for r in out)
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=repr)
+
+
+def test_suffix_dedup_against_all_windows(spark):
+    rows, docs = documents(spark)
+    want = without_repeats(rows)
+    assert removed(docs) == want
+    assert any(x[2] for x in want)
+
+
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    rng = random.Random(8)
+    middle = "".join(rng.choices("abcdefgh ", k=330))
+    tails = ["".join(rng.choices("xyz", k=90)) for _ in range(4)]
+    rows = [(i, "".join(rng.choices("rstu", k=60)) + tails[i % 3][:40] + middle + tails[i % 4] + "".join(rng.choices("rstu", k=200))) for i in range(24)]
+    rows += [(None, rows[3][1]), (3, rows[3][1]), (50, "ab" * 700), (51, "é" * 300 + middle), (52, None), (53, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = without_repeats(rows)
+    for group in (1, 2, 20_000):
+        monkeypatch.setattr(suffix_dedup, "GROUP", group)
+        assert removed(docs) == want
+
+
+def test_suffix_dedup_across_chunks_of_a_long_text(spark):
+    rng = random.Random(9)
+    letters = lambda x, n: "".join(rng.choices(x, k=n))
+    passage = letters("abcdefghij ", 900)
+    before, after = letters("klmnopqrst", suffix_dedup.CHUNK - 450), letters("klmnopqrst", 1000)
+    docs = spark.createDataFrame([(1, before + passage + after), (2, passage), (3, "z" * 1500)], "doc_id long, text string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert removed(docs) == [(1, len(before + after) + 900, 900, 1, sha(before + after)), (2, 900, 900, 1, sha("")), (3, 1500, 1500, 1, sha(""))]
+
+
+def test_multikey_quicksort(spark):
+    keys = np.random.default_rng(1).integers(0, 4, (500, 6)).astype(np.uint64)
+    order = suffix_dedup.multikey_quicksort(keys)
+    assert sorted(order.tolist()) == list(range(500))
+    assert keys[order].tolist() == sorted(keys.tolist())
 
 
 def base_spans(text):
