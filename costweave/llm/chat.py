@@ -1,7 +1,8 @@
 """Chat formatting with offset-aligned loss masks.
 
 A conversation is rendered whole, encoded once with offsets, and its sorted assistant spans are intersected with the
-token spans by binary search. Turns are marked by control strings; where a text or role holds something that reads as
+token spans by binary search. Turns are marked by control strings, which are tokens of their own on either side of a
+text, so no token reaches over a text's edge (a mask that did would be an error). Where a text or role holds something that reads as
 one (of this template or another usual one), a backslash goes behind its first character, and one backslash more where
 some stand there already, so unescaping gives the text back.
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-START, END = "<|im_start|>", "<|im_end|>"
+START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 ASSISTANT = "assistant"
 SEGMENT = 1 << 20
 _CONTROL = r"(\||/?s>|/?INST\]|/?SYS>)"
@@ -37,20 +38,11 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2\3", text)
 
 
-def escape_role(role: str) -> str:
-    """A role stands on one line."""
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
-
-
-def unescape_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
-
-
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation and the sorted spans of its assistant texts."""
     parts, at, spans = [], 0, []
     for role, text in turns:
-        head, body = f"{START}{escape_role(role)}\n", escape(text)
+        head, body = f"{START}{escape(role)}{SEP}", escape(text)
         if role == ASSISTANT and body:
             spans.append((at + len(head), at + len(head) + len(body)))
         parts += [head, body, END, "\n"]
@@ -59,12 +51,12 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 
 def parse(formatted: str):
-    """(role, start, end) of each turn's escaped text, in order."""
+    """(role, text) of each turn, in order, unescaped."""
     at = 0
     while (at := formatted.find(START, at)) >= 0:
-        line = formatted.index("\n", at)
+        line = formatted.index(SEP, at)
         end = formatted.index(END, line)
-        yield unescape_role(formatted[at + len(START) : line]), line + 1, end
+        yield unescape(formatted[at + len(START) : line]), unescape(formatted[line + len(SEP) : end])
         at = end + len(END)
 
 
@@ -74,7 +66,11 @@ def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) ->
         return np.zeros(len(starts), bool)
     begin, stop = np.array(spans).T
     i = np.searchsorted(stop, starts, "right")
-    return (i < len(begin)) & (begin[np.minimum(i, len(begin) - 1)] < ends)
+    near = np.minimum(i, len(begin) - 1)
+    under = (i < len(begin)) & (begin[near] < ends)
+    if (under & ((starts < begin[near]) | (ends > stop[near]))).any():
+        raise ValueError("a token reaches over the edge of a text")
+    return under
 
 
 def _tokenizer(path: str | None):
@@ -82,7 +78,7 @@ def _tokenizer(path: str | None):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-    t.add_special_tokens([START, END])
+    t.add_special_tokens([START, SEP, END])
     return t
 
 
@@ -126,15 +122,13 @@ def format_conversations(turns: DataFrame, path: str | None = None) -> DataFrame
     return rows.mapInArrow(build, FORMATTED)
 
 
-def masked_texts(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray):
-    """(role, text, text under the loss mask) of each turn, unescaped; the mask is read off the tokens alone."""
-    cover = np.zeros(len(formatted) + 1, np.int64)
-    np.add.at(cover, starts[loss], 1)
-    np.add.at(cover, ends[loss], -1)
-    cover = cover.cumsum() > 0
-    for role, lo, hi in parse(formatted):
-        under = "" if not cover[lo:hi].any() else formatted[lo:hi] if cover[lo:hi].all() else "".join(c for c, k in zip(formatted[lo:hi], cover[lo:hi], strict=True) if k)
-        yield role, unescape(formatted[lo:hi]), unescape(under) if role == ASSISTANT else ""
+def under_mask(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> list[str]:
+    """All text under the loss mask, run by run, unescaped; it is read off the tokens and their mask alone."""
+    edges = np.zeros(len(formatted) + 1, np.int64)
+    np.add.at(edges, starts[loss], 1)
+    np.add.at(edges, ends[loss], -1)
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], (edges.cumsum() > 0).astype(np.int8), [0]])))
+    return [unescape(formatted[a:b]) for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -154,9 +148,10 @@ def digests(formatted: DataFrame) -> DataFrame:
                         rows.append(result())
                     key, turns, chars, loss_chars, all_text, loss_text = conv, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
                 chars += len(text)
-                for role, whole, under in masked_texts(text, *(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("starts", "ends", "loss"))):
+                for role, whole in parse(text):
                     turns += 1
                     all_text.update(f"{role}\n{whole}\n".encode())
+                for under in under_mask(text, *(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("starts", "ends", "loss"))):
                     loss_text.update(under.encode())
                     loss_chars += len(under)
             if len(rows) > 1000:
