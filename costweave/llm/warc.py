@@ -1,12 +1,16 @@
 """WARC archives as Zstandard files: one frame per record, the dictionary in a leading skippable frame.
 
-Spark's own text writer writes the archives: a row is a frame (the first row of a file the dictionary's skippable
-frame), and the line separator is an empty skippable frame, which every Zstandard reader passes over. So they reach
-any store that Spark reaches, and a task holds one archive's dictionary sample at most.
+Spark's own text writer writes the archives: a row is a whole archive (the dictionary's skippable frame and the record
+frames behind it), which ends once it has ARCHIVE_BYTES, and a file holds one row. The line separator is an empty
+skippable frame, which every Zstandard reader passes over. So they reach any store that Spark reaches, and a task holds
+one archive at most, however many pages there are. The reader walks block headers to a frame's end, so an archive is
+read once.
 
 Records with equal payloads share one response, of the smallest page_id (every row of it, should one repeat); the
-others are revisit records without payload. Null html is an empty payload; a row with a null page_id is a response
-only where no row of its payload has an id. An empty table gives no archive and no rows.
+others are revisit records without payload. Only (page_id, digest) travels by digest: a payload that many pages share
+moves no page to another's task. Null html is an empty payload; a row with a null page_id is a response only where no
+row of its payload has an id. A very long page is one long record. Columns but page_id, url and html are not looked at.
+An empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ FRAME, SKIPPABLE, DICTIONARY = 0xFD2FB528, range(0x184D2A50, 0x184D2A60), 0x184D
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 DICT_BYTES, DICT_SAMPLE = 16 << 10, 1 << 20
 LEVEL = 3
+#: Compressed bytes after which an archive ends, so that one value holds it (and one record more at most).
+ARCHIVE_BYTES = 32 << 20
 RECORD = "page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary, archive string"
 _PREFIX = "urn:x-page:"
 
@@ -84,6 +90,24 @@ def parse_record(data: bytes) -> dict:
     return {"page_id": number(headers["WARC-Record-ID"]), "record_type": kind, "target_uri": headers["WARC-Target-URI"], "payload_bytes": int(headers["WARC-Payload-Length"]), "payload_digest": headers["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": number(headers.get("WARC-Refers-To", "")), "payload": payload}
 
 
+def frame_end(data: bytes, at: int) -> int:
+    """Where the Zstandard frame at ``at`` ends, by its header and its block headers."""
+    flags = data[at + 4]
+    single, checksum, dictionary, content = flags >> 5 & 1, flags >> 2 & 1, flags & 3, flags >> 6
+    at += 5 + (not single) + (0, 1, 2, 4)[dictionary] + (single, 2, 4, 8)[content]
+    last = False
+    while not last:
+        if at + 3 > len(data):
+            raise ValueError("frame is cut off")
+        block = int.from_bytes(data[at : at + 3], "little")
+        last, kind, size = block & 1, block >> 1 & 3, block >> 3
+        at += 3 + (1 if kind == 1 else size)  # a run-length block holds one byte
+    at += 4 * checksum
+    if at > len(data):
+        raise ValueError("frame is cut off")
+    return at
+
+
 def read_archive(data: bytes):
     """Records of one archive: the dictionary from the leading skippable frame, then frame after frame."""
     at, end = 0, len(data)
@@ -101,12 +125,9 @@ def read_archive(data: bytes):
                 decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
             at += 8 + size
         elif magic == FRAME:
-            frame = decoder.decompressobj()
-            record = frame.decompress(memoryview(data)[at:])
-            if not frame.eof:
-                raise ValueError("frame is cut off")
-            at = end - len(frame.unused_data)
-            yield parse_record(record)
+            stop = frame_end(data, at)
+            yield parse_record(decoder.decompressobj().decompress(data[at:stop]))
+            at = stop
         else:
             raise ValueError(f"no frame at byte {at}")
 
@@ -120,44 +141,47 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write (page_id, url, html) into ``path``, an archive per task."""
+    """Write (page_id, url, html) into ``path``, archives of ARCHIVE_BYTES."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("key", F.sha2("html", 256))
-    twice = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    rows = rows.join(twice, "key", "left").drop("key")
+    rows = rows.withColumns({"key": F.sha2("html", 256), "id": F.coalesce("page_id", F.lit(-(2**63)))})
+    slim = rows.select("id", "page_id", "key")
+    twice = slim.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    others = slim.join(twice, "key").where("page_id is null or page_id <> first").select("id", "key", "first").distinct()
+    rows = rows.join(others, ["id", "key"], "left").select("page_id", "url", "html", "first")
 
     def build(batches):
-        held, size, encoder = [], 0, None
+        held, out, size, encoder = [], [], 0, None
 
         def start():
             content = _dictionary([x[:100_000] for x in held])
-            dictionary = zstandard.ZstdCompressionDict(content)
-            return struct.pack("<II", DICTIONARY, len(content)) + content, zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)
+            encoder = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content))
+            return [struct.pack("<II", DICTIONARY, len(content)), content, *map(encoder.compress, held)], encoder
 
-        def records(batch):
-            for page_id, url, html, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
-                revisit = first is not None and page_id != first
-                yield build_record(page_id, url, html.encode(), first if revisit else None, revisit)
+        def archive(frames):
+            return pa.record_batch([pa.array([b"".join(frames)], pa.binary())], ["value"])
 
         for batch in batches:
-            out = []
-            for r in records(batch):
+            for page_id, url, html, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
+                record = build_record(page_id, url, html.encode(), first, first is not None)
                 if encoder is None:
-                    held.append(r)
-                    size += len(r)
+                    held.append(record)
+                    size += len(record)
                     if size >= DICT_SAMPLE:
-                        frame, encoder = start()
-                        out += [frame, *map(encoder.compress, held)]
-                        held.clear()
+                        out, encoder = start()
+                        held, size = [], sum(map(len, out))
                 else:
-                    out.append(encoder.compress(r))
-            yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
+                    out.append(encoder.compress(record))
+                    size += len(out[-1])
+                    if size >= ARCHIVE_BYTES:
+                        yield archive(out)
+                        held, out, size, encoder = [], [], 0, None
         if held:
-            frame, encoder = start()
-            yield pa.record_batch([pa.array([frame, *map(encoder.compress, held)], pa.binary())], ["value"])
+            out, _ = start()
+        if out:
+            yield archive(out)
 
     # a binary's bytes stay as they are when it is cast to a string and written
-    rows.select("page_id", "url", "html", "first").mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).option("compression", "none").text(path)
+    rows.mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
