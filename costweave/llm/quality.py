@@ -11,7 +11,8 @@ hot host is no hot task. The classifier is fitted on SAMPLE labelled rows at mos
 posteriors is broadcast only up to BROADCAST_ROWS rows, beyond that it is joined by a shuffle.
 
 Null and empty texts have statistics of zero; null hosts or paths are groups of their own; a doc_id that is labelled
-twice with both values counts as good. Without labels of both kinds everything is kept. Repeated rows give repeated rows.
+twice with both values counts as good. Texts are taken whole, however long, and other columns kept, whatever their
+names. Without labels of both kinds everything is kept. Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def strength(groups: DataFrame, mean: float) -> float:
 
 
 def classify(docs: DataFrame, labels: DataFrame, host="source", path="lang") -> DataFrame:
-    """``docs`` with evidence, prior and posterior of good quality, and ``keep``."""
+    """``docs`` with evidence, prior and posterior of good quality, and ``keep``; columns of these names are replaced."""
     good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("quality").cast("int").alias("good"))
     total, positive = good.agg(F.count("*"), F.sum("good")).first()
     extra = {"evidence": F.lit(0.0), "prior": F.lit(1.0), "posterior": F.lit(1.0), "keep": F.lit(True)}
@@ -107,14 +108,16 @@ def classify(docs: DataFrame, labels: DataFrame, host="source", path="lang") ->
     hosts = hosts.select(F.col("host").alias("h"), ((F.col("good") + m_host * mean) / (F.col("n") + m_host)).alias("p_host"))
     priors = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select("host", "path", ((F.col("good") + m_path * F.col("p_host")) / (F.col("n") + m_path)).alias("p"))
     hosts, priors = (F.broadcast(t) if t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else t for t in (hosts, priors))
-    joined = docs.join(priors, docs[host].eqNullSafe(priors["host"]) & docs[path].eqNullSafe(priors["path"]), "left").join(hosts, docs[host].eqNullSafe(hosts["h"]), "left")
-    prior = F.coalesce("p", "p_host", F.lit(mean))
-    out = joined.select(*(docs[c] for c in docs.columns), evidence.alias("evidence"), prior.alias("prior"))
+    # the rows travel as one struct, so no column of theirs can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col(host).alias("own_host"), F.col(path).alias("own_path"), evidence.alias("evidence"))
+    joined = rows.join(priors, F.col("own_host").eqNullSafe(F.col("host")) & F.col("own_path").eqNullSafe(F.col("path")), "left").join(hosts, F.col("own_host").eqNullSafe(F.col("h")), "left")
+    names = [c for c in docs.columns if c not in extra]
+    out = joined.select(*(F.col("row").getField(c).alias(c) for c in names), "evidence", F.coalesce("p", "p_host", F.lit(mean)).alias("prior"))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("prior") / (1 - F.col("prior")))))))
     return out.withColumn("keep", F.col("posterior") >= CUT)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host="source", path="lang") -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with their own columns, whatever their names."""
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", host, path)
-    return classify(rows, labels, host, path).where("keep").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path"))
+    return classify(rows, labels, "host", "path").where("keep").select("row.*")
