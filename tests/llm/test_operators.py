@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -176,6 +177,38 @@ def test_secrets_against_regular_expressions(spark):
     assert all(base_spans(r.text or "") == "" or "<secret>" not in r.text for r in clean.collect())
 
 
+HELD_OUT = """TransactionProcessingServiceFactory AbstractSingletonProxyFactoryBean SimpleAnnotationMetadataReader
+user_authentication_token_expiry get_all_active_subscriptions internal_server_error_handler com/example/project/module/Component
+the-quick-brown-fox-jumps-over FEATURE_FLAG_ENABLE_DARK_MODE handleIncomingWebSocketMessage programmation-orientee-objet-avancee
+Bundesausbildungsfoerderungsgesetz 2020-05-05T12-00-00-0000 test_should_return_error_when_empty LinkedBlockingQueueConsumerThread""".split()
+
+
+def test_markov_spans_on_random_strings_and_identifiers(spark):
+    rng = random.Random(21)
+    random_strings = ["".join(rng.choices(secrets.ALPHABET[:n], k=k)) for n in (62, 64) for k in (24, 32, 48) for _ in range(20)]
+    rows = [(i, f"see {x} here") for i, x in enumerate(random_strings + HELD_OUT)] + [(900, "id " + random_strings[0] + "=password=" + "q" * 9), (901, "0" * 31 + "f" + "Z" + random_strings[1])]
+    found = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(random_strings)
+    assert sum("markov:4:" in found[i] for i in range(n)) >= 0.95 * n
+    assert not any("markov" in found[i] for i in range(n, n + len(HELD_OUT)))
+    assert "assign" in found[900] and "markov" not in found[900] and found[901] == "hex:0:32"
+
+
+def test_secrets_in_very_long_texts(spark):
+    parts = [f"token = {'abcdefgh' * 2}{i} AKIA{'Q7' * 8} {'0f' * 18} w{i}" for i in range(9000)]
+    long = " ".join(parts)
+    rows = [(1, long), (2, None), (3, ""), (3, "token: 12345678"), (3, "token: 12345678"), (None, "token: 12345678")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, secret_base string, row int")
+    start = time.time()
+    got = sorted(((r.doc_id, r.base_sha256) for r in secrets.scan(docs).collect()), key=repr)
+    assert got == sorted(((i, hashlib.sha256(base_spans(t or "").encode()).hexdigest()) for i, t in rows), key=repr)
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns
+    texts = [r.text for r in clean.where("doc_id = 1 or doc_id = 3").orderBy("doc_id", "text").collect()]
+    assert texts[0] == " ".join(f"<secret> <secret> <secret> w{i}" for i in range(9000)) and texts[1:] == ["", "<secret>", "<secret>"]
+    assert time.time() - start < 60
+
+
 def test_packing_is_gapless(spark):
     _, docs = documents(spark)
     rows = packing.pack(packing.pieces(docs)).collect()
