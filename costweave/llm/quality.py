@@ -109,10 +109,10 @@ def classify(docs: DataFrame, labels: DataFrame, host="source", path="lang") ->
     priors = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select("host", "path", ((F.col("good") + m_path * F.col("p_host")) / (F.col("n") + m_path)).alias("p"))
     hosts, priors = (F.broadcast(t) if t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else t for t in (hosts, priors))
     # the rows travel as one struct, so no column of theirs can clash
-    rows = docs.select(F.struct("*").alias("row"), F.col(host).alias("own_host"), F.col(path).alias("own_path"), evidence.alias("evidence"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(host).alias("own_host"), F.col(path).alias("own_path"), "text")
     joined = rows.join(priors, F.col("own_host").eqNullSafe(F.col("host")) & F.col("own_path").eqNullSafe(F.col("path")), "left").join(hosts, F.col("own_host").eqNullSafe(F.col("h")), "left")
     names = [c for c in docs.columns if c not in extra]
-    out = joined.select(*(F.col("row").getField(c).alias(c) for c in names), "evidence", F.coalesce("p", "p_host", F.lit(mean)).alias("prior"))
+    out = joined.select(*(F.col("row").getField(c).alias(c) for c in names), evidence.alias("evidence"), F.coalesce("p", "p_host", F.lit(mean)).alias("prior"))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("prior") / (1 - F.col("prior")))))))
     return out.withColumn("keep", F.col("posterior") >= CUT)
 
