@@ -19,11 +19,13 @@ hashes. An empty table gives an empty result; other columns are kept as they are
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from costweave.llm.words import mix, text_buffers
 from costweave.session import Scratch, stage
@@ -36,6 +38,7 @@ SMALL = 12  # strings that multikey quicksort leaves to an insertion sort
 GROUP = 20_000
 #: Widths of the ranges of window places that a group too large is split into, one after the other.
 WIDTHS = (40, 5, 1)
+PIECE = 500  # rows of a batch of remaining texts
 BATCH = 10_000  # records sorted together, whole groups
 #: Tables of arrays are broadcast up to so many bytes, as counted.
 BROADCAST_BYTES = 64 << 20
@@ -366,43 +369,41 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(row, n_bytes, n_removed, n_spans, kept) of every row: the row itself as a struct, its counts and its remaining bytes."""
+    """Every row: ``row`` (a struct of its columns but the text), ``text`` (what is left; characters that a removal cuts
+    through are dropped), ``spans`` (the removed byte ranges [a, b)), and ``n_bytes``, ``n_removed`` and ``kept_sha256``
+    of the text before, of what went, and of the exact bytes left."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    rows = docs.select(others.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"k": F.xxhash64("row.doc_id", "text"), "k2": F.xxhash64("text", "row.doc_id", F.lit(9))})
     spans = stage(repeated_spans(rows.select("k", "k2", "text"), scratch), "spans")
     scratch.close()
 
     def cut(batches):
         for batch in batches:
-            n, removed, count, kept = [], [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                raw, at, parts = memoryview(text.as_buffer() or b""), 0, []
-                for x in spans or ():
-                    parts.append(raw[at : x["a"]])
-                    at = x["b"]
-                kept.append(b"".join([*parts, raw[at:]]))
-                n.append(len(raw))
-                removed.append(len(raw) - len(kept[-1]))
-                count.append(len(spans or ()))
-            yield pa.record_batch([batch.column("row"), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+            for at in range(0, batch.num_rows, PIECE):
+                yield piece(batch.slice(at, PIECE))
+
+    def piece(batch):
+        n, removed, sha, left = [], [], [], []
+        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            raw, at, parts = memoryview(text.as_buffer() or b""), 0, []
+            for x in spans or ():
+                parts.append(raw[at : x["a"]])
+                at = x["b"]
+            kept = b"".join([*parts, raw[at:]])
+            n.append(len(raw))
+            removed.append(len(raw) - len(kept))
+            sha.append(hashlib.sha256(kept).hexdigest())
+            left.append(kept.decode("utf-8", "ignore"))
+        return pa.record_batch([batch.column("row"), pa.array(left, pa.string()), batch.column("spans"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["row", "text", "spans", "n_bytes", "n_removed", "kept_sha256"])
 
     joined = rows.join(_bounded(spans, "spans", 32), ["k", "k2"], "left").select("row", "text", "spans")
-    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType
-    schema = StructType([StructField("row", kind), *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
+    schema = StructType([*joined.schema, StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
     return joined.mapInArrow(cut, schema)
 
 
 def digests(removed: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated, kept_text) of the rows of ``remove_repeats``.
-
-    ``kept_text`` is what is left as text; characters that a removal cuts through are dropped from it.
-    """
-
-    def decode(batches):
-        for batch in batches:
-            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "kept_text"])
-
-    rows = removed.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"), "kept")
-    return rows.mapInArrow(decode, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean, kept_text string")
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated, kept_text) of the rows of ``remove_repeats``."""
+    n_spans = F.coalesce(F.size("spans"), F.lit(0)).cast("long")
+    return removed.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", F.greatest(n_spans, F.lit(0)).alias("n_spans"), "kept_sha256", (F.col("n_removed") > 0).alias("repeated"), F.col("text").alias("kept_text"))
