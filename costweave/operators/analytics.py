@@ -138,3 +138,12 @@ def project_stats(items: DataFrame) -> DataFrame:
 
 def master_stats(catalogue: DataFrame) -> DataFrame:
     return catalogue.groupBy("sec_code").agg(F.count("*").alias("n_masters"), F.count_distinct("description").alias("n_descriptions"), F.min("ref_price").alias("lowest"), F.max("ref_price").alias("highest"))
+
+
+def file_totals(items: DataFrame) -> DataFrame:
+    return items.groupBy("file_id").agg(F.count("*").alias("n_rows"), total("amount").alias("total_amount"))
+
+
+def most_used(items: DataFrame, k: int) -> DataFrame:
+    """The k catalogue rows that most line items refer to; ties by id."""
+    return items.groupBy("master_id").agg(F.count("*").alias("occurrences")).orderBy(F.desc("occurrences"), "master_id").limit(k)

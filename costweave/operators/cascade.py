@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costweave.operators import matching
+from costweave.session import stage
 
 TIERS = ("exact", "synonym", "token")
 
@@ -26,8 +27,8 @@ def cascade(items: DataFrame, catalogue: DataFrame, synonyms: DataFrame) -> Data
     rows = items.withColumns({"synonym_key": F.lower(F.trim("description")), "token_key": words("description")})
     rows = matching.exact(rows, catalogue).withColumnRenamed("matched_id", "exact_id")
     rows = rows.join(synonym_lookup(synonyms), "synonym_key", "left").join(by_token, "token_key", "left")
-    stage = F.when(F.col("exact_id").isNotNull(), TIERS[0]).when(F.col("synonym_id").isNotNull(), TIERS[1]).when(F.col("token_id").isNotNull(), TIERS[2]).otherwise("new")
-    rows = rows.withColumns({"stage": stage, "matched_id": F.coalesce("exact_id", "synonym_id", "token_id")})
+    tier = F.when(F.col("exact_id").isNotNull(), TIERS[0]).when(F.col("synonym_id").isNotNull(), TIERS[1]).when(F.col("token_id").isNotNull(), TIERS[2]).otherwise("new")
+    rows = rows.withColumns({"stage": tier, "matched_id": F.coalesce("exact_id", "synonym_id", "token_id")})
     return rows.drop("key", "synonym_key", "token_key", "exact_id", "synonym_id", "token_id")
 
 
@@ -35,8 +36,8 @@ def stage_metrics(cascaded: DataFrame) -> DataFrame:
     """Items that enter and leave each tier, in tier order; tiers that resolve nothing are listed too."""
     spark = cascaded.sparkSession
     tiers = spark.createDataFrame(list(enumerate(TIERS)), "ord int, stage string")
-    counts = cascaded.groupBy("stage").agg(F.count("*").alias("resolved"))
-    total = cascaded.agg(F.count("*").alias("total"))
+    counts = stage(cascaded.groupBy("stage").agg(F.count("*").alias("resolved")), "tiers")  # one row a tier
+    total = counts.agg(F.coalesce(F.sum("resolved"), F.lit(0)).alias("total"))
     before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = tiers.join(counts, "stage", "left").crossJoin(total).withColumn("resolved", F.coalesce("resolved", F.lit(0)))
     rows = rows.withColumn("items_in", F.col("total") - F.coalesce(F.sum("resolved").over(before), F.lit(0)))
@@ -56,3 +57,10 @@ def elect_canonical(variants: DataFrame, cluster: list[str]) -> DataFrame:
     best = F.row_number().over(Window.partitionBy(*cluster).orderBy(*order))
     total = F.sum("frequency").over(Window.partitionBy(*cluster))
     return variants.withColumns({"total_frequency": total, "_place": best}).where("_place = 1").drop("_place")
+
+
+def route(items: DataFrame) -> DataFrame:
+    """``items`` with ``route``: the first reason to reject a row, or the gate that its confidence passes (green from 90)."""
+    text, c = F.trim("description"), F.col("confidence")
+    reason = F.when(F.length(text) < 3, "too short").when((F.col("unit_price") <= 0) | (F.col("quantity") <= 0), "no price").when(c < 60, "low confidence")
+    return items.withColumn("route", F.coalesce(reason, F.when(c >= 90, "green").otherwise("yellow")))

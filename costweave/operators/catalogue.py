@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 PARETO = 80  # percent of all rows
 QUANTITY_CHANGE, PRICE_CHANGE = 0.01, 0.05
 
@@ -45,17 +44,11 @@ def _last_lines(items: DataFrame, numbered: DataFrame) -> DataFrame:
 
 
 def _with_status(pairs: DataFrame) -> DataFrame:
+    """Added and removed go by presence, not by a quantity that may be null; unknown changes count as none."""
     far = lambda a, b, most: F.abs(F.col(b) - F.col(a)) > F.abs(F.col(a)) * most
-    status = F.when(F.col("quantity_old").isNull(), "added").when(F.col("quantity_new").isNull(), "removed").when(far("quantity_old", "quantity_new", QUANTITY_CHANGE) | far("price_old", "price_new", PRICE_CHANGE), "modified").otherwise("unchanged")
-    return pairs.withColumn("status", status)
-
-
-def version_diff(items: DataFrame, files: DataFrame) -> DataFrame:
-    """Items of a project's first version against its second one, by lower-cased trimmed description; last line wins."""
-    numbered = versions(files).where("version <= 2").select("file_id", "project_id", "version")
-    last = _last_lines(items, numbered)
-    old, new = (last.where(F.col("version") == v).select("project_id", "item", F.col("quantity").alias(f"quantity_{n}"), F.col("unit_price").alias(f"price_{n}")) for v, n in ((1, "old"), (2, "new")))
-    return _with_status(old.join(new, ["project_id", "item"], "full_outer"))
+    changed = far("quantity_old", "quantity_new", QUANTITY_CHANGE) | far("price_old", "price_new", PRICE_CHANGE)
+    status = F.when(F.col("here_old").isNull(), "added").when(F.col("here_new").isNull(), "removed").when(changed, "modified").otherwise("unchanged")
+    return pairs.withColumn("status", status).drop("here_old", "here_new")
 
 
 def version_diffs(items: DataFrame, files: DataFrame) -> DataFrame:
@@ -68,7 +61,7 @@ def version_diffs(items: DataFrame, files: DataFrame) -> DataFrame:
     newest = numbered.groupBy("project_id").agg(F.max("version").alias("newest"))
     old = last.join(newest, "project_id").where("version < newest").withColumn("version", F.col("version") + 1)
     new = last.where("version > 1")
-    old, new = (x.select("project_id", "version", "item", F.col("quantity").alias(f"quantity_{n}"), F.col("unit_price").alias(f"price_{n}")) for x, n in ((old, "old"), (new, "new")))
+    old, new = (x.select("project_id", "version", "item", F.col("quantity").alias(f"quantity_{n}"), F.col("unit_price").alias(f"price_{n}"), F.lit(True).alias(f"here_{n}")) for x, n in ((old, "old"), (new, "new")))
     return _with_status(old.join(new, ["project_id", "version", "item"], "full_outer"))
 
 
@@ -76,3 +69,15 @@ def next_codes(rows: DataFrame, prefix: str, order: list[str]) -> DataFrame:
     """Work codes PREFIX-0001, ... numbered within the prefix; more than four digits when needed."""
     number = F.row_number().over(Window.partitionBy(prefix).orderBy(*order)).cast("string")
     return rows.withColumn("work_code", F.concat_ws("-", prefix, F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)))
+
+
+def price_ranges(items: DataFrame) -> DataFrame:
+    """Occurrences, least, largest and mean price, and the sorted distinct files of every (description, unit)."""
+    price = F.col("unit_price")
+    return items.groupBy("description", "unit").agg(F.count("*").alias("occurrences"), F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.round(F.avg(price), 4).alias("avg_price"), F.array_sort(F.collect_set("file_id")).alias("file_ids"))
+
+
+def same_content(files: DataFrame, key: str, content: str) -> DataFrame:
+    """Every file with the SHA-256 of its bytes and the smallest key that has the same; files without content are left out."""
+    rows = files.where(F.col(content).isNotNull()).select(key, F.sha2(content, 256).alias("digest"))
+    return rows.join(rows.groupBy("digest").agg(F.min(key).alias("first_id")), "digest")

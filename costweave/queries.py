@@ -124,25 +124,6 @@ def version_numbers(spark, sf_dir):
     return catalogue.versions(views.files(spark, sf_dir)).select("file_id", "project_id", "version")
 
 
-_DIFF = _VERSION + """, r AS (SELECT project_id, version, lower(trim(description)) AS item, quantity, unit_price AS price,
-  row_number() OVER (PARTITION BY project_id, version, lower(trim(description)) ORDER BY line_number DESC, master_id DESC, amount DESC) AS k FROM line_items JOIN v USING (file_id) WHERE version <= 2 AND trim(description) <> ''),
-a AS (SELECT * FROM r WHERE k = 1 AND version = 1), b AS (SELECT * FROM r WHERE k = 1 AND version = 2),
-d AS (SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.item, b.item) AS item, a.quantity AS quantity_old, a.price AS price_old, b.quantity AS quantity_new, b.price AS price_new,
-  CASE WHEN a.item IS NULL THEN 'added' WHEN b.item IS NULL THEN 'removed'
-    WHEN abs(b.quantity - a.quantity) > abs(a.quantity) * CAST(0.01 AS DOUBLE) OR abs(b.price - a.price) > abs(a.price) * CAST(0.05 AS DOUBLE) THEN 'modified' ELSE 'unchanged' END AS status
-  FROM a FULL OUTER JOIN b ON a.project_id = b.project_id AND a.item = b.item) """
-
-
-@query(_DIFF + "SELECT * FROM d")
-def version_diff_items(spark, sf_dir):
-    return catalogue.version_diff(views.line_items(spark, sf_dir), views.files(spark, sf_dir))
-
-
-@query(_DIFF + "SELECT project_id, status, count(*) AS n_items FROM d GROUP BY 1, 2")
-def version_diff_summary(spark, sf_dir):
-    return version_diff_items(spark, sf_dir).groupBy("project_id", "status").agg(F.count("*").alias("n_items"))
-
-
 _DIFFS = _VERSION + """, r AS (SELECT project_id, version, lower(trim(description)) AS item, quantity, unit_price AS price,
   row_number() OVER (PARTITION BY project_id, version, lower(trim(description)) ORDER BY line_number DESC, master_id DESC, amount DESC) AS k FROM line_items JOIN v USING (file_id) WHERE trim(description) <> ''),
 n AS (SELECT project_id, max(version) AS newest FROM v GROUP BY 1),
@@ -155,13 +136,13 @@ d AS (SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.vers
 
 
 @query(_DIFFS + "SELECT * FROM d")
-def version_diff_all_items(spark, sf_dir):
+def version_diff_items(spark, sf_dir):
     return catalogue.version_diffs(views.line_items(spark, sf_dir), views.files(spark, sf_dir))
 
 
 @query(_DIFFS + "SELECT project_id, version, status, count(*) AS n_items FROM d GROUP BY 1, 2, 3")
-def version_diff_all_summary(spark, sf_dir):
-    return version_diff_all_items(spark, sf_dir).groupBy("project_id", "version", "status").agg(F.count("*").alias("n_items"))
+def version_diff_summary(spark, sf_dir):
+    return version_diff_items(spark, sf_dir).groupBy("project_id", "version", "status").agg(F.count("*").alias("n_items"))
 
 
 @query("SELECT master_id, sec_code || '-' || lpad(CAST(row_number() OVER (PARTITION BY sec_code ORDER BY master_id) AS VARCHAR), 4, '0') AS work_code FROM catalogue")
@@ -174,13 +155,6 @@ def exact_match_join(spark, sf_dir):
     return matching.exact(views.line_items(spark, sf_dir), views.catalogue(spark, sf_dir)).select("file_id", "line_number", "matched_id")
 
 
-@query("SELECT file_id, line_number, description FROM line_items WHERE lower(trim(description)) NOT IN (SELECT lower(trim(description)) FROM catalogue WHERE sec_code = 'Brand#11' AND unit = 'SMALL')")
-def unmatched_items(spark, sf_dir):
-    known = matching.lookup(views.catalogue(spark, sf_dir).where("sec_code = 'Brand#11' and unit = 'SMALL'"))
-    items = views.line_items(spark, sf_dir)
-    return items.join(known, F.lower(F.trim("description")) == F.col("key"), "left_anti").select("file_id", "line_number", "description")
-
-
 _WORDS = "list_distinct(string_split_regex(lower(trim({})), ' +'))"
 _A, _B = _WORDS.format("description"), _WORDS.format("unit || ' ' || sec_code || ' ' || description")
 
@@ -231,50 +205,14 @@ def validation_issue_counts(spark, sf_dir):
 
 
 # Tiered matching. The catalogue knows the descriptions of some brands only; synonyms are their words in reverse order.
-_CASCADE = """, known AS (SELECT * FROM catalogue WHERE sec_code IN ('Brand#11', 'Brand#12') AND master_id % 3 = 0),
-syn AS (SELECT master_id, description || ' type' AS synonym FROM catalogue WHERE sec_code = 'Brand#13'),
-items AS (SELECT file_id, line_number, CASE WHEN line_number % 3 = 1 THEN description || ' type' WHEN line_number % 3 = 2 THEN split_part(description, ' ', 2) || ' ' || split_part(description, ' ', 1) ELSE description END AS description FROM line_items),
-e AS (SELECT lower(trim(description)) AS k, max(master_id) AS id FROM known GROUP BY 1),
-s AS (SELECT lower(trim(synonym)) AS k, max(master_id) AS id FROM syn GROUP BY 1),
-t AS (SELECT array_to_string(list_sort(list_distinct(string_split_regex(lower(trim(description)), ' +'))), ' ') AS k, max(master_id) AS id FROM known GROUP BY 1),
-m AS (SELECT file_id, line_number, CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN s.id IS NOT NULL THEN 'synonym' WHEN t.id IS NOT NULL THEN 'token' ELSE 'new' END AS stage, coalesce(e.id, s.id, t.id) AS matched_id
-  FROM items i LEFT JOIN e ON lower(trim(i.description)) = e.k LEFT JOIN s ON lower(trim(i.description)) = s.k
-  LEFT JOIN t ON array_to_string(list_sort(list_distinct(string_split_regex(lower(trim(i.description)), ' +'))), ' ') = t.k) """
-
-
-def _cascaded(spark, sf_dir):
-    masters, words = views.catalogue(spark, sf_dir), F.split("description", " ")
-    known = masters.where("sec_code in ('Brand#11', 'Brand#12') and master_id % 3 = 0")
-    synonyms = masters.where("sec_code = 'Brand#13'").select("master_id", F.concat("description", F.lit(" type")).alias("synonym"))
-    part = F.col("line_number") % 3
-    text = F.when(part == 1, F.concat("description", F.lit(" type"))).when(part == 2, F.concat_ws(" ", words[1], words[0])).otherwise(F.col("description"))
-    items = views.line_items(spark, sf_dir).select("file_id", "line_number", text.alias("description"))
-    return cascade.cascade(items, known, synonyms)
-
-
-@query(_CASCADE + "SELECT * FROM m")
-def tier_cascade(spark, sf_dir):
-    return _cascaded(spark, sf_dir).select("file_id", "line_number", "stage", "matched_id")
-
-
-@query(_CASCADE + "SELECT file_id, line_number, matched_id FROM m WHERE stage = 'synonym'")
-def synonym_match_join(spark, sf_dir):
-    return _cascaded(spark, sf_dir).where("stage = 'synonym'").select("file_id", "line_number", "matched_id")
-
-
 _METRICS = """, tiers AS (SELECT * FROM (VALUES (0, 'exact'), (1, 'synonym'), (2, 'token')) AS v(ord, stage)),
 r AS (SELECT ord, tiers.stage, count(m.stage) AS resolved FROM tiers LEFT JOIN m ON m.stage = tiers.stage GROUP BY 1, 2),
 i AS (SELECT stage, resolved, CAST((SELECT count(*) FROM m) - coalesce(sum(resolved) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS items_in FROM r)
 SELECT stage, items_in, resolved, CASE WHEN items_in > 0 THEN resolved / CAST(items_in AS DOUBLE) ELSE 0.0 END AS hit_rate FROM i"""
 
 
-@query(_CASCADE + _METRICS)
-def funnel_stage_metrics(spark, sf_dir):
-    return cascade.stage_metrics(_cascaded(spark, sf_dir))
-
-
-# The same against the whole catalogue and all its synonyms; what no tier knows are descriptions with a word of their own.
-_CASCADE_ALL = """, items AS (SELECT file_id, line_number, CASE WHEN line_number = 7 THEN description || ' bespoke' WHEN line_number % 3 = 1 THEN description || ' type'
+# Items altered by a rule, against the whole catalogue and all its synonyms; what no tier knows are descriptions with a word of their own.
+_CASCADE = """, items AS (SELECT file_id, line_number, CASE WHEN line_number = 7 THEN description || ' bespoke' WHEN line_number % 3 = 1 THEN description || ' type'
   WHEN line_number % 3 = 2 THEN split_part(description, ' ', 2) || ' ' || split_part(description, ' ', 1) ELSE description END AS description FROM line_items),
 e AS (SELECT lower(trim(description)) AS k, max(master_id) AS id FROM catalogue GROUP BY 1),
 s AS (SELECT lower(trim(description || ' type')) AS k, max(master_id) AS id FROM catalogue GROUP BY 1),
@@ -292,28 +230,28 @@ def _altered(spark, sf_dir):
     return views.line_items(spark, sf_dir).select("file_id", "line_number", text.alias("description"))
 
 
-def _cascaded_all(spark, sf_dir):
+def _cascaded(spark, sf_dir):
     masters = views.catalogue(spark, sf_dir)
     return cascade.cascade(_altered(spark, sf_dir), masters, masters.select("master_id", F.concat("description", F.lit(" type")).alias("synonym")))
 
 
-@query(_CASCADE_ALL + "SELECT file_id, line_number, stage, matched_id FROM m")
-def tier_cascade_all(spark, sf_dir):
-    return _cascaded_all(spark, sf_dir).select("file_id", "line_number", "stage", "matched_id")
+@query(_CASCADE + "SELECT file_id, line_number, stage, matched_id FROM m")
+def tier_cascade(spark, sf_dir):
+    return _cascaded(spark, sf_dir).select("file_id", "line_number", "stage", "matched_id")
 
 
-@query(_CASCADE_ALL + "SELECT file_id, line_number, matched_id FROM m WHERE stage = 'synonym'")
-def synonym_match_join_all(spark, sf_dir):
-    return _cascaded_all(spark, sf_dir).where("stage = 'synonym'").select("file_id", "line_number", "matched_id")
+@query(_CASCADE + "SELECT file_id, line_number, matched_id FROM m WHERE stage = 'synonym'")
+def synonym_match_join(spark, sf_dir):
+    return _cascaded(spark, sf_dir).where("stage = 'synonym'").select("file_id", "line_number", "matched_id")
 
 
-@query(_CASCADE_ALL + _METRICS)
-def funnel_stage_metrics_all(spark, sf_dir):
-    return cascade.stage_metrics(_cascaded_all(spark, sf_dir))
+@query(_CASCADE + _METRICS)
+def funnel_stage_metrics(spark, sf_dir):
+    return cascade.stage_metrics(_cascaded(spark, sf_dir))
 
 
-@query(_CASCADE_ALL + "SELECT file_id, line_number, description FROM items WHERE lower(trim(description)) NOT IN (SELECT k FROM e)")
-def unmatched_items_all(spark, sf_dir):
+@query(_CASCADE + "SELECT file_id, line_number, description FROM items WHERE lower(trim(description)) NOT IN (SELECT k FROM e)")
+def unmatched_items(spark, sf_dir):
     known = matching.lookup(views.catalogue(spark, sf_dir))
     return _altered(spark, sf_dir).join(known, F.lower(F.trim("description")) == F.col("key"), "left_anti").select("file_id", "line_number", "description")
 
@@ -423,3 +361,44 @@ def fold_diacritics(spark, sf_dir):
 @query(f"SELECT doc_id FROM documents WHERE regexp_matches({_FOLD}, '(^|[^a-z0-9])(eeai|fur|e)($|[^a-z0-9])')")
 def fold_keyword_match(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(text.has_word("text", ["eeai", "fur", "e"])).select("doc_id")
+
+
+@query("SELECT file_id, count(*) AS n_rows, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount FROM line_items GROUP BY file_id")
+def file_totals(spark, sf_dir):
+    return analytics.file_totals(views.line_items(spark, sf_dir))
+
+
+@query("""SELECT description, unit, count(*) AS occurrences, min(unit_price) AS min_price, max(unit_price) AS max_price,
+  round(avg(unit_price), 4) AS avg_price, md5(array_to_string(list_sort(list(DISTINCT file_id)), ',')) AS files_md5
+FROM line_items GROUP BY description, unit""")
+def item_price_ranges(spark, sf_dir):
+    rows = catalogue.price_ranges(views.line_items(spark, sf_dir))
+    return rows.withColumn("files_md5", F.md5(F.array_join(F.transform("file_ids", lambda x: x.cast("string")), ","))).drop("file_ids")
+
+
+@query("SELECT master_id, count(*) AS occurrences FROM line_items GROUP BY master_id ORDER BY occurrences DESC, master_id LIMIT 100")
+def top_masters(spark, sf_dir):
+    return analytics.most_used(views.line_items(spark, sf_dir), 100)
+
+
+@query(f"SELECT master_id, CAST(len(list_intersect({_A}, {_B})) AS DOUBLE) / len(list_distinct(list_concat({_A}, {_B}))) AS similarity FROM catalogue")
+def keyword_jaccard(spark, sf_dir):
+    rows = views.catalogue(spark, sf_dir).withColumn("other", F.concat_ws(" ", "unit", "sec_code", "description"))
+    return rows.select("master_id", matching.jaccard("description", "other").alias("similarity"))
+
+
+@query("SELECT file_id, line_number, description, confidence FROM line_items WHERE method = 'R' AND sec_code = 'Brand#13' AND confidence >= 60 AND confidence <= 90 AND description ILIKE '%e%'")
+def line_item_filter(spark, sf_dir):
+    found = matching.select_items(views.line_items(spark, sf_dir), equal={"method": "R", "sec_code": "Brand#13", "file_id": None}, low=60, high=90, search="e")
+    return found.select("file_id", "line_number", "description", "confidence")
+
+
+@query("SELECT doc_id, sha256(text) AS digest, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents WHERE text IS NOT NULL")
+def duplicate_files(spark, sf_dir):
+    return catalogue.same_content(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(""", g AS (SELECT file_id, line_number, CASE WHEN length(trim(description)) < 3 THEN 'too short' WHEN unit_price <= 0 OR quantity <= 0 THEN 'no price' WHEN confidence < 60 THEN 'low confidence' END AS reason, confidence FROM line_items)
+SELECT coalesce(reason, CASE WHEN confidence >= 90 THEN 'green' ELSE 'yellow' END) AS route, count(*) AS n_items, min(confidence) AS lowest FROM g GROUP BY 1""")
+def routing_counts(spark, sf_dir):
+    return cascade.route(views.line_items(spark, sf_dir)).groupBy("route").agg(F.count("*").alias("n_items"), F.min("confidence").alias("lowest"))

@@ -7,9 +7,10 @@ from costweave.operators import analytics, catalogue, hierarchy
 def test_every_version_meets_the_one_before(spark):
     files = spark.createDataFrame([(10 + v, 1, v) for v in range(1, 5)] + [(20, 2, 1)], "file_id long, project_id long, uploaded_at long")
     lines = [(11, "pipe", 1.0), (12, "pipe", 1.0), (13, "pipe", 3.0), (13, "valve", 1.0), (20, "pump", 1.0)]  # version 4 is empty
+    lines += [(11, "bolt", None), (12, "bolt", None), (13, "bolt", 4.0)]
     items = spark.createDataFrame([(f, 1, 1, d, q, 2.0, q) for f, d, q in lines], "file_id long, line_number long, master_id long, description string, quantity double, unit_price double, amount double")
     got = {(r.project_id, r.version, r["item"], r.status) for r in catalogue.version_diffs(items, files).collect()}
-    assert got == {(1, 2, "pipe", "unchanged"), (1, 3, "pipe", "modified"), (1, 3, "valve", "added"), (1, 4, "pipe", "removed"), (1, 4, "valve", "removed")}
+    assert got == {(1, 2, "pipe", "unchanged"), (1, 3, "pipe", "modified"), (1, 3, "valve", "added"), (1, 4, "pipe", "removed"), (1, 4, "valve", "removed"), (1, 2, "bolt", "unchanged"), (1, 3, "bolt", "unchanged"), (1, 4, "bolt", "removed")}
 
 
 def test_nearest_vectors_of_other_labels_and_none(spark, monkeypatch):
@@ -23,12 +24,12 @@ def test_items_meet_the_whole_catalogue(spark):
     data = "/root/testdata/sf0.001"
     items, masters = queries.views.line_items(spark, data), queries.views.catalogue(spark, data)
     known = {r.description.lower() for r in masters.collect()}
-    stages = {(r.file_id, r.line_number, r.stage) for r in queries.tier_cascade_all(spark, data).collect()}
+    stages = {(r.file_id, r.line_number, r.stage) for r in queries.tier_cascade(spark, data).collect()}
     assert {s for _, line, s in stages if line % 3 == 0} == {"exact"}
     assert {s for _, line, s in stages if line == 7} == {"new"}
     assert {s for _, line, s in stages if line in (1, 4)} == {"synonym"}
-    assert all(r.description.lower() not in known for r in queries.unmatched_items_all(spark, data).collect())
-    assert queries.unmatched_items_all(spark, data).where("line_number = 7").count() == items.where("line_number = 7").count()
+    assert all(r.description.lower() not in known for r in queries.unmatched_items(spark, data).collect())
+    assert queries.unmatched_items(spark, data).where("line_number = 7").count() == items.where("line_number = 7").count()
 
 
 def test_ranks_hold_no_group_in_one_task(spark):
