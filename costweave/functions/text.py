@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
-# Letters with diacritics and what they fold to.
-ACCENTED = "àáâäãåçèéêëìíîïñòóôöõùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _accented() -> dict[str, str]:
+    """Lower-case Latin letters with diacritics, Vietnamese ones among them, and the plain letter that each is built on."""
+    letters = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block if chr(c).islower()}
+    return {c: base for c, base in letters.items() if c != base and base.isascii()} | {"đ": "d"}
+
+
+ACCENTED, PLAIN = ("".join(x) for x in zip(*_accented().items(), strict=True))
+MARKS = "[\u0300-\u036f]"
 
 
 def fold(column: str) -> F.Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(column), ACCENTED, PLAIN)
+    """Lower case without diacritics, whether letters are composed or followed by combining marks."""
+    return F.regexp_replace(F.translate(F.lower(column), ACCENTED, PLAIN), MARKS, "")
 
 
 def has_word(column: str, words: list[str]) -> F.Column:

@@ -147,3 +147,9 @@ def file_totals(items: DataFrame) -> DataFrame:
 def most_used(items: DataFrame, k: int) -> DataFrame:
     """The k catalogue rows that most line items refer to; ties by id."""
     return items.groupBy("master_id").agg(F.count("*").alias("occurrences")).orderBy(F.desc("occurrences"), "master_id").limit(k)
+
+
+def by_grade(codes: DataFrame) -> DataFrame:
+    """Rows by material grade: the third part of work codes that have one."""
+    rows = codes.where(F.col("work_code").like("%-M%-%"))
+    return rows.groupBy(F.split_part("work_code", F.lit("-"), F.lit(3)).alias("grade")).agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from costweave.operators import analytics
+
 PARETO = 80  # percent of all rows
 QUANTITY_CHANGE, PRICE_CHANGE = 0.01, 0.05
 
@@ -65,10 +67,21 @@ def version_diffs(items: DataFrame, files: DataFrame) -> DataFrame:
     return _with_status(old.join(new, ["project_id", "version", "item"], "full_outer"))
 
 
-def next_codes(rows: DataFrame, prefix: str, order: list[str]) -> DataFrame:
-    """Work codes PREFIX-0001, ... numbered within the prefix; more than four digits when needed."""
-    number = F.row_number().over(Window.partitionBy(prefix).orderBy(*order)).cast("string")
-    return rows.withColumn("work_code", F.concat_ws("-", prefix, F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)))
+def next_codes(rows: DataFrame, prefix: str, value: str, existing: DataFrame | None = None) -> DataFrame:
+    """(prefix, value, work_code): PREFIX-0001, ... in order of the distinct numeric ``value``; more digits when needed.
+
+    With ``existing`` codes (column ``work_code``) a prefix goes on after its largest number, compared as a number. Rows
+    are ranked in buckets, so that no prefix is sorted in one task.
+    """
+    ranked = analytics.placed(rows.select(prefix, value).distinct(), [prefix], value)
+    start = F.lit(0)
+    if existing is not None:
+        number = F.try_to_number(F.regexp_extract("work_code", r"-(\d{1,18})$", 1), F.lit("9" * 18))
+        last = existing.groupBy(F.regexp_replace("work_code", r"-\d+$", "").alias("_used")).agg(F.max(number).cast("long").alias("_last"))
+        ranked = ranked.join(last, F.col(prefix) == F.col("_used"), "left")
+        start = F.coalesce("_last", F.lit(0))
+    number = (F.col("before") + 1 + start).cast("string")
+    return ranked.select(prefix, value, F.concat_ws("-", prefix, F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)).alias("work_code"))
 
 
 def price_ranges(items: DataFrame) -> DataFrame:
@@ -81,3 +94,12 @@ def same_content(files: DataFrame, key: str, content: str) -> DataFrame:
     """Every file with the SHA-256 of its bytes and the smallest key that has the same; files without content are left out."""
     rows = files.where(F.col(content).isNotNull()).select(key, F.sha2(content, 256).alias("digest"))
     return rows.join(rows.groupBy("digest").agg(F.min(key).alias("first_id")), "digest")
+
+
+def version_totals(items: DataFrame, files: DataFrame) -> DataFrame:
+    """Lines and amount of every version over all its rows, with the change against the version before, also in percent."""
+    per_file = items.groupBy("file_id").agg(F.count("*").alias("n_lines"), F.sum(F.col("amount").cast("decimal(18,2)")).alias("total"))
+    rows = versions(files).join(per_file, "file_id", "left").withColumns({"n_lines": F.coalesce("n_lines", F.lit(0)), "total_amount": F.coalesce(F.col("total").cast("double"), F.lit(0.0))})
+    before = F.lag("total_amount").over(Window.partitionBy("project_id").orderBy("version"))
+    change = F.col("total_amount") - before
+    return rows.select("project_id", "version", "n_lines", "total_amount", F.round(change, 2).alias("change"), F.round(F.when(before != 0, change / before * 100), 4).alias("change_pct"))

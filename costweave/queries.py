@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costweave.functions import text
-from costweave.operators import analytics, cascade, catalogue, hierarchy, matching
+from costweave.operators import analytics, cascade, catalogue, fuzzy, gate, hierarchy, matching, rules, sections, units
 from costweave.session import table
 from costweave.sources import views
 
@@ -147,7 +147,7 @@ def version_diff_summary(spark, sf_dir):
 
 @query("SELECT master_id, sec_code || '-' || lpad(CAST(row_number() OVER (PARTITION BY sec_code ORDER BY master_id) AS VARCHAR), 4, '0') AS work_code FROM catalogue")
 def next_work_code(spark, sf_dir):
-    return catalogue.next_codes(views.catalogue(spark, sf_dir), "sec_code", ["master_id"]).select("master_id", "work_code")
+    return catalogue.next_codes(views.catalogue(spark, sf_dir), "sec_code", "master_id").select("master_id", "work_code")
 
 
 @query(", k AS (SELECT lower(trim(description)) AS key, max(master_id) AS matched_id FROM catalogue GROUP BY 1) SELECT file_id, line_number, matched_id FROM line_items LEFT JOIN k ON lower(trim(description)) = key")
@@ -350,7 +350,7 @@ def prefix_search(spark, sf_dir):
     return views.catalogue(spark, sf_dir).where(F.col("sec_code").startswith("Brand#2")).select("master_id", "description")
 
 
-_FOLD = "translate(lower(text), 'àáâäãåçèéêëìíîïñòóôöõùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+_FOLD = f"regexp_replace(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}'), '{text.MARKS}', '', 'g')"
 
 
 @query(f"SELECT doc_id, md5({_FOLD}) AS folded_md5 FROM documents WHERE text IS NOT NULL")
@@ -402,3 +402,180 @@ def duplicate_files(spark, sf_dir):
 SELECT coalesce(reason, CASE WHEN confidence >= 90 THEN 'green' ELSE 'yellow' END) AS route, count(*) AS n_items, min(confidence) AS lowest FROM g GROUP BY 1""")
 def routing_counts(spark, sf_dir):
     return cascade.route(views.line_items(spark, sf_dir)).groupBy("route").agg(F.count("*").alias("n_items"), F.min("confidence").alias("lowest"))
+
+
+# Quality gate: rules over the catalogue's text, category by the leading word of the unit.
+GATE = gate.Rules(
+    device=r"^[a-z]{1,3}-?\d+$",
+    forbidden={"old bolt": r"\bold bolt\b", "reclaimed": r"\bhot (?:rod|ring)\b"},
+    accepted={"plate": r"\bcold plate\b"},
+    indicators={"has_verb": r"\b(?:economy|promo|standard)\b", "has_material": r"\b(?:bolt|gear|plate|ring|rod)\b", "has_location": r"\b(?:cold|hot|blue|red)\b", "has_specs": r"\bbrand#1\d?\b"},
+    categories={"economy": gate.Category(1, 25, "K95"), "small": gate.Category(2, 0, "M250"), "large": gate.Category(1, 25), "promo": gate.Category(2, 15, "B20")},
+)
+_GATE = """, t AS (SELECT master_id, lower(unit || ' ' || sec_code || ' ' || description) AS d, lower(unit) AS category FROM catalogue),
+i AS (SELECT *, regexp_matches(d, '\\b(economy|promo|standard)\\b') AS v, regexp_matches(d, '\\b(bolt|gear|plate|ring|rod)\\b') AS m,
+  regexp_matches(d, '\\b(cold|hot|blue|red)\\b') AS l, regexp_matches(d, '\\bbrand#1[0-9]?\\b') AS s FROM t),
+n AS (SELECT *, v::INT + m::INT + l::INT + s::INT AS k FROM i),
+b AS (SELECT *, 25 * k + CASE WHEN category IN ('economy', 'large') AND k >= 1 THEN 25 WHEN category = 'promo' AND k >= 2 THEN 15 ELSE 0 END AS base FROM n),
+g AS (SELECT *, CASE WHEN base < 90 AND NOT s THEN CASE category WHEN 'economy' THEN 'K95' WHEN 'small' THEN 'M250' WHEN 'promo' THEN 'B20' END END AS put FROM b),
+p AS (SELECT *, least(100, base + CASE WHEN put IS NOT NULL THEN 25 ELSE 0 END) AS points FROM g),
+r AS (SELECT master_id, CASE WHEN regexp_matches(d, '\\bold bolt\\b') THEN 1 WHEN regexp_matches(d, '\\bhot (rod|ring)\\b') THEN 2 WHEN regexp_matches(d, '\\bcold plate\\b') THEN 3 ELSE 0 END AS c, points, put FROM p),
+q AS (SELECT master_id, CASE WHEN c IN (1, 2) THEN 'REJECTED' WHEN c = 3 OR points >= 90 THEN 'APPROVED' WHEN points >= 60 THEN 'PENDING_REVIEW' ELSE 'REJECTED' END AS status,
+  CAST(CASE WHEN c IN (1, 2) THEN 0 WHEN c = 3 THEN 75 ELSE points END AS INTEGER) AS score,
+  CASE WHEN c = 1 THEN 'forbidden: old bolt' WHEN c = 2 THEN 'forbidden: reclaimed' WHEN c = 3 THEN 'accepted: plate' WHEN points < 60 THEN 'few indicators' END AS reason,
+  CASE WHEN c = 0 THEN put END AS default_grade FROM r) """
+
+
+def _gated(spark, sf_dir):
+    text = F.lower(F.concat_ws(" ", "unit", "sec_code", "description"))
+    return gate.destination(gate.score(views.catalogue(spark, sf_dir).select("master_id", text.alias("description"), F.lower("unit").alias("category")), GATE))
+
+
+@query(_GATE + "SELECT * FROM q")
+def gatekeeper_scores(spark, sf_dir):
+    return _gated(spark, sf_dir).select("master_id", "status", "score", "reason", "default_grade")
+
+
+@query(_GATE + """SELECT status, CASE status WHEN 'APPROVED' THEN 'master' WHEN 'PENDING_REVIEW' THEN 'pending' ELSE CASE WHEN reason LIKE 'forbidden%' THEN 'quarantine' ELSE 'red work item' END END AS destination,
+  count(*) AS n_items FROM q GROUP BY 1, 2""")
+def gatekeeper_routing(spark, sf_dir):
+    return _gated(spark, sf_dir).groupBy("status", "destination").agg(F.count("*").alias("n_items"))
+
+
+@query(_GATE + "SELECT reason, count(*) AS n FROM q WHERE reason LIKE 'forbidden%' GROUP BY 1")
+def quarantine_by_reason(spark, sf_dir):
+    return gate.quarantine_counts(_gated(spark, sf_dir))
+
+
+@query(_GATE + "SELECT status, count(*) AS n, min(score) AS lowest, max(score) AS highest FROM q GROUP BY 1")
+def pending_stats(spark, sf_dir):
+    return _gated(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+
+
+# Units: spellings by a rule, since the given tables have none.
+_SPELLED = ["Sqm ", "khối", "EA", "tonne", "Lump Sum", "ngày", "running metres", "m"]
+_SPELLED_SQL = "[" + ", ".join(f"'{s}'" for s in _SPELLED) + "]"
+_MAP_SQL = "MAP {" + ", ".join(f"'{s}': '{unit}'" for unit, spellings in units.SPELLINGS.items() for s in spellings) + "}"
+
+
+@query(f""", u AS (SELECT master_id, CASE WHEN master_id % 9 < 8 THEN {_SPELLED_SQL}[master_id % 9 + 1] END AS raw FROM catalogue)
+SELECT master_id, CASE WHEN raw IS NULL THEN 'pcs' ELSE coalesce({_MAP_SQL}[lower(trim(raw))], substr(lower(trim(raw)), 1, 10)) END AS unit FROM u""")
+def unit_standardized(spark, sf_dir):
+    raw = F.when(F.col("master_id") % 9 < 8, F.array(*map(F.lit, _SPELLED))[(F.col("master_id") % 9).cast("int")])
+    return views.catalogue(spark, sf_dir).select("master_id", units.standard(raw).alias("unit"))
+
+
+_CODED = ", c AS (SELECT master_id, unit, 'SEC-' || substr(sec_code, 7, 1) || '-' || substr(sec_code, 8) AS code FROM catalogue) "
+
+
+def _coded(spark, sf_dir):
+    """Catalogue rows with codes of three parts, made of their brand's digits."""
+    return views.catalogue(spark, sf_dir).withColumn("code", F.concat(F.lit("SEC-"), F.substr("sec_code", F.lit(7), F.lit(1)), F.lit("-"), F.substr("sec_code", F.lit(8))))
+
+
+@query(_CODED + """, own AS (SELECT code, min(unit) AS unit FROM c WHERE code LIKE '%-%-_' GROUP BY 1 HAVING count(*) % 2 = 0), up AS (SELECT substr(code, 1, 5) AS code, max(unit) AS unit FROM c WHERE code LIKE 'SEC-1%' GROUP BY 1)
+SELECT c.master_id, c.code, coalesce(own.unit, up.unit, '') AS default_unit, CASE WHEN own.unit IS NOT NULL THEN 'own' WHEN up.unit IS NOT NULL THEN 'parent' ELSE 'none' END AS default_from
+FROM c LEFT JOIN own ON c.code = own.code LEFT JOIN up ON substr(c.code, 1, 5) = up.code""")
+def unit_default_from_parent(spark, sf_dir):
+    rows = _coded(spark, sf_dir)
+    own = rows.where(F.col("code").like("%-%-_")).groupBy("code").agg(F.min("unit").alias("unit"), F.count("*").alias("n")).where("n % 2 = 0").drop("n")
+    up = rows.where(F.col("code").like("SEC-1%")).groupBy(F.substring_index("code", "-", 2).alias("code")).agg(F.max("unit").alias("unit"))
+    return units.with_default(rows, own.union(up)).select("master_id", "code", "default_unit", "default_from")
+
+
+@query("""SELECT split_part(w, '-', 3) AS grade, count(*) AS n FROM (SELECT sec_code || '-' || substr(unit, 1, 3) || '-M' || CAST(CAST(floor(ref_price / 50) AS BIGINT) * 50 AS VARCHAR) || '-' || CAST(master_id AS VARCHAR) AS w FROM catalogue)
+WHERE w LIKE '%-M%-%' GROUP BY 1""")
+def material_grade_stats(spark, sf_dir):
+    grade = F.concat(F.lit("M"), (F.floor(F.col("ref_price") / 50) * 50).cast("string"))
+    return analytics.by_grade(views.catalogue(spark, sf_dir).select(F.concat_ws("-", "sec_code", F.substring("unit", 1, 3), grade, F.col("master_id").cast("string")).alias("work_code")))
+
+
+@query(_VERSION + """, a AS (SELECT file_id, count(*) AS n, sum(CAST(amount AS DECIMAL(18,2))) AS s FROM line_items GROUP BY 1),
+w AS (SELECT project_id, version, coalesce(n, 0) AS n_lines, coalesce(CAST(s AS DOUBLE), 0.0) AS total_amount FROM v LEFT JOIN a USING (file_id)),
+x AS (SELECT *, lag(total_amount) OVER (PARTITION BY project_id ORDER BY version) AS before FROM w)
+SELECT project_id, version, n_lines, total_amount, round(total_amount - before, 2) AS change, round(CASE WHEN before <> 0 THEN (total_amount - before) / before * 100 END, 4) AS change_pct FROM x""")
+def version_totals(spark, sf_dir):
+    return catalogue.version_totals(views.line_items(spark, sf_dir), views.files(spark, sf_dir))
+
+
+# Sections: rows of a large quantity head what follows.
+_PLACED = """, p AS (SELECT file_id, line_number, row_number() OVER (PARTITION BY file_id ORDER BY line_number, master_id, amount) AS pos,
+  CASE WHEN quantity >= 40 THEN 1 WHEN quantity >= 30 THEN 2 WHEN quantity >= 15 THEN 3 ELSE 4 END AS lev FROM line_items) """
+
+
+@query(_PLACED + """, s AS (SELECT *, sum(CASE WHEN lev = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos) AS section FROM p)
+SELECT file_id, CAST(section AS BIGINT) AS section, CAST(min(pos) AS INTEGER) AS first_row, CAST(max(pos) AS INTEGER) AS last_row, count(*) FILTER (WHERE lev > 1) AS n_items FROM s GROUP BY 1, 2""")
+def section_segments(spark, sf_dir):
+    return sections.segments(views.line_items(spark, sf_dir), "file_id", ["line_number", "master_id", "amount"], F.col("quantity") >= 40)
+
+
+@query(_PLACED + """, e AS (SELECT a.file_id, a.pos, string_agg(CAST(b.pos AS VARCHAR), '>' ORDER BY b.pos) AS path FROM p a JOIN p b ON a.file_id = b.file_id AND b.pos < a.pos AND b.lev < a.lev
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.file_id = a.file_id AND c.pos > b.pos AND c.pos < a.pos AND c.lev <= b.lev) GROUP BY 1, 2)
+SELECT p.file_id, CAST(p.pos AS INTEGER) AS position, coalesce(path, '') AS path FROM p LEFT JOIN e ON p.file_id = e.file_id AND p.pos = e.pos""")
+def section_paths(spark, sf_dir):
+    q = F.col("quantity")
+    rows = views.line_items(spark, sf_dir).withColumn("level", F.when(q >= 40, 1).when(q >= 30, 2).when(q >= 15, 3).otherwise(4))
+    found = sections.enclosing(rows, "file_id", ["line_number", "master_id", "amount"], 4)
+    return found.select("file_id", "position", F.array_join(F.transform("path", lambda p: p.cast("string")), ">").alias("path"))
+
+
+# Rule classification: terms of some codes, longer texts made of unit and description.
+TERMS = {"STRUCTURE": ["rod", "bolt", "red bolt", "economy"], "PIPES": ["ring", "cold", "gear"], "FINISH": ["plate", "blue plate", "promo", "large"], "MISC": ["new", "old", "wid", "giz"]}
+_TERMS = ", ".join(f"({i}, '{code}', '{term}')" for i, (code, words) in enumerate(TERMS.items()) for term in words)
+
+
+@query(f""", terms AS (SELECT * FROM (VALUES {_TERMS}) AS v(ord, code, term)), d AS (SELECT master_id, lower(unit || ' ' || description) AS t FROM catalogue),
+s AS (SELECT master_id, ord, code, round(least(sum(length(term) * CAST(100 AS DOUBLE) / length(t) + CASE WHEN regexp_matches(t, '\\b' || term || '\\b') THEN 20 ELSE 0 END) / count(*), 95), 6) AS score
+  FROM d JOIN terms ON contains(t, term) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY master_id ORDER BY score DESC, ord) AS place FROM s) SELECT master_id, CAST(place AS INTEGER) AS place, code, score FROM r WHERE place <= 3""")
+def rule_classify(spark, sf_dir):
+    rows = views.catalogue(spark, sf_dir).select("master_id", F.concat_ws(" ", "unit", "description").alias("description"))
+    each = rules.by_terms(rows, TERMS, 3).select("master_id", F.posexplode("classes").alias("at", "c"))
+    return each.select("master_id", (F.col("at") + 1).alias("place"), "c.code", "c.score")
+
+
+@query("""SELECT vec_id, code, place FROM (SELECT vec_id, code, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), m), 9) DESC, code) AS INTEGER) AS place
+FROM embeddings, (SELECT label AS code, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) AS r(i) GROUP BY 1, 2) GROUP BY 1)) WHERE place <= 3""".replace("label AS code", "CAST(label AS BIGINT) AS code"))
+def vector_classify(spark, sf_dir):
+    return rules.by_class_mean(table(spark, sf_dir, "embeddings"), 3).select("vec_id", "code", "place")
+
+
+# Fuzzy matching: the altered descriptions against the catalogue of their code, and clusters of near-equal descriptions.
+def _variants(spark, sf_dir):
+    """Distinct descriptions and units, with a letter doubled or dropped in some by a rule."""
+    rows, d = views.line_items(spark, sf_dir), F.col("description")
+    text = F.when(F.col("line_number") == 2, F.concat(d, F.substring(d, -1, 1))).when(F.col("line_number") == 3, F.expr("substr(description, 1, length(description) - 1)")).otherwise(d)
+    return rows.select(text.alias("description"), "unit").distinct()
+
+
+_CLUSTERS = """, x AS (SELECT DISTINCT unit, CASE WHEN line_number = 2 THEN description || right(description, 1) WHEN line_number = 3 THEN left(description, length(description) - 1) ELSE description END AS description FROM line_items),
+w AS (SELECT unit, description, string_split(lower(description), '') AS ch, (1::BIGINT << length(description)) - 1 AS whole FROM x),
+pairs AS (SELECT a.unit, a.description AS a, b.description AS b, a.whole AS whole, list_prepend(a.whole, list_transform(b.ch, lambda c: CAST(coalesce(list_sum(list_transform(range(1, len(a.ch) + 1), lambda i: CASE WHEN a.ch[i] = c THEN 1::BIGINT << (i - 1) ELSE 0 END)), 0) AS BIGINT))) AS steps
+  FROM w a JOIN w b ON a.unit = b.unit AND a.description < b.description),
+links AS (SELECT unit, a, b FROM (SELECT *, length(a) - bit_count(list_reduce(steps, lambda v, k: ((v + (v & k)) | (v - (v & k))) & ((1::BIGINT << length(a)) - 1))) AS lcs FROM pairs) WHERE 2.0 * lcs / (length(a) + length(b)) >= 0.85),
+both_ways AS (SELECT unit, a, b FROM links UNION SELECT unit, b, a FROM links) """
+
+
+@query(_CLUSTERS + """, walk AS (SELECT unit, description AS a, description AS b FROM x UNION SELECT walk.unit, walk.a, both_ways.b FROM walk JOIN both_ways ON walk.unit = both_ways.unit AND walk.b = both_ways.a)
+SELECT unit, a AS description, min(b) AS cluster FROM walk GROUP BY 1, 2""")
+def cluster_descriptions(spark, sf_dir):
+    return fuzzy.clusters(_variants(spark, sf_dir)).select("unit", "description", "cluster")
+
+
+ORACLES["cluster_descriptions"] = ORACLES["cluster_descriptions"].replace("WITH", "WITH RECURSIVE", 1)
+
+
+def fuzzy_topk(spark, sf_dir):
+    """No SQL: the score holds a sequence ratio that SQL engines lack; tests compare it with plain Python."""
+    masters = views.catalogue(spark, sf_dir)
+    lines = views.line_items(spark, sf_dir).select("file_id", "line_number", "sec_code", "unit")
+    items = _altered(spark, sf_dir).join(lines, ["file_id", "line_number"])
+    return fuzzy.top_matches(items, masters, "sec_code", 5).select("sec_code", "text", "unit", "master_id", "score", "place", "tier")
+
+
+def fuzzy_best_match(spark, sf_dir):
+    """The first of ``fuzzy_topk``; texts without a match are left out."""
+    return fuzzy_topk(spark, sf_dir).where("place = 1").drop("place")
+
+
+QUERIES |= {f.__name__: f for f in (fuzzy_topk, fuzzy_best_match)}
