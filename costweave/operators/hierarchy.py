@@ -11,6 +11,8 @@ from costweave.session import stage
 
 #: Reference vectors that meet a task's batch at once.
 VECTOR_BLOCK = 4096
+#: Queries whose scores against a block are held at once.
+QUERY_ROWS = 512
 
 
 def tree(links: DataFrame) -> DataFrame:
@@ -36,34 +38,48 @@ def neighbours(rows: DataFrame, group: str, order: list[str], reach: int = 2) ->
     return rows.withColumn("neighbours", F.array_sort(F.array_compact(F.array(*others)))).where(F.size("neighbours") > 0)
 
 
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, scaled to length 1."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = flat.reshape(len(column), -1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+
+
 def vector_topk(vectors: DataFrame, k: int, in_label: bool = True) -> DataFrame:
     """(vec_id, label, n_id, similarity): each vector's k nearest by cosine, ties by id; of its label or of all vectors.
 
     Vectors of a label, or all, are dealt into blocks; a query's block meets each block in a task of its own, gives its
     k best there, and the best of those are ranked. No label meets in one task, and no task holds more than a block.
+    Null embeddings have no neighbours.
     """
-    vectors = vectors.withColumn("part", F.col("label") if in_label else F.lit(0))
-    sizes = vectors.groupBy("part").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))
-    rows = vectors.join(F.broadcast(sizes), "part").withColumn("own", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    vectors = vectors.where("embedding is not null").withColumn("part", F.col("label") if in_label else F.lit(0))
+    sizes = vectors.groupBy(F.col("part").alias("sized")).agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))
+    rows = vectors.join(sizes, F.col("part").eqNullSafe(F.col("sized"))).drop("sized").withColumn("own", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     asked = rows.select("part", "label", "vec_id", "embedding", F.col("own").alias("q"), each.alias("r"))
     held = rows.select(*(F.col(c).alias(f"held_{c}") for c in ("part", "vec_id", "embedding")), F.col("own").alias("held_r"), each.alias("held_q"))
 
     def best(queries: pa.Table, held: pa.Table) -> pa.Table:
-        unit = lambda c: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))(np.array(c.to_pylist(), np.float64))
         names = ["vec_id", "label", "n_id", "similarity"]
         if not queries.num_rows or not held.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.float64())], names)
-        ids, others, reference = queries.column("vec_id").to_numpy(), held.column("held_vec_id").to_numpy(), unit(held.column("held_embedding"))
-        out, taken = [], []
-        for at, (i, row) in enumerate(zip(ids, unit(queries.column("embedding")), strict=True)):
-            score = np.round(reference @ row, 9)
-            order = np.lexsort((others, -score))
-            order = order[others[order] != i][:k]
-            taken.append(np.full(len(order), at))
-            out.append((np.full(len(order), i), others[order], score[order]))
-        a, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table([pa.array(a), queries.column("label").cast("int32").take(pa.array(np.concatenate(taken))), pa.array(b), pa.array(s)], names)
+        held = held.sort_by("held_vec_id")
+        ids, others, reference = queries.column("vec_id").to_numpy(), held.column("held_vec_id").to_numpy(), _unit(held.column("held_embedding"))
+        asked, out = _unit(queries.column("embedding")), []
+        for start in range(0, len(ids), QUERY_ROWS):
+            own = ids[start : start + QUERY_ROWS]
+            score = np.round(asked[start : start + QUERY_ROWS] @ reference.T, 9)
+            score[own[:, None] == others] = -np.inf
+            least = -np.partition(-score, min(k, len(others)) - 1, axis=1)[:, min(k, len(others)) - 1]
+            at, to = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            order = np.lexsort((to, -score[at, to], at))
+            at, to = at[order], to[order]
+            first = np.searchsorted(at, at)  # where a query's rows start
+            keep = np.arange(len(at)) - first < k
+            at, to = at[keep], to[keep]
+            out.append((start + at, others[to], score[at, to]))
+        at, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table([pa.array(ids[at]), queries.column("label").cast("int32").take(pa.array(at)), pa.array(b), pa.array(s)], names)
 
     found = asked.groupBy("part", "q", "r").cogroup(held.groupBy("held_part", "held_q", "held_r")).applyInArrow(best, "vec_id long, label int, n_id long, similarity double")
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "n_id"))

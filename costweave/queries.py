@@ -32,9 +32,9 @@ def sec_distribution(spark, sf_dir):
     return analytics.by_code(views.line_items(spark, sf_dir))
 
 
-@query("SELECT method, count(*) AS item_count, CAST(sum(confidence) AS DOUBLE) / count(confidence) AS avg_confidence FROM line_items GROUP BY method")
+@query("SELECT method, count(*) AS item_count, CAST(sum(confidence) AS DOUBLE) / count(confidence) AS avg_confidence FROM facts GROUP BY method")
 def classification_breakdown(spark, sf_dir):
-    return analytics.by_method(views.line_items(spark, sf_dir))
+    return analytics.by_method(views.facts(spark, sf_dir))
 
 
 @query("SELECT file_id, line_number, confidence, sec_code FROM line_items WHERE confidence < 80 OR sec_code IS NULL")
@@ -43,22 +43,22 @@ def needs_review_items(spark, sf_dir):
 
 
 @query("""SELECT CASE WHEN confidence < 80 THEN 'low' WHEN confidence < 95 THEN 'medium' ELSE 'high' END AS band,
-  count(*) AS item_count, min(confidence) AS lowest, max(confidence) AS highest FROM line_items GROUP BY 1""")
+  count(*) AS item_count, min(confidence) AS lowest, max(confidence) AS highest FROM facts GROUP BY 1""")
 def confidence_band_counts(spark, sf_dir):
-    return analytics.confidence_bands(views.line_items(spark, sf_dir))
+    return analytics.confidence_bands(views.facts(spark, sf_dir))
 
 
-@query("SELECT CAST(least((confidence // 10) * 10, 90) AS INTEGER) AS range_from, count(*) AS item_count FROM line_items GROUP BY 1")
+@query("SELECT CAST(least((confidence // 10) * 10, 90) AS INTEGER) AS range_from, count(*) AS item_count FROM facts GROUP BY 1")
 def confidence_histogram(spark, sf_dir):
-    return analytics.confidence_histogram(views.line_items(spark, sf_dir))
+    return analytics.confidence_histogram(views.facts(spark, sf_dir))
 
 
 @query(""", f AS (SELECT project_id, count(*) AS file_count FROM files GROUP BY 1),
-i AS (SELECT project_id, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS s FROM files JOIN line_items USING (file_id) GROUP BY 1)
+i AS (SELECT project_id, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS s FROM files JOIN facts USING (file_id) GROUP BY 1)
 SELECT p.project_id, project_name, region, coalesce(file_count, 0) AS file_count, coalesce(n, 0) AS item_count, coalesce(s, 0.0) AS total_amount
 FROM projects p LEFT JOIN f USING (project_id) LEFT JOIN i USING (project_id)""")
 def project_summary_view(spark, sf_dir):
-    return analytics.project_summary(views.projects(spark, sf_dir), views.files(spark, sf_dir), views.line_items(spark, sf_dir))
+    return analytics.project_summary(views.projects(spark, sf_dir), views.files(spark, sf_dir), views.facts(spark, sf_dir))
 
 
 @query("""SELECT i.file_id, line_number, description, amount, status, project_name, region
@@ -278,16 +278,16 @@ def neighbors_window(spark, sf_dir):
     return hierarchy.neighbours(views.line_items(spark, sf_dir), "file_id", ["line_number", "master_id", "amount"]).select("file_id", "line_number", F.array_join("neighbours", "|").alias("neighbours"))
 
 
-_PRICES = """, p AS (SELECT unit_price AS x FROM line_items WHERE unit_price > 0), e AS (SELECT min(x) AS low, max(x) AS high, count(*) AS n FROM p),
+_PRICES = """, p AS (SELECT unit_price AS x FROM facts WHERE unit_price > 0), e AS (SELECT min(x) AS low, max(x) AS high, count(*) AS n FROM p),
 edges AS (SELECT CAST(i AS INTEGER) AS bucket, low + i * ((high - low) / 10) AS bucket_from, low + (i + 1) * ((high - low) / 10) AS bucket_to, n FROM e, range(10) AS r(i)) """
 
 
 @query(_PRICES + """SELECT bucket, bucket_from, bucket_to, count(x) AS n_prices FROM edges LEFT JOIN p ON x >= bucket_from AND (x < bucket_to OR bucket = 9) GROUP BY 1, 2, 3""")
 def price_histogram(spark, sf_dir):
-    return analytics.price_histogram(views.line_items(spark, sf_dir), 10)
+    return analytics.price_histogram(views.facts(spark, sf_dir), 10)
 
 
-@query("""SELECT i.file_id, line_number, unit_price, recorded_at, project_name, region FROM line_items i JOIN files f ON i.file_id = f.file_id JOIN projects p ON f.project_id = p.project_id
+@query("""SELECT i.file_id, line_number, unit_price, recorded_at, project_name, region FROM facts i JOIN files f ON i.file_id = f.file_id JOIN projects p ON f.project_id = p.project_id
 WHERE region = 'ASIA' AND recorded_at >= TIMESTAMP '1997-01-01' ORDER BY recorded_at DESC, i.file_id, line_number, unit_price LIMIT 50 OFFSET 100""")
 def price_sources_page(spark, sf_dir):
     prices = views.price_history(spark, sf_dir).where((F.col("region") == "ASIA") & (F.col("recorded_at") >= F.lit("1997-01-01").cast("timestamp")))
@@ -296,7 +296,7 @@ def price_sources_page(spark, sf_dir):
 
 
 @query("""SELECT region, project_type, count(*) AS n_prices, min(unit_price) AS min_price, max(unit_price) AS max_price, quantile_cont(unit_price, 0.5) AS median_price
-FROM line_items JOIN files USING (file_id) JOIN projects USING (project_id) WHERE unit_price > 0 AND recorded_at >= TIMESTAMP '1996-01-01' AND recorded_at <= TIMESTAMP '1999-12-31' GROUP BY 1, 2""")
+FROM facts JOIN files USING (file_id) JOIN projects USING (project_id) WHERE unit_price > 0 AND recorded_at >= TIMESTAMP '1996-01-01' AND recorded_at <= TIMESTAMP '1999-12-31' GROUP BY 1, 2""")
 def price_distribution_filtered(spark, sf_dir):
     return analytics.prices_by(views.price_history(spark, sf_dir), ["region", "project_type"], "1996-01-01", "1999-12-31")
 
@@ -323,9 +323,9 @@ def vector_topk_all(spark, sf_dir):
 
 # Work-item states and quality of rows.
 @query("""SELECT f.status, count(*) AS n_items, count(*) FILTER (WHERE confidence >= 90) AS green, count(*) FILTER (WHERE confidence >= 60 AND confidence < 90) AS yellow,
-  count(*) FILTER (WHERE confidence < 60) AS red FROM line_items JOIN files f USING (file_id) GROUP BY 1""")
+  count(*) FILTER (WHERE confidence < 60) AS red FROM facts JOIN files f USING (file_id) GROUP BY 1""")
 def work_item_stats(spark, sf_dir):
-    return analytics.gate_counts(views.line_items(spark, sf_dir).join(views.files(spark, sf_dir).select("file_id", "status"), "file_id"), "status")
+    return analytics.gate_counts(views.facts(spark, sf_dir).join(views.files(spark, sf_dir).select("file_id", "status"), "file_id"), "status")
 
 
 @query("""SELECT (SELECT count(*) FROM projects) AS n_projects, (SELECT count(*) FROM files) AS n_files, count(*) AS n_items, count(*) FILTER (WHERE confidence < 80 OR sec_code IS NULL) AS n_review,
@@ -335,9 +335,9 @@ def dashboard_stats(spark, sf_dir):
 
 
 @query("""SELECT project_id, count(*) AS n_items, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount, CAST(sum(confidence) AS DOUBLE) / count(confidence) AS avg_confidence,
-  count(*) FILTER (WHERE method = 'A') AS n_auto, count(*) FILTER (WHERE method = 'R') AS n_manual FROM line_items JOIN files USING (file_id) GROUP BY 1""")
+  count(*) FILTER (WHERE method = 'A') AS n_auto, count(*) FILTER (WHERE method = 'R') AS n_manual FROM facts JOIN files USING (file_id) GROUP BY 1""")
 def project_stats(spark, sf_dir):
-    return analytics.project_stats(views.line_items(spark, sf_dir).join(views.files(spark, sf_dir).select("file_id", "project_id"), "file_id"))
+    return analytics.project_stats(views.facts(spark, sf_dir).join(views.files(spark, sf_dir).select("file_id", "project_id"), "file_id"))
 
 
 @query("SELECT sec_code, count(*) AS n_masters, count(DISTINCT description) AS n_descriptions, min(ref_price) AS lowest, max(ref_price) AS highest FROM catalogue GROUP BY 1")
@@ -363,9 +363,9 @@ def fold_keyword_match(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(text.has_word("text", ["eeai", "fur", "e"])).select("doc_id")
 
 
-@query("SELECT file_id, count(*) AS n_rows, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount FROM line_items GROUP BY file_id")
+@query("SELECT file_id, count(*) AS n_rows, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount FROM facts GROUP BY file_id")
 def file_totals(spark, sf_dir):
-    return analytics.file_totals(views.line_items(spark, sf_dir))
+    return analytics.file_totals(views.facts(spark, sf_dir))
 
 
 @query("""SELECT description, unit, count(*) AS occurrences, min(unit_price) AS min_price, max(unit_price) AS max_price,
@@ -376,9 +376,9 @@ def item_price_ranges(spark, sf_dir):
     return rows.withColumn("files_md5", F.md5(F.array_join(F.transform("file_ids", lambda x: x.cast("string")), ","))).drop("file_ids")
 
 
-@query("SELECT master_id, count(*) AS occurrences FROM line_items GROUP BY master_id ORDER BY occurrences DESC, master_id LIMIT 100")
+@query("SELECT master_id, count(*) AS occurrences FROM facts GROUP BY master_id ORDER BY occurrences DESC, master_id LIMIT 100")
 def top_masters(spark, sf_dir):
-    return analytics.most_used(views.line_items(spark, sf_dir), 100)
+    return analytics.most_used(views.facts(spark, sf_dir), 100)
 
 
 @query(f"SELECT master_id, CAST(len(list_intersect({_A}, {_B})) AS DOUBLE) / len(list_distinct(list_concat({_A}, {_B}))) AS similarity FROM catalogue")
@@ -490,23 +490,23 @@ def material_grade_stats(spark, sf_dir):
     return analytics.by_grade(views.catalogue(spark, sf_dir).select(F.concat_ws("-", "sec_code", F.substring("unit", 1, 3), grade, F.col("master_id").cast("string")).alias("work_code")))
 
 
-@query(_VERSION + """, a AS (SELECT file_id, count(*) AS n, sum(CAST(amount AS DECIMAL(18,2))) AS s FROM line_items GROUP BY 1),
+@query(_VERSION + """, a AS (SELECT file_id, count(*) AS n, sum(CAST(amount AS DECIMAL(18,2))) AS s FROM facts GROUP BY 1),
 w AS (SELECT project_id, version, coalesce(n, 0) AS n_lines, coalesce(CAST(s AS DOUBLE), 0.0) AS total_amount FROM v LEFT JOIN a USING (file_id)),
 x AS (SELECT *, lag(total_amount) OVER (PARTITION BY project_id ORDER BY version) AS before FROM w)
 SELECT project_id, version, n_lines, total_amount, round(total_amount - before, 2) AS change, round(CASE WHEN before <> 0 THEN (total_amount - before) / before * 100 END, 4) AS change_pct FROM x""")
 def version_totals(spark, sf_dir):
-    return catalogue.version_totals(views.line_items(spark, sf_dir), views.files(spark, sf_dir))
+    return catalogue.version_totals(views.facts(spark, sf_dir), views.files(spark, sf_dir))
 
 
 # Sections: rows of a large quantity head what follows.
 _PLACED = """, p AS (SELECT file_id, line_number, row_number() OVER (PARTITION BY file_id ORDER BY line_number, master_id, amount) AS pos,
-  CASE WHEN quantity >= 40 THEN 1 WHEN quantity >= 30 THEN 2 WHEN quantity >= 15 THEN 3 ELSE 4 END AS lev FROM line_items) """
+  CASE WHEN quantity >= 40 THEN 1 WHEN quantity >= 30 THEN 2 WHEN quantity >= 15 THEN 3 ELSE 4 END AS lev FROM facts) """
 
 
 @query(_PLACED + """, s AS (SELECT *, sum(CASE WHEN lev = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos) AS section FROM p)
 SELECT file_id, CAST(section AS BIGINT) AS section, CAST(min(pos) AS INTEGER) AS first_row, CAST(max(pos) AS INTEGER) AS last_row, count(*) FILTER (WHERE lev > 1) AS n_items FROM s GROUP BY 1, 2""")
 def section_segments(spark, sf_dir):
-    return sections.segments(views.line_items(spark, sf_dir), "file_id", ["line_number", "master_id", "amount"], F.col("quantity") >= 40)
+    return sections.segments(views.facts(spark, sf_dir), "file_id", ["line_number", "master_id", "amount"], F.col("quantity") >= 40)
 
 
 @query(_PLACED + """, e AS (SELECT a.file_id, a.pos, string_agg(CAST(b.pos AS VARCHAR), '>' ORDER BY b.pos) AS path FROM p a JOIN p b ON a.file_id = b.file_id AND b.pos < a.pos AND b.lev < a.lev
@@ -514,7 +514,7 @@ def section_segments(spark, sf_dir):
 SELECT p.file_id, CAST(p.pos AS INTEGER) AS position, coalesce(path, '') AS path FROM p LEFT JOIN e ON p.file_id = e.file_id AND p.pos = e.pos""")
 def section_paths(spark, sf_dir):
     q = F.col("quantity")
-    rows = views.line_items(spark, sf_dir).withColumn("level", F.when(q >= 40, 1).when(q >= 30, 2).when(q >= 15, 3).otherwise(4))
+    rows = views.facts(spark, sf_dir).withColumn("level", F.when(q >= 40, 1).when(q >= 30, 2).when(q >= 15, 3).otherwise(4))
     found = sections.enclosing(rows, "file_id", ["line_number", "master_id", "amount"], 4)
     return found.select("file_id", "position", F.array_join(F.transform("path", lambda p: p.cast("string")), ">").alias("path"))
 

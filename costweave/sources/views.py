@@ -29,19 +29,23 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("p_partkey").alias("master_id"), F.col("p_name").alias("description"), F.col("p_brand").alias("sec_code"), F.col("p_type").alias("unit"), F.col("p_retailprice").alias("ref_price"))
 
 
-def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their catalogue row's text; confidence spans 50 to 100."""
-    rows = table(spark, sf_dir, "lineitem").join(catalogue(spark, sf_dir), F.col("l_partkey") == F.col("master_id"))
-    return rows.select(
-        F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("line_number"), "master_id", "description", "unit", "sec_code",
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their numbers only, so that what needs no text joins nothing; confidence spans 50 to 100."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("master_id"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("amount"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
         (F.lit(100) - F.round(F.col("l_discount") * 100) * 5).cast("int").alias("confidence"), F.col("l_returnflag").alias("method"), F.col("l_shipdate").alias("recorded_at"),
     )
 
 
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``facts`` with their catalogue row's text, unit and code."""
+    return facts(spark, sf_dir).join(catalogue(spark, sf_dir).drop("ref_price"), "master_id")
+
+
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the project that paid the price."""
-    return line_items(spark, sf_dir).join(files(spark, sf_dir).select("file_id", "project_id"), "file_id").join(projects(spark, sf_dir), "project_id")
+    return facts(spark, sf_dir).join(files(spark, sf_dir).select("file_id", "project_id"), "file_id").join(projects(spark, sf_dir), "project_id")
 
 
 def code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +66,9 @@ files AS (
   SELECT o_orderkey AS file_id, o_custkey AS project_id, o_totalprice AS total_amount, o_orderdate AS uploaded_at, o_orderstatus AS status FROM orders),
 catalogue AS (
   SELECT p_partkey AS master_id, p_name AS description, p_brand AS sec_code, p_type AS unit, p_retailprice AS ref_price FROM part),
-line_items AS (
-  SELECT l_orderkey AS file_id, l_linenumber AS line_number, master_id, description, unit, sec_code, l_quantity AS quantity,
-    l_extendedprice AS amount, l_extendedprice / l_quantity AS unit_price, CAST(100 - round(l_discount * 100) * 5 AS INTEGER) AS confidence,
-    l_returnflag AS method, l_shipdate AS recorded_at
-  FROM lineitem JOIN catalogue ON l_partkey = master_id)
+facts AS (
+  SELECT l_orderkey AS file_id, l_linenumber AS line_number, l_partkey AS master_id, l_quantity AS quantity, l_extendedprice AS amount,
+    l_extendedprice / l_quantity AS unit_price, CAST(100 - round(l_discount * 100) * 5 AS INTEGER) AS confidence, l_returnflag AS method, l_shipdate AS recorded_at
+  FROM lineitem),
+line_items AS (SELECT facts.*, description, unit, sec_code FROM facts JOIN catalogue USING (master_id))
 """
