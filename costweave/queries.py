@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costweave.functions import text
-from costweave.operators import analytics, cascade, catalogue, fuzzy, gate, hierarchy, matching, rules, sections, units
+from costweave.operators import analytics, cascade, catalogue, fuzzy, gate, hierarchy, matching, rules, sections, specs, units
 from costweave.session import table
 from costweave.sources import views
 
@@ -579,3 +579,45 @@ def fuzzy_best_match(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (fuzzy_topk, fuzzy_best_match)}
+
+
+# Specifications: catalogue rows with what a work description says, by a rule.
+SPECIFIED = ["Bê tông cốt thép dầm M300", "ống HDPE D110 PN10", "Cáp điện Cu/XLPE 4x16mm2", "gach lat 600 X 600", "excavation 2.5m", "thép cột CB400 D16", "painted", "concrete B22.5 20cm"]
+
+
+def _specified(spark, sf_dir):
+    said = F.array(*map(F.lit, SPECIFIED))[(F.col("master_id") % len(SPECIFIED)).cast("int")]
+    rows = views.catalogue(spark, sf_dir).select("master_id", F.concat_ws(" ", said, "description").alias("description"))
+    return specs.with_key(specs.extract(rows))
+
+
+def _spec_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    named = lambda names: "CASE " + " ".join(f"WHEN regexp_matches(f, {quoted(p)}) THEN {quoted(n)}" for n, p in names.items()) + " END"
+    held = lambda patterns: "coalesce(" + ", ".join(f"nullif(regexp_extract(t, {quoted(p)}, 0, 'i'), '')" for p in patterns) + ")"
+    said = "[" + ", ".join(map(quoted, SPECIFIED)) + "]"
+    return f""", t AS (SELECT master_id, {said}[master_id % {len(SPECIFIED)} + 1] || ' ' || description AS t FROM catalogue), f AS (SELECT *, {_FOLD.replace("text", "t")} AS f FROM t),
+s AS (SELECT master_id, {named(specs.CATEGORIES)} AS category, {named(specs.MATERIALS)} AS material, upper({held(specs.GRADES)}) AS grade,
+  replace(coalesce(lower({held(specs.SECTIONS)}), translate({held(specs.DIMENSIONS)}, 'X×', 'xx')), ' ', '') AS dimension FROM f),
+k AS (SELECT *, lower(concat_ws('|', coalesce(category, 'x'), coalesce(material, 'x'), coalesce(grade, 'x'), coalesce(dimension, 'x'))) AS matching_key,
+  (CASE WHEN category IS NULL THEN 0 ELSE 25 END + CASE WHEN material IS NULL THEN 0 ELSE 25 END + CASE WHEN grade IS NULL THEN 0 ELSE 30 END + CASE WHEN dimension IS NULL THEN 0 ELSE 20 END) / CAST(100 AS DOUBLE) AS completeness FROM s) """
+
+
+@query(_spec_sql() + "SELECT master_id, category, material, grade, dimension FROM k")
+def spec_extract(spark, sf_dir):
+    return _specified(spark, sf_dir).select("master_id", "category", "material", "grade", "dimension")
+
+
+@query(_spec_sql() + "SELECT matching_key, count(*) AS n_masters, min(master_id) AS first_id FROM k GROUP BY 1")
+def matching_key(spark, sf_dir):
+    return _specified(spark, sf_dir).groupBy("matching_key").agg(F.count("*").alias("n_masters"), F.min("master_id").alias("first_id"))
+
+
+@query(_spec_sql() + "SELECT completeness, count(*) AS n_masters FROM k GROUP BY 1")
+def spec_completeness(spark, sf_dir):
+    return _specified(spark, sf_dir).groupBy("completeness").agg(F.count("*").alias("n_masters"))
+
+
+@query(_spec_sql() + "SELECT master_id, completeness FROM k WHERE completeness < 0.75 ORDER BY completeness, master_id LIMIT 100")
+def incomplete_specs(spark, sf_dir):
+    return _specified(spark, sf_dir).where("completeness < 0.75D").orderBy("completeness", "master_id").limit(100).select("master_id", "completeness")

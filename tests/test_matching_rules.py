@@ -4,7 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 from costweave.functions import text
-from costweave.operators import catalogue, fuzzy, gate, rules, sections, units
+from costweave.operators import catalogue, fuzzy, gate, rules, sections, specs, units
 
 
 def plain_lcs(a, b):
@@ -157,3 +157,29 @@ def test_classes_by_terms_and_means(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0], 7), (2, [0.0, 2.0], 3), (3, [1.0, 0.1], None), (4, None, 7)], "vec_id long, embedding array<float>, label int")
     assert {(r.vec_id, r.code) for r in rules.by_class_mean(vectors, 1).collect()} == {(1, 7), (2, 3), (3, 7)}
     assert rules.by_class_mean(vectors.where("label is null"), 1).count() == 0
+
+
+def test_specifications(spark):
+    want = {
+        "Bê tông cốt thép dầm M300": ("be tong cot thep", None, "M300", None),
+        "BT B22.5": ("be tong", None, "B22.5", None),
+        "be tong C20/25": ("be tong", None, "C20/25", None),
+        "thép cột CB400": ("cot thep", None, "CB400", None),
+        "ong HDPE D110 PN10": ("ong", "HDPE", "PN10", "D110"),
+        "cap dong 240mm2": ("cap", "Cu", None, "240mm2"),
+        "cap dien Cu/XLPE 4x16mm2": ("cap dien", "Cu/XLPE", None, "4x16mm2"),
+        "gach lat 600 X 600": ("gach lat", None, None, "600x600"),
+        "xay tuong gach": ("xay", None, None, None),
+        "van khuon go": ("van khuon", "go", None, None),
+        "excavation 2m deep": ("dao dat", None, None, "2m"),
+        "dap dat nen K95": ("dap dat", None, "K95", None),
+        "son nuoc 15 mm": ("son", None, None, "15mm"),
+        "": (None, None, None, None),
+        None: (None, None, None, None),
+    }
+    rows = specs.with_key(specs.extract(spark.createDataFrame([(t,) for t in want], "description string"))).collect()
+    assert {r.description: (r.category, r.material, r.grade, r.dimension) for r in rows} == want
+    found = {r.description: (r.matching_key, r.completeness) for r in rows}
+    assert found["ong HDPE D110 PN10"] == ("ong|hdpe|pn10|d110", 1.0)
+    assert found["be tong C20/25"] == ("be tong|x|c20/25|x", 0.55)
+    assert found[None] == ("x|x|x|x", 0.0)
