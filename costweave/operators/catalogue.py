@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costweave.operators import analytics
+from costweave.session import stage
 
 PARETO = 80  # percent of all rows
 QUANTITY_CHANGE, PRICE_CHANGE = 0.01, 0.05
@@ -17,16 +18,18 @@ def aggregate(items: DataFrame, least: int = 1) -> DataFrame:
 
 
 def pareto(frequencies: DataFrame) -> DataFrame:
-    """``is_top`` for rows in frequency order up to and including the one that crosses PARETO.
+    """``is_top`` for rows in frequency order, ties by text, up to and including the one that crosses PARETO.
 
-    Frequencies are summed per value first: the window runs over distinct frequencies, ties are placed inside them.
+    Rows are cut into ranges of that order and summed inside each from where it starts, so that no task holds more than a
+    range: the tail of rare texts is as long as the table.
     """
-    by_value = frequencies.groupBy("frequency").agg(F.count("*").alias("ties"))
-    above = Window.orderBy(F.desc("frequency")).rowsBetween(Window.unboundedPreceding, -1)
-    by_value = by_value.select("frequency", F.coalesce(F.sum(F.col("frequency") * F.col("ties")).over(above), F.lit(0)).alias("above"), F.sum(F.col("frequency") * F.col("ties")).over(Window.partitionBy()).alias("all"))
-    rank = F.row_number().over(Window.partitionBy("frequency").orderBy("description", "unit")) - 1
-    rows = frequencies.withColumn("rank", rank).join(by_value, "frequency")
-    before = F.col("above") + F.col("rank") * F.col("frequency")
+    order = [F.desc("frequency"), "description", "unit"]
+    rows = stage(frequencies.repartitionByRange(*order).withColumn("piece", F.spark_partition_id()), "pareto")
+    sums = rows.groupBy("piece").agg(F.sum("frequency").alias("held"))
+    starts = sums.select("piece", (F.sum("held").over(Window.orderBy("piece")) - F.col("held")).alias("start"), F.sum("held").over(Window.partitionBy()).alias("all"))  # one row a range
+    inside = Window.partitionBy("piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("so_far", F.sum("frequency").over(inside)).join(starts, "piece")
+    before = F.col("start") + F.col("so_far") - F.col("frequency")
     return rows.select("description", "unit", "frequency", (before * 100 < F.col("all") * PARETO).alias("is_top"))
 
 

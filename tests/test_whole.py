@@ -49,3 +49,14 @@ def test_deep_code_trees_and_loops(spark):
     rows = hierarchy.tree(spark.createDataFrame(chain, "code string, parent string")).collect()
     assert sorted((r.level, r.code) for r in rows) == [(i + 1, f"c{i}") for i in range(25)]
     assert max(rows, key=lambda r: r.level).path == " > ".join(f"c{i}" for i in range(25))
+
+
+def test_pareto_ties_over_many_ranges(spark):
+    data = [(f"item {i:04d}", u, f) for i in range(400) for u, f in (("m", 1), ("kg", 1 + i % 3))]
+    rows = spark.createDataFrame(data, "description string, unit string, frequency long")
+    got = {(r.description, r.unit): r.is_top for r in catalogue.pareto(rows.repartition(7)).collect()}
+    whole, before, want = sum(f for _, _, f in data), 0, {}
+    for d, u, f in sorted(data, key=lambda x: (-x[2], x[0], x[1])):
+        want[d, u] = before * 100 < whole * 80
+        before += f
+    assert got == want
