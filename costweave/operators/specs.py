@@ -68,7 +68,8 @@ def _named(folded, names: dict[str, str]) -> F.Column:
 
 def _held(text: str, patterns: list[str]) -> F.Column:
     """What the first pattern that matches finds first."""
-    return F.coalesce(*(F.nullif(F.regexp_extract(text, f"(?i){p}", 0), F.lit("")) for p in patterns))
+    found = F.array(*(F.regexp_extract(text, f"(?i){p}", 0) for p in patterns))
+    return F.try_element_at(F.filter(found, lambda x: x != ""), F.lit(1))
 
 
 def extract(rows: DataFrame, text: str = "description") -> DataFrame:
@@ -76,9 +77,11 @@ def extract(rows: DataFrame, text: str = "description") -> DataFrame:
 
     Words are looked up in the folded text. Grades are upper-cased; cable sections are lower-cased; blanks are taken out.
     """
-    folded = F.regexp_replace(texts.fold(text), r"\s+", " ")
+    rows = rows.withColumn("_folded", F.regexp_replace(texts.fold(text), r"\s+", " "))
+    folded = F.col("_folded")
     size = F.coalesce(F.lower(_held(text, SECTIONS)), F.translate(_held(text, DIMENSIONS), "X×", "xx"))
-    return rows.withColumns({"category": _named(folded, CATEGORIES), "material": _named(folded, MATERIALS), "grade": F.upper(_held(text, GRADES)), "dimension": F.replace(size, F.lit(" "), F.lit(""))})
+    found = rows.withColumns({"category": _named(folded, CATEGORIES), "material": _named(folded, MATERIALS), "grade": F.upper(_held(text, GRADES)), "dimension": F.replace(size, F.lit(" "), F.lit(""))})
+    return found.drop("_folded")
 
 
 def with_key(specs: DataFrame) -> DataFrame:
