@@ -566,7 +566,7 @@ ORACLES["cluster_descriptions"] = ORACLES["cluster_descriptions"].replace("WITH"
 
 
 def fuzzy_topk(spark, sf_dir):
-    """No SQL: the score holds a sequence ratio that SQL engines lack; tests compare it with plain Python."""
+    """No SQL: the score holds a sequence ratio that SQL engines lack; tests compare the scored pairs with plain Python on a small fixture."""
     masters = views.catalogue(spark, sf_dir)
     lines = views.line_items(spark, sf_dir).select("file_id", "line_number", "sec_code", "unit")
     items = _altered(spark, sf_dir).join(lines, ["file_id", "line_number"])
