@@ -38,6 +38,11 @@ def neighbours(rows: DataFrame, group: str, order: list[str], reach: int = 2) ->
     return rows.withColumn("neighbours", F.array_sort(F.array_compact(F.array(*others)))).where(F.size("neighbours") > 0)
 
 
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``row_number`` from 1 in a group's order; ties in any order."""
+    return rows.withColumn("row_number", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
     """Vectors of one length as the rows of a matrix, scaled to length 1."""
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)

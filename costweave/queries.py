@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costweave import streaming
 from costweave.functions import text
-from costweave.operators import analytics, cascade, catalogue, fuzzy, gate, hierarchy, matching, rules, sections, specs, units
-from costweave.session import table
-from costweave.sources import views
+from costweave.operators import analytics, cascade, catalogue, codes, context, fuzzy, gate, hierarchy, matching, review, rules, sections, specs, units, updates
+from costweave.session import shared_dir, table
+from costweave.sources import sinks, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -621,3 +623,262 @@ def spec_completeness(spark, sf_dir):
 @query(_spec_sql() + "SELECT master_id, completeness FROM k WHERE completeness < 0.75 ORDER BY completeness, master_id LIMIT 100")
 def incomplete_specs(spark, sf_dir):
     return _specified(spark, sf_dir).where("completeness < 0.75D").orderBy("completeness", "master_id").limit(100).select("master_id", "completeness")
+
+
+# Codes, text rules and reviews: catalogue rows with what a work description says, and a normalised form by a rule.
+_NORMALISED = """CASE WHEN master_id % 11 = 0 THEN NULL WHEN master_id % 5 = 0 THEN said WHEN master_id % 5 = 1 THEN unit || ' - ' || said || ' - ' || name WHEN master_id % 5 = 2 THEN unit || ' - ' || name
+  WHEN master_id % 5 = 3 THEN said || ' - ' || name ELSE unit || ' - [' || said || '] - (' || name || ') - ' || sec_code || ';;--x' END"""
+_WORKS = f""", said AS (SELECT master_id, unit, sec_code, description AS name, [{", ".join(f"'{s}'" for s in SPECIFIED)}][master_id % {len(SPECIFIED)} + 1] AS said FROM catalogue),
+works AS (SELECT *, said || ' ' || name AS description, {_NORMALISED} AS normalised, 40 + master_id * 7 % 60 AS confidence FROM said) """
+
+
+def _works(spark, sf_dir):
+    said = F.array(*map(F.lit, SPECIFIED))[(F.col("master_id") % len(SPECIFIED)).cast("int")]
+    rows = views.catalogue(spark, sf_dir).select("master_id", "unit", "sec_code", F.col("description").alias("name"), said.alias("said"))
+    return rows.selectExpr("*", "said || ' ' || name AS description", f"{_NORMALISED} AS normalised", "40 + master_id * 7 % 60 AS confidence")
+
+
+CODE_RULES = codes.Rules(
+    groups={"bê tông": "CONC", "concrete": "CONC", "thép": "RBAR", "ống": "PIPE", "cáp": "CABL", "gạch": "TILE", "excavation": "SOIL"},
+    types={"cốt thép": "STR", "thép": "BAR", "hdpe": "HDP", "cáp điện": "PWR", "lát": "FLR"},
+    defaults={"CONC": "STR", "SOIL": "EXC", "PIPE": "SUP"},
+    locations={"cột": "COL", "dầm": "BEM", "ring": "RNG", "cold": "CLD"},
+    disciplines={"Brand#": "GN", "Brand#1": "CV", "Brand#13": "EL"},
+)
+
+
+def _keyword_sql(column: str, words: dict[str, str]) -> str:
+    folded = _FOLD.replace("text", column)
+    cases = lambda at, f: "CASE " + " ".join(f"WHEN contains({at}, '{f(w)}') THEN '{words[w]}'" for w in codes.longest_first(words)) + " END"
+    return f"coalesce({cases(f'lower({column})', str)}, {cases(folded, text.fold_word)})"
+
+
+def _reference_sql() -> str:
+    r = CODE_RULES
+    default = "CASE g " + " ".join(f"WHEN '{g}' THEN '{t}'" for g, t in r.defaults.items()) + " ELSE 'GEN' END"
+    discipline = "CASE " + " ".join(f"WHEN starts_with(sec_code, '{p}') THEN '{r.disciplines[p]}'" for p in codes.longest_first(r.disciplines)) + " END"
+    return f"""{_WORKS}, grouped AS (SELECT *, coalesce({_keyword_sql("description", r.groups)}, 'GENR') AS g FROM works),
+coded AS (SELECT master_id, 'A.' || g || '.' || coalesce({_keyword_sql("description", r.types)}, {default}) AS ref_code, {discipline} AS discipline, {_keyword_sql("description", r.locations)} AS location FROM grouped) """
+
+
+@query(_reference_sql() + "SELECT * FROM coded")
+def reference_codes(spark, sf_dir):
+    return codes.reference_codes(_works(spark, sf_dir), CODE_RULES).select("master_id", "ref_code", "discipline", "location")
+
+
+@query(_reference_sql() + """, used AS (SELECT ref_code, count(*) AS last FROM coded GROUP BY 1),
+n AS (SELECT master_id, ref_code, CAST(last + row_number() OVER (PARTITION BY ref_code ORDER BY master_id) AS VARCHAR) AS k FROM coded JOIN used USING (ref_code))
+SELECT master_id, ref_code || '-' || CASE WHEN length(k) < 3 THEN lpad(k, 3, '0') ELSE k END AS instance_code FROM n""")
+def instance_codes(spark, sf_dir):
+    """Numbers go on after codes in use; here every reference code has one whose number is its count of rows."""
+    rows = codes.reference_codes(_works(spark, sf_dir), CODE_RULES).select("ref_code", "master_id")
+    used = rows.groupBy("ref_code").agg(F.count("*").alias("n")).select(F.concat_ws("-", "ref_code", F.lpad(F.col("n").cast("string"), 6, "0")).alias("work_code"))
+    return catalogue.next_codes(rows, "ref_code", "master_id", used, width=3).select("master_id", F.col("work_code").alias("instance_code"))
+
+
+_MIXED_CODE = "CASE WHEN master_id % 3 = 0 THEN 'A.' || upper(left(unit, 4)) || '.' || upper(left(name, 3)) WHEN master_id % 3 = 1 THEN upper(left(unit, 1)) || '.' || left(name, 3) ELSE unit || '.X' END"
+_LEGAL_CODE = "CASE WHEN master_id % 4 = 0 THEN left(unit, 2) || '.' || (1000 + master_id % 9000) || left(name, 1) WHEN master_id % 4 = 1 THEN left(name, 3) || '.' || (100 + master_id % 900) WHEN master_id % 4 = 2 THEN left(unit, 2) || '.1234+' ELSE unit || '.12' END"
+_CLASS_CODE = "CASE WHEN master_id % 5 = 0 THEN 'Pr' WHEN master_id % 5 = 1 THEN 'Pr_' || left(unit, 2) WHEN master_id % 5 = 2 THEN 'Pr_21_' || left(name, 2) WHEN master_id % 5 = 3 THEN 'Pr_21_31_' || (master_id % 90) ELSE 'Pr_1_2_3_4' END"
+
+
+@query(_WORKS + f""", c AS (SELECT master_id, {_MIXED_CODE} AS code FROM works), p AS (SELECT *, regexp_matches(code, '{codes.REFERENCE}') AS ok FROM c)
+SELECT master_id, code, CASE WHEN ok THEN split_part(code, '.', 1) END AS table_type, CASE WHEN ok THEN split_part(code, '.', 2) END AS "group", CASE WHEN ok THEN split_part(code, '.', 3) END AS type FROM p""")
+def reference_code_parts(spark, sf_dir):
+    return _works(spark, sf_dir).selectExpr("master_id", f"{_MIXED_CODE} AS code").withColumn("p", codes.reference_parts("code")).select("master_id", "code", "p.*")
+
+
+@query(_WORKS + f""", c AS (SELECT master_id, {_LEGAL_CODE} AS code FROM works)
+SELECT master_id, nullif(upper(regexp_extract(code, '{codes.LEGAL}', 1)), '') AS prefix, nullif(regexp_extract(code, '{codes.LEGAL}', 2), '') AS number, nullif(lower(regexp_extract(code, '{codes.LEGAL}', 3)), '') AS suffix FROM c""")
+def legal_code_parts(spark, sf_dir):
+    return _works(spark, sf_dir).selectExpr("master_id", f"{_LEGAL_CODE} AS code").withColumn("p", codes.legal_parts("code")).select("master_id", "p.*")
+
+
+@query(_WORKS + f""", c AS (SELECT master_id, {_CLASS_CODE} AS code, string_split({_CLASS_CODE}, '_') AS p FROM works), o AS (SELECT *, len(p) BETWEEN 2 AND 4 AS ok FROM c)
+SELECT master_id, CASE WHEN ok THEN p[1] END AS entity, CASE WHEN ok THEN p[2] END AS system, CASE WHEN ok THEN p[3] END AS element, CASE WHEN ok THEN p[4] END AS product, CASE WHEN ok THEN CAST(len(p) AS INTEGER) END AS level,
+  CASE WHEN ok THEN concat_ws(' > ', p[1], p[1] || '_' || p[2], p[1] || '_' || p[2] || '_' || p[3], code_of_four) END AS path FROM (SELECT *, CASE WHEN len(p) = 4 THEN code END AS code_of_four FROM o)""")
+def class_code_paths(spark, sf_dir):
+    return _works(spark, sf_dir).selectExpr("master_id", f"{_CLASS_CODE} AS code").withColumn("p", codes.class_parts("code")).select("master_id", "p.*")
+
+
+@query(_WORKS + r""", b AS (SELECT master_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(normalised, '\[([^\]]+)\]', '\1', 'g'), '\(([^)]+)\)', '\1', 'g'), '[,;:]{2,}', ',', 'g'), '-{2,}', '-', 'g') AS t FROM works),
+p AS (SELECT *, string_split(t, ' - ') AS p FROM b) SELECT master_id, CASE WHEN len(p) > 3 THEN p[1] || ' - ' || array_to_string(p[2:len(p) - 1], ' ') || ' - ' || p[len(p)] ELSE t END AS components FROM p""")
+def text_components(spark, sf_dir):
+    rows = _works(spark, sf_dir).select("master_id", text.without_brackets("normalised").alias("t"))
+    return rows.select("master_id", text.three_components("t").alias("components"))
+
+
+_LENGTH = "CASE WHEN master_id % 7 = 0 THEN '2,' || (master_id % 10) WHEN master_id % 7 = 1 THEN 'n/a' ELSE CAST(master_id % 1000 AS VARCHAR(20)) END AS v, CASE WHEN master_id % 4 = 0 THEN ' CM' WHEN master_id % 4 = 1 THEN 'mét' WHEN master_id % 4 = 2 THEN 'mm' ELSE 'inch' END AS u"
+
+
+@query(f""", l AS (SELECT master_id, {_LENGTH} FROM catalogue), n AS (SELECT *, TRY_CAST(replace(v, ',', '.') AS DOUBLE) * MAP {{{", ".join(f"'{u}': {f}" for u, f in text.MILLIMETRES.items())}}}[lower(trim(u))] AS mm FROM l)
+SELECT master_id, coalesce(CAST(CAST(trunc(mm) AS BIGINT) AS VARCHAR) || 'mm', v || u) AS length FROM n""")
+def lengths_in_millimetres(spark, sf_dir):
+    return views.catalogue(spark, sf_dir).selectExpr("master_id", _LENGTH.split(" AS v, ")[0] + " AS v", _LENGTH.split(" AS v, ")[1]).select("master_id", text.millimetres("v", "u").alias("length"))
+
+
+KEYWORDS = ["bolt", "red bolt", "thép", "cốt thép", "cold", "widget", "cold widget", "ống"]
+_KEYWORD_LIST = ", ".join(f"CASE WHEN contains(lower(description), '{w}') THEN '{w}' END" for w in KEYWORDS)
+
+
+@query(_WORKS + f""", h AS (SELECT master_id, list_filter([{_KEYWORD_LIST}], lambda w: w IS NOT NULL) AS ws FROM works)
+SELECT master_id, array_to_string(list_filter(ws, lambda w: len(list_filter(ws, lambda o: o <> w AND contains(' ' || o || ' ', ' ' || w || ' '))) = 0), '|') AS keywords FROM h""")
+def keyword_suppression(spark, sf_dir):
+    rows = _works(spark, sf_dir).select("master_id", codes.contained("description", KEYWORDS).alias("ws"))
+    return rows.select("master_id", F.array_join(codes.undominated(F.col("ws")), "|").alias("keywords"))
+
+
+@query(_WORKS + r"""SELECT master_id, nullif(lower(regexp_extract(description, '(?i)^\s*(excavation|bê tông|gach lat|painted|gach)\s+', 1)), '') AS lead, regexp_replace(description, '(?i)^\s*(excavation|bê tông|gach lat|painted|gach)\s+', '') AS rest FROM works""")
+def leading_words(spark, sf_dir):
+    return _works(spark, sf_dir).withColumn("s", codes.strip_leading("description", ["gach", "gach lat", "excavation", "bê tông", "painted"])).select("master_id", "s.*")
+
+
+SPEC_MENTIONS, MATERIAL_MENTIONS = r"(?:M|CB|PN|DN|D|B)\d+(?:\.\d+)?", "(?:HDPE|PVC|XLPE|CONCRETE|GRANITE)"
+_LOST = _WORKS + f""", held AS (SELECT master_id, upper(description) AS o, upper(coalesce(normalised, '')) AS n, coalesce(normalised, '') AS normalised, description, confidence FROM works),
+l AS (SELECT *, list_distinct(regexp_extract_all(o, '{SPEC_MENTIONS}')) AS os, list_sort(list_filter(list_distinct(regexp_extract_all(o, '{SPEC_MENTIONS}')), lambda x: NOT list_contains(regexp_extract_all(n, '{SPEC_MENTIONS}'), x))) AS ls,
+  list_sort(list_filter(list_distinct(regexp_extract_all(o, '{MATERIAL_MENTIONS}')), lambda x: NOT list_contains(regexp_extract_all(n, '{MATERIAL_MENTIONS}'), x))) AS lm FROM held),
+v AS (SELECT master_id, array_to_string(list_concat(ls, lm), '|') AS lost, CASE WHEN length(trim(normalised)) < 3 OR confidence < 50 OR (NOT contains(normalised, ' - ') AND length(normalised) > 15) OR len(ls) > len(os) * 0.5 THEN 'BAD'
+  WHEN confidence < 70 OR len(string_split(normalised, ' - ')) > 3 OR len(ls) + len(lm) > 0 THEN 'FIXABLE' ELSE 'GOOD' END AS verdict FROM l) """
+
+
+def _reviewed(spark, sf_dir):
+    return review.verdicts(_works(spark, sf_dir).withColumnRenamed("description", "original"), SPEC_MENTIONS, MATERIAL_MENTIONS)
+
+
+@query(_LOST + "SELECT * FROM v")
+def review_verdicts(spark, sf_dir):
+    return _reviewed(spark, sf_dir).select("master_id", F.array_join("lost", "|").alias("lost"), "verdict")
+
+
+@query(_LOST + "SELECT verdict, count(*) AS n, count(*) FILTER (WHERE lost <> '') AS n_with_loss FROM v GROUP BY 1")
+def review_counts(spark, sf_dir):
+    return _reviewed(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"), F.count_if(F.size("lost") > 0).alias("n_with_loss"))
+
+
+DOMAIN_RULES = [
+    review.Rule("concrete_grade", "warning", "bê tông|concrete", r"[mb]\d{2,3}"), review.Rule("pipe_diameter", "warning", "ống", r"\bd\d+"), review.Rule("rebar_type", "error", "thép", r"cb\d{3}"),
+    review.Rule("brand_text", "info", "", "^.{10,100}$"), review.Rule("bolt_colour", "error", "bolt", "(?:red|blue|cold) bolt"),
+]
+_BROKEN = ", ".join(f"CASE WHEN regexp_matches(t, '{r.when}') AND NOT regexp_matches(t, '{r.check}') THEN '{r.name}:{r.severity}' END" for r in DOMAIN_RULES)
+_ISSUES = _WORKS + f", b AS (SELECT master_id, unit, confidence, list_filter([{_BROKEN}], lambda x: x IS NOT NULL) AS i FROM (SELECT *, lower(coalesce(normalised, '')) AS t FROM works)) "
+
+
+@query(_ISSUES + "SELECT master_id, array_to_string(i, '|') AS issues, len(list_filter(i, lambda x: x LIKE '%:error')) = 0 AS is_valid FROM b")
+def domain_validation(spark, sf_dir):
+    rows = review.validate(_works(spark, sf_dir), DOMAIN_RULES, "normalised")
+    return rows.select("master_id", F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["name"], i["severity"])), "|").alias("issues"), "is_valid")
+
+
+@query(_ISSUES + """, e AS (SELECT unit, confidence, len(list_filter(i, lambda x: x LIKE '%:error')) AS e, len(list_filter(i, lambda x: x LIKE '%:warning')) AS w FROM b)
+SELECT unit, count(*) AS n_items, count(*) FILTER (WHERE e = 0) / count(*) * 100 AS valid_rate, CAST(sum(confidence) AS DOUBLE) / count(confidence) AS avg_confidence, CAST(sum(e) AS BIGINT) AS n_errors, CAST(sum(w) AS BIGINT) AS n_warnings FROM e GROUP BY 1""")
+def validation_quality(spark, sf_dir):
+    return review.quality_metrics(review.validate(_works(spark, sf_dir), DOMAIN_RULES, "normalised"), ["unit"])
+
+
+@query(_spec_sql() + """SELECT master_id, CAST(100 - CASE WHEN category IS NULL THEN 30 ELSE 0 END - CASE WHEN material IS NULL THEN 20 ELSE 0 END - 15 - CASE WHEN grade IS NULL AND dimension IS NULL THEN 15 ELSE 0 END AS INTEGER) AS confidence FROM k""")
+def parts_confidence(spark, sf_dir):
+    """No table names a position, so its points are always lost here."""
+    rows = _specified(spark, sf_dir)
+    score = review.parts_confidence(F.col("category"), F.col("material"), F.lit(None).cast("string"), F.coalesce("grade", "dimension"))
+    return rows.select("master_id", score.cast("int").alias("confidence"))
+
+
+# Context of files: indicators over the catalogue's words.
+CONTEXTS = {"road": context.Indicators(["bolt", "rod"], ["cold"], 2), "building": context.Indicators(["plate", "widget"], ["hot"], 1.5), "mep": context.Indicators(["ring", "gear"], ["blue", "red"], 1)}
+TERMS_OF_FILES = ["bolt", "rod", "plate", "widget", "ring", "gear", "gizmo", "cold", "hot", "blue", "red", "small", "large"]
+
+
+def _context_sql() -> str:
+    points = lambda i: " + ".join(f"CASE WHEN contains(d, '{w}') THEN {p} ELSE 0 END" for ws, p in ((i.strong, i.weight), (i.weak, context.WEAK)) for w in ws)
+    sums = ", ".join(f"CAST(sum({points(i)}) AS DOUBLE) AS {n}" for n, i in CONTEXTS.items())
+    rows = " UNION ALL ".join(f"SELECT file_id, {k} AS ord, '{n}' AS name, CASE WHEN total > 0 THEN {n} / total ELSE 0.0 END AS share FROM t" for k, n in enumerate(CONTEXTS))
+    return f""", s AS (SELECT file_id, {sums} FROM (SELECT file_id, lower(description) AS d FROM line_items) GROUP BY 1), t AS (SELECT *, {" + ".join(CONTEXTS)} AS total FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY share DESC, ord) AS k FROM ({rows})), two AS (SELECT file_id, max(name) FILTER (WHERE k = 1) AS name, max(share) FILTER (WHERE k = 1) AS best, max(share) FILTER (WHERE k = 2) AS second FROM r GROUP BY 1) """
+
+
+@query(_context_sql() + "SELECT file_id, CASE WHEN best < CAST(0.3 AS DOUBLE) OR second > CAST(0.3 AS DOUBLE) THEN 'mixed' ELSE name END AS project_type, best AS share, best - second AS gap FROM two")
+def file_project_types(spark, sf_dir):
+    return context.project_types(views.line_items(spark, sf_dir), "file_id", CONTEXTS)
+
+
+@query(f""", w AS (SELECT unit, unnest(list_intersect(string_split_regex(lower(description), '[^a-z0-9]+'), [{", ".join(f"'{t}'" for t in TERMS_OF_FILES)}])) AS term FROM line_items), c AS (SELECT unit, term, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY unit ORDER BY n DESC, term) AS INTEGER) AS place FROM c) WHERE place <= 5""")
+def top_terms(spark, sf_dir):
+    return context.top_terms(views.line_items(spark, sf_dir), ["unit"], TERMS_OF_FILES, 5)
+
+
+# Results written back, exports, remaining filters and joins.
+@query(_CASCADE + "SELECT m.file_id, m.line_number, m.description, matched_id, c.description AS master_description FROM m LEFT JOIN catalogue c ON matched_id = c.master_id")
+def matched_descriptions(spark, sf_dir):
+    masters = views.catalogue(spark, sf_dir).select(F.col("master_id").alias("matched_id"), F.col("description").alias("master_description"))
+    return _cascaded(spark, sf_dir).join(masters, "matched_id", "left").select("file_id", "line_number", "description", "matched_id", "master_description")
+
+
+@query(_CASCADE + """, n AS (SELECT file_id, line_number, max(matched_id) AS matched_id FROM m GROUP BY 1, 2)
+SELECT f.file_id, f.line_number, coalesce(n.matched_id, f.master_id) AS matched_id FROM facts f LEFT JOIN n USING (file_id, line_number)""")
+def match_update(spark, sf_dir):
+    items = views.facts(spark, sf_dir).select("file_id", "line_number", F.col("master_id").alias("matched_id"))
+    return updates.with_matches(items, _cascaded(spark, sf_dir), ["file_id", "line_number"]).select("file_id", "line_number", "matched_id")
+
+
+@query(_CASCADE + """, own AS (SELECT file_id, lower(trim(description || ' bespoke')) AS k, max(master_id) AS id FROM line_items GROUP BY 1, 2)
+SELECT m.file_id, m.line_number, coalesce(m.matched_id, own.id) AS matched_id FROM m LEFT JOIN own ON m.file_id = own.file_id AND lower(trim(m.description)) = own.k""")
+def back_linked_items(spark, sf_dir):
+    variants = views.line_items(spark, sf_dir).select("master_id", "file_id", F.concat("description", F.lit(" bespoke")).alias("variant"))
+    return updates.back_links(_cascaded(spark, sf_dir), variants).select("file_id", "line_number", "matched_id")
+
+
+@query(_CASCADE + """, c AS (SELECT lower(trim(description)) AS synonym, matched_id, count(*) AS n FROM m WHERE matched_id IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY synonym ORDER BY n DESC, matched_id DESC) AS k FROM c) SELECT synonym, matched_id AS master_id, n FROM b WHERE k = 1 AND synonym NOT IN (SELECT k FROM e)""")
+def learnt_synonyms(spark, sf_dir):
+    return updates.learnt_synonyms(_cascaded(spark, sf_dir), views.catalogue(spark, sf_dir))
+
+
+@query(_CASCADE + "SELECT count(*) AS n_items, count(*) FILTER (WHERE stage = 'exact') AS n_exact, count(*) FILTER (WHERE stage IN ('synonym', 'token')) AS n_close, count(*) FILTER (WHERE stage = 'new') AS n_new, count(DISTINCT lower(trim(description))) AS n_distinct FROM m")
+def process_summary(spark, sf_dir):
+    is_ = lambda *s: F.count_if(F.col("stage").isin(*s))
+    return _cascaded(spark, sf_dir).agg(F.count("*").alias("n_items"), is_("exact").alias("n_exact"), is_("synonym", "token").alias("n_close"), is_("new").alias("n_new"), F.count_distinct(F.lower(F.trim("description"))).alias("n_distinct"))
+
+
+@query("SELECT sec_code, 'S' || lpad(CAST(master_id AS VARCHAR), 12, '0') AS work_code, description, unit FROM catalogue")
+def catalogue_export(spark, sf_dir):
+    """The catalogue as sorted CSV files in the shared folder, read back."""
+    rows = views.catalogue(spark, sf_dir).select("sec_code", F.concat(F.lit("S"), F.lpad(F.col("master_id").cast("string"), 12, "0")).alias("work_code"), "description", "unit")
+    return sinks.csv_round_trip(rows, ["sec_code", "work_code"])
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS master_id, description FROM events LEFT JOIN catalogue ON CAST(json_extract_string(props, '$.k') AS BIGINT) = master_id")
+def json_path_join(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("master_id"))
+    return rows.join(views.catalogue(spark, sf_dir).select("master_id", "description"), "master_id", "left")
+
+
+@query("""SELECT vec_id, n_id, CASE WHEN s >= 0.9 THEN 'exact' WHEN s >= 0.75 THEN 'fuzzy' ELSE 'new' END AS tier FROM (SELECT a.vec_id, b.vec_id AS n_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, n_id) = 1""")
+def semantic_match(spark, sf_dir):
+    best, s = hierarchy.vector_topk(table(spark, sf_dir, "embeddings"), 1, in_label=False), F.col("similarity")
+    return best.select("vec_id", "n_id", F.when(s >= 0.9, "exact").when(s >= 0.75, "fuzzy").otherwise("new").alias("tier"))
+
+
+@query("SELECT project_id, project_name, region FROM projects WHERE project_type = 'BUILDING' AND region = 'ASIA' AND project_name ILIKE '%1%'")
+def project_filter(spark, sf_dir):
+    return views.projects(spark, sf_dir).where((F.col("project_type") == "BUILDING") & (F.col("region") == "ASIA") & F.col("project_name").ilike("%1%")).select("project_id", "project_name", "region")
+
+
+@query(_TREE + "SELECT code, parent FROM links WHERE parent = 'ASIA'")
+def codes_below(spark, sf_dir):
+    return views.code_links(spark, sf_dir).where("parent = 'ASIA'")
+
+
+@query("SELECT file_id, line_number, CAST(row_number() OVER (PARTITION BY file_id ORDER BY line_number, master_id, amount) AS INTEGER) AS row_number FROM facts")
+def raw_row_numbers(spark, sf_dir):
+    return hierarchy.numbered(views.facts(spark, sf_dir), "file_id", ["line_number", "master_id", "amount"]).select("file_id", "line_number", "row_number")
+
+
+@query("SELECT master_id, count(*) AS occurrences, min(unit_price) AS min_price, max(unit_price) AS max_price, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount FROM facts GROUP BY 1")
+def running_prices(spark, sf_dir):
+    """The figures of every catalogue row as a stream of line items leaves them."""
+    # as a glob, since a stream's plain path has to be a folder and the table may be a single file
+    lines = spark.readStream.schema(table(spark, sf_dir, "lineitem").schema).parquet(f"{sf_dir.rstrip('/')}/lineitem.parque[t]")
+    folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    streaming.running_prices(lines.select(F.col("l_partkey").alias("master_id"), F.col("l_extendedprice").alias("amount"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price")), folder)
+    return streaming.current(spark, folder).withColumn("total_amount", F.col("total_amount").cast("double"))
