@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from costweave.operators import matching
+from costweave.operators import analytics, matching
 from costweave.session import stage
 
 TIERS = ("exact", "synonym", "token")
@@ -44,11 +44,16 @@ def stage_metrics(cascaded: DataFrame) -> DataFrame:
     return rows.select("stage", "items_in", "resolved", F.when(F.col("items_in") > 0, F.col("resolved") / F.col("items_in")).otherwise(0.0).alias("hit_rate"))
 
 
-def temp_codes(rows: DataFrame, project: str, order: list[str]) -> DataFrame:
-    """PRJ.<project>-TEMP-001, ... numbered within the project, so no two rows share a code."""
-    number = F.row_number().over(Window.partitionBy(project).orderBy(*order)).cast("string")
+def temp_codes(rows: DataFrame, project: str, file: str, order: list[str]) -> DataFrame:
+    """PRJ.<project>-TEMP-001, ... numbered within the project by file, then ``order``, so no two rows share a code.
+
+    Files are ranked by their counts in buckets and lines inside their file, so that no project is sorted in one task.
+    """
+    starts = analytics.placed(rows.select(project, file), [project], file).select(F.col(project).alias("_project"), F.col(file).alias("_file"), "before")
+    numbered = rows.join(starts, F.col(project).eqNullSafe(F.col("_project")) & F.col(file).eqNullSafe(F.col("_file")))
+    number = (F.col("before") + F.row_number().over(Window.partitionBy(project, file).orderBy(*order))).cast("string")
     padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
-    return rows.withColumn("temp_code", F.concat(F.lit("PRJ."), F.col(project).cast("string"), F.lit("-TEMP-"), padded))
+    return numbered.withColumn("temp_code", F.concat(F.lit("PRJ."), F.col(project).cast("string"), F.lit("-TEMP-"), padded)).drop("_project", "_file", "before")
 
 
 def elect_canonical(variants: DataFrame, cluster: list[str]) -> DataFrame:

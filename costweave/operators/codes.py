@@ -89,3 +89,13 @@ def strip_leading(column: str, words: list[str]) -> Column:
     pattern = r"(?i)^\s*(" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")\s+"
     lead = F.nullif(F.lower(F.regexp_extract(column, pattern, 1)), F.lit(""))
     return F.struct(lead.alias("lead"), F.regexp_replace(column, pattern, "").alias("rest"))
+
+
+def first_kind(column: str, kinds: dict[str, str], otherwise: str) -> Column:
+    """The first kind whose pattern the lower-cased text holds."""
+    return F.coalesce(*(F.when(F.lower(column).rlike(p), F.lit(k)) for k, p in kinds.items()), F.lit(otherwise))
+
+
+def confidence(*signs: Column) -> Column:
+    """Of a code that is made by rule: 75, 10 more for each sign that holds, 95 at most (fixed values)."""
+    return F.least(F.lit(95), F.lit(75) + sum(F.when(s, 10).otherwise(0) for s in signs)).cast("int")

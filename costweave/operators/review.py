@@ -21,6 +21,21 @@ class Rule:
     check: str
 
 
+@dataclass(frozen=True)
+class Default:
+    """``text`` goes for what a description that matches ``when`` leaves unsaid: it doesn't match ``said``, in lower case."""
+
+    when: str
+    said: str
+    text: str
+
+
+def with_defaults(column: str, defaults: list[Default]) -> Column:
+    """The text and, joined by ' - ', the defaults that it needs; a null text needs none and becomes empty."""
+    t = F.lower(column)
+    return F.concat_ws(" - ", column, *(F.when(t.rlike(d.when) & ~t.rlike(d.said), d.text) for d in defaults))
+
+
 def missing(original: str, normalised: str, pattern: str) -> Column:
     """Distinct matches of the pattern in the original that the normalised text lacks, both in upper case, sorted."""
     held = lambda c: F.regexp_extract_all(F.upper(F.coalesce(F.col(c), F.lit(""))), F.lit(pattern), F.lit(0))

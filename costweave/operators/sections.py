@@ -34,3 +34,14 @@ def enclosing(rows: DataFrame, group: str, order: list[str], levels: int) -> Dat
         open_ = (F.col("level") > k) & (F.lit(True) if not above else F.col(name) > (F.greatest(*above) if len(above) > 1 else above[0]))
         steps.append(F.when(open_, F.col(name)))
     return rows.withColumn("path", F.array_compact(F.array(*steps))).drop(*names)
+
+
+#: Level and pattern of headings, in the order they are tried.
+HEADINGS = [(1, r"^\s*(?:PHẦN|Phần|CHƯƠNG|Chương|HẠNG MỤC|Hạng mục)\s"), (2, r"^\s*[IVX]+[.)]\s"), (3, r"^\s*[A-Z][.)]\s"), (4, r"^\s*\d+(?:\.\d+)*[.)]\s")]
+
+
+def heading_level(column: str) -> F.Column:
+    """Level of a heading by how it starts; other texts of several words in capitals are level 2, the rest null."""
+    t = F.col(column)
+    capitals = (t == F.upper(t)) & F.contains(t, F.lit(" ")) & (t != F.lower(t))
+    return F.coalesce(*(F.when(t.rlike(p), k) for k, p in HEADINGS), F.when(capitals, 2))

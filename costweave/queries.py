@@ -262,7 +262,7 @@ def unmatched_items(spark, sf_dir):
 FROM (SELECT file_id, line_number, project_id, row_number() OVER (PARTITION BY project_id ORDER BY file_id, line_number) AS k FROM line_items JOIN files USING (file_id))""")
 def temp_codes(spark, sf_dir):
     rows = views.line_items(spark, sf_dir).join(views.files(spark, sf_dir).select("file_id", "project_id"), "file_id")
-    return cascade.temp_codes(rows, "project_id", ["file_id", "line_number"]).select("file_id", "line_number", "temp_code")
+    return cascade.temp_codes(rows, "project_id", "file_id", ["line_number"]).select("file_id", "line_number", "temp_code")
 
 
 @query(_FREQUENCY + """, r AS (SELECT *, row_number() OVER (PARTITION BY split_part(description, ' ', 1), unit ORDER BY length(trim(description)) < 3, frequency DESC, length(description) DESC, description) AS k,
@@ -882,3 +882,34 @@ def running_prices(spark, sf_dir):
     folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     streaming.running_prices(lines.select(F.col("l_partkey").alias("master_id"), F.col("l_extendedprice").alias("amount"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price")), folder)
     return streaming.current(spark, folder).withColumn("total_amount", F.col("total_amount").cast("double"))
+
+
+# Kinds of items, what a text leaves unsaid, headings.
+KINDS = {"M": "gach|widget", "L": "painted", "E": "excavation"}
+DEFAULTS = [review.Default("bê tông|concrete", r"\bm\d{2,3}\b", "M250"), review.Default("bê tông|concrete", r"\d+x\d+", "1x2"), review.Default("excavation", r"machine|manual", "0.8m3")]
+_DEFAULTED = "concat_ws(' - ', description, " + ", ".join(f"CASE WHEN regexp_matches(lower(description), '{d.when}') AND NOT regexp_matches(lower(description), '{d.said}') THEN '{d.text}' END" for d in DEFAULTS) + ")"
+
+
+@query(_WORKS + ", k AS (SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(description), '{p}') THEN '{k}'" for k, p in KINDS.items()) + " ELSE 'A' END AS kind, confidence FROM works) SELECT kind, count(*) AS n, min(confidence) AS lowest FROM k GROUP BY 1")
+def item_kinds(spark, sf_dir):
+    rows = _works(spark, sf_dir).select(codes.first_kind("description", KINDS, "A").alias("kind"), "confidence")
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.min("confidence").alias("lowest"))
+
+
+@query(_WORKS + f"SELECT master_id, {_DEFAULTED} AS enhanced FROM works")
+def default_specs(spark, sf_dir):
+    return _works(spark, sf_dir).select("master_id", review.with_defaults("description", DEFAULTS).alias("enhanced"))
+
+
+_HEADING = "CASE WHEN master_id % 6 = 0 THEN 'PHẦN 1 ' || name WHEN master_id % 6 = 1 THEN 'IV. ' || name WHEN master_id % 6 = 2 THEN 'A. ' || name WHEN master_id % 6 = 3 THEN '1.2. ' || name WHEN master_id % 6 = 4 THEN upper(name) ELSE name END"
+
+
+@query(_WORKS + f", h AS (SELECT master_id, {_HEADING} AS t FROM works) SELECT master_id, " + "CAST(CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN {k}" for k, p in sections.HEADINGS) + " WHEN t = upper(t) AND contains(t, ' ') AND t <> lower(t) THEN 2 END AS INTEGER) AS level FROM h")
+def heading_levels(spark, sf_dir):
+    return _works(spark, sf_dir).selectExpr("master_id", f"{_HEADING} AS t").select("master_id", sections.heading_level("t").alias("level"))
+
+
+@query(_reference_sql() + "SELECT master_id, CAST(least(95, 75 + CASE WHEN ref_code NOT LIKE '%.GENR.%' THEN 10 ELSE 0 END + CASE WHEN location IS NOT NULL THEN 10 ELSE 0 END) AS INTEGER) AS confidence FROM coded")
+def code_confidence(spark, sf_dir):
+    rows = codes.reference_codes(_works(spark, sf_dir), CODE_RULES)
+    return rows.select("master_id", codes.confidence(~F.contains("ref_code", F.lit(".GENR.")), F.col("location").isNotNull()).alias("confidence"))
