@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from costweave.llm import chat, media, packing, quality, secrets, suffix_dedup, toxicity, warc
+from costweave.llm import chat, media, packing, periodic, quality, secrets, suffix_dedup, toxicity, warc
 from costweave.llm.decontaminate import contaminated
 from costweave.llm.ngram_jaccard import similar_classes
 from costweave.session import table
@@ -61,6 +61,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES["op1_chat_format"] = op1_chat_format
 QUERIES["op2_warc"] = op2_warc
 QUERIES["op3_secrets"] = op3_secrets
@@ -71,6 +75,7 @@ QUERIES["op7_media"] = op7_media
 QUERIES["op8_decontamination"] = op8_decontamination
 QUERIES["op9_suffix_dedup"] = op9_suffix_dedup
 QUERIES["op10_ngram_jaccard"] = op10_ngram_jaccard
+QUERIES["op13_periodic_runs"] = op13_periodic_runs
 
 _ESCAPED = r"length(regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>)', '\1\2\\\3', 'g'))"
 ORACLES["op1_chat_format"] = rf"""
@@ -90,3 +95,22 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a"""
+
+# a run of period q and 4q or more (6 or more) words holds equal 5-word shingles q apart, one after the other
+ORACLES["op13_periodic_runs"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS b FROM documents),
+c AS (SELECT doc_id, w, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b), lambda x, y:
+  list_reduce(list_concat([xor(x, y)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda u, v: CASE WHEN u % 2 = 1 THEN xor(u // 2, 3988292384) ELSE u // 2 END))) AS h FROM d),
+g AS (SELECT doc_id, w, h % 10 = 0 AND len(w) > 0 AS planted, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM c),
+t AS (SELECT doc_id, CASE WHEN planted THEN list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // (3 + g % 8)) END]) ELSE w END AS w FROM g),
+s AS (SELECT doc_id, i, w[i + 1:i + 5] AS s FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 0))) AS i FROM t)),
+p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.s = y.s AND y.i > x.i),
+e AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p) GROUP BY doc_id, q, island
+  HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.doc_id = e.doc_id AND o.q < e.q AND e.q % o.q = 0 AND o.start <= e.start AND o.start + o.length >= e.start + e.length)),
+n AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM r GROUP BY doc_id),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, q) = 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+k AS (SELECT t.doc_id, string_agg(t.v, ' ' ORDER BY t.i) AS kept FROM (SELECT doc_id, unnest(w) AS v, unnest(range(len(w))) AS i FROM t) t LEFT JOIN x ON x.doc_id = t.doc_id AND x.i = t.i WHERE x.i IS NULL GROUP BY t.doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.q AS period, 1000 * b.length // b.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN b ON b.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id"""

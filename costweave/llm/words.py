@@ -17,6 +17,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Separators for words of letters and digits only: every other ASCII byte.
 LETTERS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint64)
+_KEPT = _LOWER + np.uint64(1)
 _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -67,8 +68,9 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _S
     return starts, ends
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, block by block, so memory stays bounded for long texts."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hash of each word, block by block, so memory stays bounded for long texts; ``lower`` makes A-Z and a-z one."""
+    code = _LOWER if lower else _KEPT
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -77,7 +79,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         hi = ends[j - 1]
         power, inverse = _pow(int(hi - lo) + 1)
         sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_LOWER[raw[lo:hi]] * power[:-1], out=sums[1:])
+        np.cumsum(code[raw[lo:hi]] * power[:-1], out=sums[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
         i = j
