@@ -249,10 +249,11 @@ def planted(docs: DataFrame, one_in: int = 10) -> DataFrame:
     1 + (n - a) div (3 + g mod 8) of them. Null ids and texts without words stay as they are.
     """
     h = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
-    words, g = F.regexp_extract_all("text", F.lit(f"({_WORDS})")), F.floor(h / 10)
-    n = F.size(words)
+    chosen = F.when(F.pmod(h, F.lit(one_in)) == 0, F.regexp_extract_all("text", F.lit(f"({_WORDS})")))  # a column: looked up, not split again, for each word
+    n, g = F.size("_words"), F.floor(h / 10)
     a = F.pmod(g, n)
     p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    at = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p))
-    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, at(i).cast("int"))), " ")
-    return docs.withColumn("text", F.when((F.pmod(h, F.lit(one_in)) == 0) & F.col("text").rlike(_WORDS), repeated).otherwise(F.col("text")))
+    rows = docs.withColumn("_words", chosen).withColumns({"_from": a, "_every": p})
+    at = lambda i: F.when(i < F.col("_from"), i).otherwise(F.col("_from") + F.pmod(i - F.col("_from"), "_every"))
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_words", at(i).cast("int"))), " ")
+    return rows.withColumn("text", F.when(n > 0, repeated).otherwise(F.col("text"))).drop("_words", "_from", "_every")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from costweave.llm import chat, media, packing, periodic, quality, secrets, suffix_dedup, toxicity, warc
+from costweave.llm import chat, media, online_packing, packing, periodic, quality, secrets, suffix_dedup, toxicity, warc
 from costweave.llm.decontaminate import contaminated
 from costweave.llm.ngram_jaccard import similar_classes
 from costweave.session import table
@@ -61,6 +61,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
@@ -75,6 +79,7 @@ QUERIES["op7_media"] = op7_media
 QUERIES["op8_decontamination"] = op8_decontamination
 QUERIES["op9_suffix_dedup"] = op9_suffix_dedup
 QUERIES["op10_ngram_jaccard"] = op10_ngram_jaccard
+QUERIES["op11_online_packing"] = op11_online_packing
 QUERIES["op13_periodic_runs"] = op13_periodic_runs
 
 _ESCAPED = r"length(regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>)', '\1\2\\\3', 'g'))"
