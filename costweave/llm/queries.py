@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from costweave.llm import chat, media, online_packing, packing, periodic, quality, secrets, suffix_dedup, toxicity, warc
+from costweave.llm import chat, hard_negatives, media, online_packing, packing, periodic, quality, secrets, suffix_dedup, toxicity, warc
 from costweave.llm.decontaminate import contaminated
 from costweave.llm.ngram_jaccard import similar_classes
 from costweave.session import table
@@ -65,6 +65,13 @@ def op11_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    whole = "label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.where(whole).select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("v")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
@@ -80,6 +87,7 @@ QUERIES["op8_decontamination"] = op8_decontamination
 QUERIES["op9_suffix_dedup"] = op9_suffix_dedup
 QUERIES["op10_ngram_jaccard"] = op10_ngram_jaccard
 QUERIES["op11_online_packing"] = op11_online_packing
+QUERIES["op12_hard_negatives"] = op12_hard_negatives
 QUERIES["op13_periodic_runs"] = op13_periodic_runs
 
 _ESCAPED = r"length(regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>)', '\1\2\\\3', 'g'))"
@@ -101,6 +109,17 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a"""
 
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT vec_id, label, unnest(range(len(e))) AS i, CAST(floor(256 * CAST(unnest(e) AS DOUBLE)) AS BIGINT) AS x FROM v),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, any_value(a.label = b.label) AS same, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM c a JOIN c b ON a.i = b.i WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3"""
+
 # a run of period q and 4q or more (6 or more) words holds equal 5-word shingles q apart, one after the other
 ORACLES["op13_periodic_runs"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS b FROM documents),
