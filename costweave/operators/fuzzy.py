@@ -6,12 +6,11 @@ shared word, prefixes of rare q-grams for edit-like ratios. Scores are computed
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from costweave.functions.similarity import sequence_ratios
 from costweave.operators.graph import components
 
 # Thresholds and weights of the matcher.
@@ -40,16 +39,16 @@ def indel(a: str, b: str) -> float:
     return 2 * common_length(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def sequence(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+def _indels(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([indel(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _scores(function):
-    @F.pandas_udf("double")
-    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([function(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _sequences(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(sequence_ratios(a.tolist(), b.tolist()))
 
-    return scored
+
+def _scores(function):
+    return F.pandas_udf(function, "double")
 
 
 def normal(column: str) -> F.Column:
@@ -81,7 +80,7 @@ def block_matches(items: DataFrame, catalogue: DataFrame, block: str) -> DataFra
     tokens = F.size(shared) / F.greatest(F.size("words"), F.size("b_words"))
     bonus = F.when(F.col("unit") == F.col("b_unit"), UNIT_BONUS).otherwise(0.0)
     pairs = pairs.where(SEQUENCE_WEIGHT + TOKEN_WEIGHT * tokens + bonus >= FUZZY - 1e-9)
-    blend = F.when(F.col("text") == F.col("other"), 1.0).otherwise(SEQUENCE_WEIGHT * _scores(sequence)("text", "other") + TOKEN_WEIGHT * tokens)
+    blend = F.when(F.col("text") == F.col("other"), 1.0).otherwise(SEQUENCE_WEIGHT * _scores(_sequences)("text", "other") + TOKEN_WEIGHT * tokens)
     scored = pairs.select(block, "text", "unit", "master_id", "other", F.round(F.least(F.lit(1.0), blend + bonus), 9).alias("score"))
     return scored.where(F.col("score") >= FUZZY)
 
@@ -122,7 +121,7 @@ def near_pairs(texts: DataFrame, within: str, threshold: float = CLUSTER) -> Dat
     fits = (F.col("text") < F.col("b")) & (F.least(n, F.length("b")) >= F.greatest(n, F.length("b")) * least)
     pairs = prefix.join(other, F.col(within).eqNullSafe(F.col("b_within")) & (F.col("q") == F.col("b_q")) & (F.col("gram") == F.col("b_gram"))).where(fits)
     pairs = pairs.select(within, F.col("text").alias("a"), "b").distinct()
-    return pairs.withColumn("ratio", _scores(indel)("a", "b")).where(F.col("ratio") >= threshold - 1e-9)
+    return pairs.withColumn("ratio", _scores(_indels)("a", "b")).where(F.col("ratio") >= threshold - 1e-9)
 
 
 def clusters(variants: DataFrame, within: str = "unit") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from costweave import streaming
 from costweave.functions import text
-from costweave.operators import analytics, cascade, catalogue, codes, context, fuzzy, gate, hierarchy, matching, review, rules, sections, specs, units, updates
+from costweave.operators import analytics, cascade, catalogue, codes, context, fuzzy, fuzzy_top, gate, hierarchy, matching, review, rules, sections, specs, units, updates
 from costweave.session import shared_dir, table
 from costweave.sources import sinks, views
 
@@ -224,12 +224,15 @@ m AS (SELECT file_id, line_number, i.description, CASE WHEN e.id IS NOT NULL THE
   LEFT JOIN t ON array_to_string(list_sort(list_distinct(string_split_regex(lower(trim(i.description)), ' +'))), ' ') = t.k) """
 
 
-def _altered(spark, sf_dir):
-    """Line items whose descriptions are written as a synonym, in reverse, with a word no catalogue has, or as they are."""
+def _as_altered():
     line, words = F.col("line_number"), F.split("description", " ")
     text = F.when(line == 7, F.concat("description", F.lit(" bespoke"))).when(line % 3 == 1, F.concat("description", F.lit(" type")))
-    text = text.when(line % 3 == 2, F.concat_ws(" ", words[1], words[0])).otherwise(F.col("description"))
-    return views.line_items(spark, sf_dir).select("file_id", "line_number", text.alias("description"))
+    return text.when(line % 3 == 2, F.concat_ws(" ", words[1], words[0])).otherwise(F.col("description"))
+
+
+def _altered(spark, sf_dir):
+    """Line items whose descriptions are written as a synonym, in reverse, with a word no catalogue has, or as they are."""
+    return views.line_items(spark, sf_dir).select("file_id", "line_number", _as_altered().alias("description"))
 
 
 def _cascaded(spark, sf_dir):
@@ -570,8 +573,7 @@ ORACLES["cluster_descriptions"] = ORACLES["cluster_descriptions"].replace("WITH"
 def fuzzy_topk(spark, sf_dir):
     """No SQL: the score holds a sequence ratio that SQL engines lack; tests compare the scored pairs with plain Python on a small fixture."""
     masters = views.catalogue(spark, sf_dir)
-    lines = views.line_items(spark, sf_dir).select("file_id", "line_number", "sec_code", "unit")
-    items = _altered(spark, sf_dir).join(lines, ["file_id", "line_number"])
+    items = views.line_items(spark, sf_dir).withColumn("description", _as_altered())
     return fuzzy.top_matches(items, masters, "sec_code", 5).select("sec_code", "text", "unit", "master_id", "score", "place", "tier")
 
 
@@ -580,7 +582,14 @@ def fuzzy_best_match(spark, sf_dir):
     return fuzzy_topk(spark, sf_dir).where("place = 1").drop("place")
 
 
-QUERIES |= {f.__name__: f for f in (fuzzy_topk, fuzzy_best_match)}
+def fuzzy_top5_all(spark, sf_dir):
+    """Line items as altered, with unit and code in their text, against the whole catalogue; no SQL for the same reason, tests compare with all pairs."""
+    whole = lambda df: df.select("*", F.concat_ws(" ", "description", F.lower("unit"), "sec_code").alias("_text")).drop("description").withColumnRenamed("_text", "description")
+    items = views.line_items(spark, sf_dir).withColumn("description", _as_altered())
+    return fuzzy_top.top_matches(whole(items), whole(views.catalogue(spark, sf_dir)), 5)
+
+
+QUERIES |= {f.__name__: f for f in (fuzzy_topk, fuzzy_best_match, fuzzy_top5_all)}
 
 
 # Specifications: catalogue rows with what a work description says, by a rule.
