@@ -1,87 +1,94 @@
-"""Specifications in descriptions: category, material, grade and dimension, their key and how complete they are."""
+"""Specifications in descriptions: what a text names, in which grade and size, its key, and the spans that rules claim."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costweave.functions import text as texts
 
-# Names in the order they are tried, with the words (folded, lower case) that stand for them.
+# Names, each with the folded words that stand for it. A word counts between blanks only.
 CATEGORIES = {
-    "be tong cot thep": r"\bbe tong cot thep\b|\bbtct\b",
-    "cot thep": r"\bcot thep\b|\bthep cot\b|\bct\b|\brebar",
-    "be tong": r"\bbe tong\b|\bbeton|\bconcrete|\bbt\b",
-    "thep hinh": r"\bthep (?:hinh|[hiu])\b",
-    "thep": r"\bthep\b",
-    "co ong": r"\bcut\b|\bco ong\b|\belbow",
-    "con thu": r"\bcon thu\b|\breducer",
-    "bich": r"\bbich\b|\bflange",
-    "khop noi": r"\bkhop noi\b|\bcoupling|\bjoint",
-    "van": r"\bvan (?:cong|buom|bi|mot|cau|xa)\b|\bvalve",
-    "ong": r"\bong\b|\bpipe|\btube",
-    "tu dien": r"\btu dien\b|\bpanel *board|\bswitchboard",
-    "aptomat": r"\baptomat|\bmcc?b\b|\bbreaker",
-    "contactor": r"\bcontactor|\bkhoi dong tu\b",
-    "cap dien": r"\b(?:cap|day) dien\b",
-    "cap": r"\bcap\b|\bcable",
-    "dong ho": r"\bdong ho\b|\bmeter\b",
-    "bom": r"\bbom\b|\bpump",
-    "gach lat": r"\bgach lat\b|\btiles?\b",
-    "dao dat": r"\bdao dat\b|\bexcavat",
-    "dap dat": r"\bdap dat\b|\bbackfill",
-    "van khuon": r"\bvan khuon\b|\bformwork|\bvk\b",
-    "chong tham": r"\bchong tham\b|\bwaterproof",
-    "xay": r"\bxay\b|\bmasonry",
-    "trat": r"\btrat\b|\bplaster",
-    "son": r"\bson\b|\bpaint",
-    "gach": r"\bgach\b|\bbrick",
+    "bich": ["bich", "flange", "flanges"],
+    "bom": ["bom", "pump", "pumps"],
+    "aptomat": ["aptomat", "mcb", "mccb", "breaker"],
+    "be tong": ["be tong", "bt", "concrete", "beton"],
+    "be tong cot thep": ["be tong cot thep", "btct"],
+    "cap": ["cap", "cable", "cables"],
+    "cap dien": ["cap dien", "day dien"],
+    "chong tham": ["chong tham", "waterproofing"],
+    "co ong": ["co ong", "cut", "elbow", "elbows"],
+    "con thu": ["con thu", "reducer", "reducers"],
+    "contactor": ["contactor", "khoi dong tu"],
+    "cot thep": ["cot thep", "thep cot", "ct", "rebar", "rebars"],
+    "dao dat": ["dao dat", "excavate", "excavation"],
+    "dap dat": ["dap dat", "backfill", "backfilling"],
+    "dong ho": ["dong ho", "meter"],
+    "gach": ["gach", "brick", "bricks"],
+    "gach lat": ["gach lat", "tile", "tiles"],
+    "khop noi": ["khop noi", "coupling", "joint"],
+    "ong": ["ong", "pipe", "pipes", "tube"],
+    "son": ["son", "paint", "painted", "painting"],
+    "thep": ["thep", "steel"],
+    "thep hinh": ["thep hinh", "thep h", "thep i", "thep u"],
+    "trat": ["trat", "plaster", "plastering"],
+    "tu dien": ["tu dien", "switchboard", "panel board"],
+    "van": ["van cong", "van buom", "van bi", "valve", "valves"],
+    "van khuon": ["van khuon", "vk", "formwork"],
+    "xay": ["xay", "masonry"],
 }
 MATERIALS = {
-    "Cu/XLPE": r"\bcu[/-]?xlpe\b|\bxlpe[/-]?cu\b",
-    "XLPE": r"\bxlpe\b",
-    "Cu": r"\bcu\b|\bcopper\b|\bdong\b",
-    "Al": r"\bal\b|\bnhom\b|\balumin",
-    "HDPE": r"\bhdpe\b",
-    "PPR": r"\bppr\b",
-    "PVC": r"\bu?pvc\b",
-    "PE": r"\bpe\b",
-    "thep ma kem": r"\bthep ma kem\b|\bgalvanized",
-    "inox": r"\binox\b|\bstainless",
-    "gang": r"\bgang\b|\bcast iron\b",
-    "gach dac": r"\bgach dac\b",
-    "gach rong": r"\bgach rong\b|\bhollow",
-    "ceramic": r"\bceramic|\bgach men\b|\bsu\b",
-    "granite": r"\bgranite",
-    "go": r"\bgo\b|\bwood|\btimber",
+    "Al": ["al", "nhom", "aluminium"],
+    "Cu": ["cu", "dong", "copper"],
+    "Cu/XLPE": ["cu xlpe", "xlpe cu"],
+    "HDPE": ["hdpe"],
+    "PE": ["pe"],
+    "PPR": ["ppr"],
+    "PVC": ["pvc", "upvc"],
+    "XLPE": ["xlpe"],
+    "ceramic": ["ceramic", "gach men", "su"],
+    "gach dac": ["gach dac"],
+    "gach rong": ["gach rong", "hollow"],
+    "gang": ["gang", "cast iron"],
+    "go": ["go", "wood", "timber"],
+    "granite": ["granite"],
+    "inox": ["inox", "stainless"],
+    "thep ma kem": ["thep ma kem", "galvanized"],
 }
-# Grades and dimensions, any case, in the order they are tried.
-GRADES = [r"\bM\d{2,3}\b", r"\bB\d{1,2}(?:\.\d)?\b", r"\bCB\d{3}\b", r"\bCT\d\b", r"\bPN\d{1,2}\b", r"\bK9\d\b", r"\bC\d{1,2}/\d{1,2}\b", r"\bSDR\d{1,2}\b"]
-SECTIONS = [r"\b\d+ *[x×] *\d+(?:[.,]\d+)? *mm2?\b", r"\b\d+(?:[.,]\d+)? *mm2\b"]
-DIMENSIONS = [r"\bD\d{1,4}\b", r"\bDN\d{2,4}\b", r"Ø\d{1,3}\b", r"\b\d{1,4} *[x×] *\d{1,4}(?: *[x×] *\d{1,4})?(?: *mm)?\b", r"\b\d+(?:[.,]\d+)? *mm\d?\b", r"\b\d+(?:[.,]\d+)? *cm\b", r"\b\d+(?:[.,]\d+)? *m\b"]
+#: Letters in front of a grade and how many digits follow them, at least and at most.
+GRADES = {"B": (1, 2), "C": (1, 2), "CB": (3, 3), "CT": (1, 1), "K": (2, 2), "M": (2, 3), "PN": (1, 2), "SDR": (1, 2)}
 WEIGHTS = {"category": 25, "material": 25, "grade": 30, "dimension": 20}  # percent
 
+NUMBER, UNIT = r"[0-9]+(?:[.,][0-9]+)?", "(?:mm2|mm|cm|m)"
+#: A grade is a word; more digits may follow a point or a slash.
+GRADE = "(?i)(?:^|[^a-z0-9.,/])((?:" + "|".join(f"{p}[0-9]{{{low},{high}}}" for p, (low, high) in sorted(GRADES.items(), reverse=True)) + r")(?:[./][0-9]{1,2})?)(?:$|[^a-z0-9])"
+#: A diameter, numbers with x between them, or a number with a unit; not inside another word or number.
+SIZE = rf"(?i)(?:^|[^a-z0-9.,/])((?:dn|d|ø)[0-9]{{1,4}}|{NUMBER}(?: *[x×] *{NUMBER}){{1,2}}(?: *{UNIT})?|{NUMBER} *{UNIT})(?:$|[^a-z0-9])"
 
-def _named(folded, names: dict[str, str]) -> F.Column:
-    return F.coalesce(F.lit(None).cast("string"), *(F.when(folded.rlike(p), F.lit(name)) for name, p in names.items()))
 
+def words_of(column: str) -> Column:
+    """The folded text's runs of letters and digits between single blanks, with one at both ends."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(texts.fold(column), "[^a-z0-9]+", " ")), F.lit(" "))
 
-def _held(text: str, patterns: list[str]) -> F.Column:
-    """What the first pattern that matches finds first."""
-    found = F.array(*(F.regexp_extract(text, f"(?i){p}", 0) for p in patterns))
-    return F.try_element_at(F.filter(found, lambda x: x != ""), F.lit(1))
+
+def first_named(words: Column, names: dict[str, list[str]]) -> Column:
+    """The name whose word comes first in ``words_of`` a text; of words that begin together the longest; null without any."""
+    table = F.array(*(F.struct(F.lit(f" {w} ").alias("w"), F.lit(name).alias("name")) for name, own in names.items() for w in own))
+    places = F.transform(table, lambda x: F.struct(F.position(x["w"], words).alias("at"), (-F.length(x["w"])).alias("size"), x["name"].alias("name")))
+    return F.array_min(F.filter(places, lambda x: x["at"] > 0))["name"]
 
 
 def extract(rows: DataFrame, text: str = "description") -> DataFrame:
     """``rows`` with category, material, grade and dimension, each null where the text names none; null texts name none.
 
-    Words are looked up in the folded text. Grades are upper-cased; cable sections are lower-cased; blanks are taken out.
+    What a text names first counts, whatever the order of the tables. Grades are upper-cased, sizes lose their blanks and,
+    where they begin with a number, capitals.
     """
-    rows = rows.withColumn("_folded", F.regexp_replace(texts.fold(text), r"\s+", " "))
-    folded = F.col("_folded")
-    size = F.coalesce(F.lower(_held(text, SECTIONS)), F.translate(_held(text, DIMENSIONS), "X×", "xx"))
-    found = rows.withColumns({"category": _named(folded, CATEGORIES), "material": _named(folded, MATERIALS), "grade": F.upper(_held(text, GRADES)), "dimension": F.replace(size, F.lit(" "), F.lit(""))})
-    return found.drop("_folded")
+    found = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    size = F.translate(found(SIZE), "X× ", "xx")
+    rows = rows.withColumn("_words", words_of(text))
+    named = {"category": first_named(F.col("_words"), CATEGORIES), "material": first_named(F.col("_words"), MATERIALS)}
+    return rows.withColumns(named | {"grade": F.upper(found(GRADE)), "dimension": F.when(size.rlike("^[0-9]"), F.lower(size)).otherwise(size)}).drop("_words")
 
 
 def with_key(specs: DataFrame) -> DataFrame:
@@ -89,3 +96,25 @@ def with_key(specs: DataFrame) -> DataFrame:
     part = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit("x"))))
     done = sum((F.when(F.coalesce(F.col(c), F.lit("")) != "", w).otherwise(0) for c, w in WEIGHTS.items()), F.lit(0))
     return specs.withColumns({"matching_key": F.concat_ws("|", *map(part, WEIGHTS)), "completeness": done / 100})
+
+
+#: Stands where a rule has cut out its span: no rule matches it, so spans never overlap.
+CUT = "\ue000"
+
+
+def claim_spans(rows: DataFrame, rules: dict[str, str], text: str = "description") -> DataFrame:
+    """``rows`` with ``specs``, an array of (rule, value), and ``rest``, the text without them.
+
+    Rules claim in their order, each all its matches from left to right; what one has claimed is no longer there for the
+    next, and no match reaches over it. Null texts have no specs and a null rest. Rules must not match the empty text.
+    """
+    left, found = F.col(text), F.array().cast("array<struct<rule: string, value: string>>")
+    rows = rows.withColumns({"_left": left, "_specs": found})
+    for name, pattern in rules.items():
+        # a column of its own: every rule works on what the one before has left, computed once
+        values = F.coalesce(F.regexp_extract_all("_left", F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+        rule = F.lit(name).alias("rule")
+        claimed = F.transform(values, lambda v: F.struct(rule, v.alias("value")))  # noqa: B023
+        rows = rows.withColumns({"_specs": F.concat("_specs", claimed), "_left": F.regexp_replace("_left", pattern, CUT)})
+    rest = F.trim(F.regexp_replace("_left", f"[{CUT}\\s]+", " "))
+    return rows.withColumns({"specs": F.col("_specs"), "rest": rest}).drop("_left", "_specs")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from costweave import streaming
 from costweave.functions import text
-from costweave.operators import analytics, cascade, catalogue, codes, context, fuzzy, fuzzy_top, gate, hierarchy, matching, review, rules, sections, specs, units, updates
+from costweave.operators import abbreviations, analytics, cascade, catalogue, codes, context, fuzzy, fuzzy_top, gate, hierarchy, lifecycle, matching, review, rules, sections, specs, units, updates
 from costweave.session import shared_dir, table
 from costweave.sources import sinks, views
 
@@ -604,12 +604,13 @@ def _specified(spark, sf_dir):
 
 def _spec_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    named = lambda names: "CASE " + " ".join(f"WHEN regexp_matches(f, {quoted(p)}) THEN {quoted(n)}" for n, p in names.items()) + " END"
-    held = lambda patterns: "coalesce(" + ", ".join(f"nullif(regexp_extract(t, {quoted(p)}, 0, 'i'), '')" for p in patterns) + ")"
+    words = lambda names: "[" + ", ".join("{'w': " + quoted(f" {w} ") + ", 'n': " + quoted(n) + "}" for n, own in names.items() for w in own) + "]"
+    named = lambda names: "list_sort(list_filter(list_transform(" + words(names) + ", lambda x: {'at': strpos(f, x.w), 'size': -length(x.w), 'n': x.n}), lambda y: y.at > 0))[1].n"
+    held = lambda pattern: f"nullif(regexp_extract(t, {quoted(pattern)}, 1), '')"
     said = "[" + ", ".join(map(quoted, SPECIFIED)) + "]"
-    return f""", t AS (SELECT master_id, {said}[master_id % {len(SPECIFIED)} + 1] || ' ' || description AS t FROM catalogue), f AS (SELECT *, {_FOLD.replace("text", "t")} AS f FROM t),
-s AS (SELECT master_id, {named(specs.CATEGORIES)} AS category, {named(specs.MATERIALS)} AS material, upper({held(specs.GRADES)}) AS grade,
-  replace(coalesce(lower({held(specs.SECTIONS)}), translate({held(specs.DIMENSIONS)}, 'X×', 'xx')), ' ', '') AS dimension FROM f),
+    return f""", t AS (SELECT master_id, {said}[master_id % {len(SPECIFIED)} + 1] || ' ' || description AS t FROM catalogue), f AS (SELECT *, ' ' || trim(regexp_replace({_FOLD.replace("text", "t")}, '[^a-z0-9]+', ' ', 'g')) || ' ' AS f FROM t),
+s0 AS (SELECT master_id, {named(specs.CATEGORIES)} AS category, {named(specs.MATERIALS)} AS material, upper({held(specs.GRADE)}) AS grade, translate({held(specs.SIZE)}, 'X× ', 'xx') AS d FROM f),
+s AS (SELECT *, CASE WHEN regexp_matches(d, '^[0-9]') THEN lower(d) ELSE d END AS dimension FROM s0),
 k AS (SELECT *, lower(concat_ws('|', coalesce(category, 'x'), coalesce(material, 'x'), coalesce(grade, 'x'), coalesce(dimension, 'x'))) AS matching_key,
   (CASE WHEN category IS NULL THEN 0 ELSE 25 END + CASE WHEN material IS NULL THEN 0 ELSE 25 END + CASE WHEN grade IS NULL THEN 0 ELSE 30 END + CASE WHEN dimension IS NULL THEN 0 ELSE 20 END) / CAST(100 AS DOUBLE) AS completeness FROM s) """
 
@@ -922,3 +923,75 @@ def heading_levels(spark, sf_dir):
 def code_confidence(spark, sf_dir):
     rows = codes.reference_codes(_works(spark, sf_dir), CODE_RULES)
     return rows.select("master_id", codes.confidence(~F.contains("ref_code", F.lit(".GENR.")), F.col("location").isNotNull()).alias("confidence"))
+
+
+#: Rules of spans, in the order in which they claim.
+SPANS = {"section": "[0-9]+(?:[.,][0-9]+)? *[x×] *[0-9]+(?:[.,][0-9]+)? *mm2", "size": "[0-9]+ *[xX×] *[0-9]+", "diameter": r"\bDN?[0-9]+", "grade": r"\b(?:CB|PN|M|B)[0-9]+(?:\.[0-9])?", "length": r"\b[0-9]+(?:[.,][0-9]+)? *(?:cm|mm|m)\b"}
+
+
+def _span_sql() -> str:
+    steps, said = "", "[" + ", ".join("'" + x + "'" for x in SPECIFIED) + "]"
+    for i, (name, p) in enumerate(SPANS.items(), 1):
+        steps += f", r{i} AS (SELECT master_id, regexp_replace(t, '{p}', '{specs.CUT}', 'g') AS t, list_concat(s, list_transform(regexp_extract_all(t, '{p}'), lambda v: '{name}=' || v)) AS s FROM r{i - 1})"
+    return f", r0 AS (SELECT master_id, {said}[master_id % {len(SPECIFIED)} + 1] || ' ' || description AS t, CAST([] AS VARCHAR[]) AS s FROM catalogue)" + steps
+
+
+@query(_span_sql() + f"SELECT master_id, array_to_string(s, '; ') AS specs, trim(regexp_replace(t, '[{specs.CUT}\\s]+', ' ', 'g')) AS rest FROM r{len(SPANS)}")
+def spec_spans(spark, sf_dir):
+    said = F.array(*map(F.lit, SPECIFIED))[(F.col("master_id") % len(SPECIFIED)).cast("int")]
+    rows = views.catalogue(spark, sf_dir).select("master_id", F.concat_ws(" ", said, "description").alias("description"))
+    found = specs.claim_spans(rows, SPANS)
+    return found.select("master_id", F.array_join(F.transform("specs", lambda x: F.concat(x["rule"], F.lit("="), x["value"])), "; ").alias("specs"), "rest")
+
+
+ABBREVIATIONS = {"anv": "anvil", "sm": "small", "lg": "large", "wdg": "widget", "eco": "economy", "std": "standard", "bl r": "blue ring", "bl": "blue"}
+_SHORT = {"anvil": "ANV", "small": "Sm", "large": "lg", "widget": "wdg.", "blue": "bl", "ring": "R"}
+
+
+@query("""SELECT master_id, expanded FROM (SELECT master_id, array_to_string(list_filter([CASE split_part(description, ' ', 1) WHEN 'small' THEN 'Small' ELSE split_part(description, ' ', 1) END,
+  CASE WHEN split_part(description, ' ', 1) = 'blue' AND split_part(description, ' ', 2) = 'ring' THEN NULL ELSE CASE split_part(description, ' ', 2) WHEN 'anvil' THEN 'ANVIL' WHEN 'widget' THEN 'widget.' WHEN 'ring' THEN 'R' ELSE split_part(description, ' ', 2) END END,
+  'eco2', CASE unit WHEN 'ECONOMY' THEN 'ECONOMY,' WHEN 'STANDARD' THEN 'STANDARD,' ELSE left(unit, 3) || ',' END], lambda x: x IS NOT NULL), ' ') AS expanded, description FROM catalogue) WHERE description <> 'blue ring'
+UNION ALL SELECT master_id, 'blue ring eco2 ' || CASE unit WHEN 'ECONOMY' THEN 'ECONOMY,' WHEN 'STANDARD' THEN 'STANDARD,' ELSE left(unit, 3) || ',' END FROM catalogue WHERE description = 'blue ring'""")
+def expand_abbreviations(spark, sf_dir):
+    """Catalogue rows written short by a rule, and written out again."""
+    short = F.create_map(*(F.lit(x) for pair in _SHORT.items() for x in pair))
+    words = F.transform(F.split("description", " "), lambda w: F.coalesce(short[w], w))
+    unit = F.when(F.col("unit") == "STANDARD", "STD").otherwise(F.substring("unit", 1, 3))
+    rows = views.catalogue(spark, sf_dir).select("master_id", F.concat_ws(" ", F.array_join(words, "  "), F.lit("eco2"), F.concat(unit, F.lit(","))).alias("description"))
+    return rows.select("master_id", abbreviations.expand("description", ABBREVIATIONS).alias("expanded"))
+
+
+def _commands(spark, sf_dir):
+    """Events read as commands on the specification of their user."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    action = F.when(kind.isin("view", "error"), "set").when(kind == "signup", "verify").when(kind.isin("click", "purchase"), "promote")
+    value = F.when(kind == "view", F.get_json_object("props", "$.k")).when(kind == "click", "detailed").when(kind == "purchase", "final")
+    field = F.array(*map(F.lit, lifecycle.FIELDS))[(i % 4).cast("int")]
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("ts").alias("at"), i.alias("seq"), action.alias("action"), F.when(action == "set", field).alias("field"), value.alias("value"))
+
+
+_LIFE = """, c AS (SELECT user_id AS item, ts AS t, event_id AS seq, event_type, CASE WHEN event_type = 'view' THEN props->>'$.k' WHEN event_type = 'error' THEN '' END AS v, event_id % 4 AS f,
+  CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 END AS target FROM events),
+v AS (SELECT *, (CASE WHEN coalesce(last_value(CASE WHEN f = 0 THEN v END IGNORE NULLS) OVER w, '') <> '' THEN 25 ELSE 0 END + CASE WHEN coalesce(last_value(CASE WHEN f = 1 THEN v END IGNORE NULLS) OVER w, '') <> '' THEN 25 ELSE 0 END
+  + CASE WHEN coalesce(last_value(CASE WHEN f = 2 THEN v END IGNORE NULLS) OVER w, '') <> '' THEN 30 ELSE 0 END + CASE WHEN coalesce(last_value(CASE WHEN f = 3 THEN v END IGNORE NULLS) OVER w, '') <> '' THEN 20 ELSE 0 END) AS completeness,
+  bool_or(event_type = 'signup') OVER w AS verified FROM c WINDOW w AS (PARTITION BY item ORDER BY t, seq ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT *, coalesce(CASE WHEN target = 1 THEN completeness >= 50 WHEN target = 2 THEN completeness >= 75 AND verified END, false) AS ok FROM v),
+n AS (SELECT *, greatest(coalesce(max(CASE WHEN ok THEN target END) OVER u, 0), 0) AS old, greatest(coalesce(max(CASE WHEN ok THEN target END) OVER u2, 0), 0) AS new FROM h
+  WINDOW u AS (PARTITION BY item ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u2 AS (PARTITION BY item ORDER BY t, seq ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, CASE WHEN target <= old THEN 'not higher' WHEN target = 1 AND completeness < 50 OR target = 2 AND completeness < 75 THEN 'incomplete' WHEN target = 2 AND NOT verified THEN 'not verified' END AS reason, ['draft', 'detailed', 'final'] AS s FROM n) """
+
+
+@query(_LIFE + "SELECT item, seq, completeness, s[old + 1] AS old_status, s[new + 1] AS new_status, reason FROM g")
+def lifecycle_history(spark, sf_dir):
+    return lifecycle.history(_commands(spark, sf_dir)).select("item", "seq", "completeness", "old_status", "new_status", "reason")
+
+
+@query(_LIFE + """SELECT item, s[new + 1] AS status, completeness, (SELECT count(*) FROM g o WHERE o.item = g.item AND reason IS NULL) AS n_changes FROM g QUALIFY row_number() OVER (PARTITION BY item ORDER BY t DESC, seq DESC) = 1""")
+def lifecycle_states(spark, sf_dir):
+    return lifecycle.states(lifecycle.history(_commands(spark, sf_dir))).select("item", "status", "completeness", "n_changes")
+
+
+@query(_LIFE + "SELECT reason, count(*) AS n_refused, count(DISTINCT item) AS n_items FROM g WHERE reason IS NOT NULL GROUP BY reason")
+def lifecycle_refusals(spark, sf_dir):
+    log = lifecycle.history(_commands(spark, sf_dir))
+    return log.where(~F.col("accepted")).groupBy("reason").agg(F.count("*").alias("n_refused"), F.count_distinct("item").alias("n_items"))
