@@ -98,12 +98,15 @@ def frequency_buckets(frequencies: DataFrame) -> DataFrame:
 
 
 def price_histogram(items: DataFrame, buckets: int) -> DataFrame:
-    """Equal-width buckets from the least to the largest price, empty ones too; the last one is open above, so no price is lost."""
+    """Equal-width buckets from the least to the largest price, empty ones too; the last one is open above, so no price is lost.
+
+    If all prices are equal there is one bucket.
+    """
     prices = items.where("unit_price > 0").select("unit_price")
-    span = prices.agg(F.min("unit_price").alias("low"), F.max("unit_price").alias("high")).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    span = prices.agg(F.min("unit_price").alias("low"), F.max("unit_price").alias("high")).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.when(F.col("low") < F.col("high"), buckets - 1).otherwise(0))))
     edge = lambda i: F.col("low") + i * ((F.col("high") - F.col("low")) / buckets)
     edges = span.select("bucket", edge(F.col("bucket")).alias("bucket_from"), edge(F.col("bucket") + 1).alias("bucket_to"))
-    inside = (F.col("unit_price") >= F.col("bucket_from")) & ((F.col("unit_price") < F.col("bucket_to")) | (F.col("bucket") == buckets - 1))
+    inside = (F.col("unit_price") >= F.col("bucket_from")) & ((F.col("unit_price") < F.col("bucket_to")) | (F.col("bucket") == buckets - 1) | (F.col("bucket_from") == F.col("bucket_to")))
     counts = prices.join(F.broadcast(edges), inside).groupBy("bucket").agg(F.count("*").alias("n"))  # one row a bucket is broadcast
     return edges.join(counts, "bucket", "left").select("bucket", "bucket_from", "bucket_to", F.coalesce("n", F.lit(0)).alias("n_prices"))
 

@@ -73,7 +73,7 @@ def version_diffs(items: DataFrame, files: DataFrame) -> DataFrame:
 def next_codes(rows: DataFrame, prefix: str, value: str, existing: DataFrame | None = None, width: int = 4) -> DataFrame:
     """(prefix, value, work_code): PREFIX-0001, ... in order of the distinct numeric ``value``; ``width`` digits or more.
 
-    With ``existing`` codes (column ``work_code``) a prefix goes on after its largest number, compared as a number. Rows
+    Rows without a prefix have no code. With ``existing`` codes (column ``work_code``) a prefix goes on after its largest number, compared as a number. Rows
     are ranked in buckets, so that no prefix is sorted in one task.
     """
     ranked = analytics.placed(rows.select(prefix, value).distinct(), [prefix], value)
@@ -84,7 +84,7 @@ def next_codes(rows: DataFrame, prefix: str, value: str, existing: DataFrame | N
         ranked = ranked.join(last, F.col(prefix) == F.col("_used"), "left")
         start = F.coalesce("_last", F.lit(0))
     number = (F.col("before") + 1 + start).cast("string")
-    return ranked.select(prefix, value, F.concat_ws("-", prefix, F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)).alias("work_code"))
+    return ranked.select(prefix, value, F.concat(prefix, F.lit("-"), F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)).alias("work_code"))
 
 
 def price_ranges(items: DataFrame) -> DataFrame:

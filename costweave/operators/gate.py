@@ -85,4 +85,7 @@ def destination(rows: DataFrame) -> DataFrame:
 
 def quarantine_counts(rows: DataFrame) -> DataFrame:
     """Quarantined rows by reason; no reason counts as 'unknown'."""
-    return rows.where("destination = 'quarantine'").groupBy(F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"))
+    reason = F.coalesce("reason", F.lit("unknown")).alias("reason")
+    # the few groups are filtered by an aggregate, which can't move below it: a filter on the rows would repeat all cases
+    few = rows.groupBy("destination", reason).agg(F.count("*").alias("n"), F.max("destination").alias("to"))
+    return few.where(F.col("to") == "quarantine").select("reason", "n")

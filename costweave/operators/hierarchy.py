@@ -55,9 +55,11 @@ def vector_topk(vectors: DataFrame, k: int, in_label: bool = True) -> DataFrame:
 
     Vectors of a label, or all, are dealt into blocks; a query's block meets each block in a task of its own, gives its
     k best there, and the best of those are ranked. No label meets in one task, and no task holds more than a block.
-    Null embeddings have no neighbours.
+    Null embeddings, and those with null or non-finite components, have no neighbours and are none; vectors of different
+    lengths never meet.
     """
-    vectors = vectors.where("embedding is not null").withColumn("part", F.col("label") if in_label else F.lit(0))
+    vectors = vectors.where("embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf'))")
+    vectors = vectors.withColumn("part", F.struct((F.col("label") if in_label else F.lit(0)).alias("label"), F.size("embedding").alias("size")))
     sizes = vectors.groupBy(F.col("part").alias("sized")).agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))
     rows = vectors.join(sizes, F.col("part").eqNullSafe(F.col("sized"))).drop("sized").withColumn("own", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

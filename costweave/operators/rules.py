@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from costweave.operators import vector_index
+from costweave.session import stage
+
 BOUNDARY_BONUS, MOST = 20, 95  # fixed values: points for a whole word, the highest score
 MOST_CLASSES = 10_000
 
@@ -31,13 +34,17 @@ def by_terms(rows: DataFrame, terms: dict[str, list[str]], k: int, text: str = "
 def by_class_mean(vectors: DataFrame, k: int) -> DataFrame:
     """(vec_id, code, similarity, place): the k classes whose mean embedding is nearest by cosine, ties by label.
 
-    The means are a model: one row a class, MOST_CLASSES at most (more raises), gathered by Spark over all labelled rows.
+    Null components count in no mean; embeddings that are null, empty, or hold null or non-finite components get no class.
+    The means of up to MOST_CLASSES classes are broadcast; more of them are searched through a vector index, exactly.
     """
+    vectors = vectors.where("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf'))")
     parts = vectors.where("label is not null").select("label", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m"))
     model = means.select("label", "m.x").orderBy("label").limit(MOST_CLASSES + 1).collect()
     if len(model) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} classes")
+        index = vector_index.build(vector_index.usable(means.select("label", "m.x"), "label", "x"))
+        near = vector_index.search(index, vector_index.usable(vectors, "vec_id", "embedding"), k, -1.0)
+        return near.select(F.col("query").cast("long").alias("vec_id"), F.col("id").cast("long").alias("code"), "similarity", "place")
     labels, centres = np.array([r.label for r in model], np.int64), np.array([r.x for r in model], np.float64)
     if len(model):
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
@@ -52,3 +59,27 @@ def by_class_mean(vectors: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame({"vec_id": np.repeat(f["vec_id"].to_numpy(), best.shape[1]), "code": labels[best].ravel(), "similarity": np.take_along_axis(scores, best, 1).ravel(), "place": np.tile(np.arange(1, best.shape[1] + 1), len(f))})
 
     return vectors.where("embedding is not null").select("vec_id", "embedding").mapInPandas(nearest, "vec_id long, code long, similarity double, place int")
+
+
+def containing(texts: DataFrame, keywords: DataFrame, q: int = 3) -> DataFrame:
+    """(id, keyword) where a text of ``texts`` (id, text) contains a keyword of ``keywords`` (keyword), whatever their case.
+
+    Rules as a table: every keyword is anchored on the one of its q-grams that the fewest texts have, texts meet keywords
+    on grams that they share, and what meets is verified. One equi join however many keywords there are; a keyword
+    shorter than q is its own gram. Null ids, null and empty texts and keywords take no part; rows that share an id are one.
+    """
+    texts = texts.select("id", F.lower("text").alias("text")).where("id is not null and text <> ''")
+    keys = stage(keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct(), "keywords")
+    # by way of the array of characters: cutting at a place of a long text has to walk there
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + j) for j in range(n))))
+    # the few lengths of grams that there are: q, and those of shorter keywords
+    sizes = sorted(r[0] for r in keys.select(F.least(F.length("keyword"), F.lit(q))).distinct().collect())
+    none = F.array().cast("array<string>")
+    own = keys.withColumn("c", letters("keyword")).select("keyword", F.explode(F.when(F.size("c") >= q, pieces(F.col("c"), q)).otherwise(F.array("keyword"))).alias("gram")).distinct()
+    every = [F.when(F.size("c") >= n, pieces(F.col("c"), n)).otherwise(none) for n in sizes]
+    grams = texts.withColumn("c", letters("text")).select("id", F.explode(F.array_distinct(F.concat(*every) if every else none)).alias("gram"))
+    grams = stage(grams.join(own.select("gram").distinct(), "gram", "left_semi"), "grams")
+    rare = own.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    anchors = rare.groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return grams.join(anchors, "gram").select("id", "keyword").join(texts, "id").where(F.contains("text", F.col("keyword"))).select("id", "keyword").distinct()

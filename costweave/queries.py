@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from costweave import streaming
 from costweave.functions import text
-from costweave.operators import abbreviations, analytics, cascade, catalogue, codes, context, fuzzy, fuzzy_top, gate, hierarchy, lifecycle, matching, review, rules, sections, specs, units, updates
+from costweave.operators import abbreviations, analytics, build, cascade, catalogue, codes, context, fuzzy, fuzzy_top, gate, hierarchy, lifecycle, masters, matching, profiles, review, rules, sections, specs, units, updates, vector_index
 from costweave.session import shared_dir, table
 from costweave.sources import sinks, views
 
@@ -995,3 +995,103 @@ def lifecycle_states(spark, sf_dir):
 def lifecycle_refusals(spark, sf_dir):
     log = lifecycle.history(_commands(spark, sf_dir))
     return log.where(~F.col("accepted")).groupBy("reason").agg(F.count("*").alias("n_refused"), F.count_distinct("item").alias("n_items"))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters(c):
+    """How often a text holds each letter."""
+    return F.array(*(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in _LETTERS))
+
+
+def _edit_ratio(a, b):
+    return F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)), 9)
+
+
+@query(_CASCADE + f""", b AS (SELECT k, id, list_transform(string_split('{_LETTERS}', ''), lambda x: CAST(length(k) - length(replace(k, x, '')) AS DOUBLE)) AS v FROM e),
+a AS (SELECT DISTINCT description, lower(trim(description)) AS k FROM m WHERE stage = 'new'), av AS (SELECT *, list_transform(string_split('{_LETTERS}', ''), lambda x: CAST(length(k) - length(replace(k, x, '')) AS DOUBLE)) AS v FROM a),
+near AS (SELECT av.description, av.k AS q, b.k, b.id FROM av, b WHERE round(list_cosine_similarity(av.v, b.v), 9) >= 0.75 QUALIFY row_number() OVER (PARTITION BY av.description ORDER BY round(list_cosine_similarity(av.v, b.v), 9) DESC, b.id) <= 20),
+r AS (SELECT description, id, round(1 - levenshtein(q, k) / greatest(length(q), length(k)), 9) AS score FROM near),
+best AS (SELECT * FROM r WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY description ORDER BY score DESC, id) = 1)
+SELECT file_id, line_number, CASE WHEN stage = 'new' AND best.id IS NOT NULL THEN 'vector' ELSE stage END AS stage, CASE WHEN stage = 'new' THEN best.id ELSE matched_id END AS matched_id, CASE WHEN stage = 'new' THEN score END AS score
+FROM m LEFT JOIN best ON m.description = best.description""")
+def cascade_four_tiers(spark, sf_dir):
+    known = views.catalogue(spark, sf_dir)
+    synonyms = known.select("master_id", F.concat("description", F.lit(" type")).alias("synonym"))
+    found = cascade.with_vectors(_altered(spark, sf_dir), known, synonyms, _letters, _edit_ratio)
+    return found.select("file_id", "line_number", "stage", "matched_id", "score")
+
+
+@query("""SELECT a.vec_id AS query, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) <= 10""")
+def vector_index_topk(spark, sf_dir):
+    """Every row whose id is divisible by 20 against all rows: each vector is shuffled once, into its list."""
+    rows = vector_index.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return vector_index.search(vector_index.build(rows), rows.where("id % 20 = 0"), 10, -1.0).select("query", "id")
+
+
+def sequential_masters(spark, sf_dir):
+    """Masters that line items, in order of file and line, make and join; no SQL has such a loop, tests compare with a plain one."""
+    lines = views.line_items(spark, sf_dir).withColumn("description", _as_altered())
+    order = F.col("file_id") * 10_000_000 + F.col("line_number") * 1_000_000 + F.col("master_id") % 1_000_000
+    first = lines.withColumn("line", order).groupBy("sec_code", "unit", "description", "line").agg(F.count("*").alias("n_rows"))
+    found = masters.sequential(first, "sec_code", "line")
+    return found.groupBy("master").agg(F.count("*").alias("n_lines"), F.count_if(F.col("kind") == "fuzzy").alias("n_fuzzy"), F.min("score").alias("least_score"))
+
+
+QUERIES["sequential_masters"] = sequential_masters
+
+
+def _built(spark, sf_dir):
+    text = F.lower(F.concat_ws(" ", "unit", "sec_code", "description"))
+    rows = views.catalogue(spark, sf_dir).select("master_id", text.alias("description"), F.lower("unit").alias("category"))
+    return build.run(rows, GATE, f"{shared_dir(spark)}/tables/build-{uuid.uuid4().hex}")
+
+
+_DESTINED = _GATE + """, d AS (SELECT *, CASE status WHEN 'APPROVED' THEN 'master' WHEN 'PENDING_REVIEW' THEN 'pending' WHEN 'SKIPPED' THEN 'skipped' ELSE CASE WHEN reason LIKE 'forbidden%' OR reason = 'too short' THEN 'quarantine' ELSE 'red work item' END END AS destination FROM q) """
+
+
+@query(_DESTINED + "SELECT master_id, destination, score FROM d")
+def master_build(spark, sf_dir):
+    return _built(spark, sf_dir)[0].select("master_id", "destination", "score")
+
+
+@query(_DESTINED + """SELECT x AS step, count(d.master_id) AS n_rows FROM (SELECT unnest(['master', 'pending', 'quarantine', 'red work item', 'skipped']) AS x) LEFT JOIN d ON destination = x GROUP BY x
+UNION ALL SELECT 'rows', count(*) FROM d UNION ALL SELECT 'graded', count(default_grade) FROM d""")
+def build_step_stats(spark, sf_dir):
+    return build.steps(spark, _built(spark, sf_dir)[1])
+
+
+@query("""SELECT doc_id AS id, w.keyword FROM documents JOIN (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS keyword FROM part UNION SELECT DISTINCT lower(p_name) FROM part UNION SELECT DISTINCT left(lower(p_name), 2) FROM part) w ON contains(lower(text), w.keyword)""")
+def contains_rules(spark, sf_dir):
+    """Which documents contain which words, names and first letters of the catalogue, as a join with a table of keywords."""
+    name = F.lower("description")
+    words = views.catalogue(spark, sf_dir).select(F.explode(F.concat(F.split(name, " "), F.array(name, F.left(name, F.lit(2))))).alias("keyword"))
+    return rules.containing(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), words)
+
+
+PROFILED = {"customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "events": "event_id ts user_id event_type value props"}
+
+
+def _profiles(spark, sf_dir):
+    each = [profiles.kinds(table(spark, sf_dir, t).select(*c.split())).withColumn("table_name", F.lit(t)) for t, c in PROFILED.items()]
+    return each[0].union(each[1]).union(each[2]).union(each[3])
+
+
+def _profile_sql() -> str:
+    kind = "CASE " + " ".join(f"WHEN regexp_matches(v, '{p}') THEN '{k}'" for k, p in profiles.KINDS.items()) + " WHEN v IS NOT NULL THEN 'text' END"
+    values = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {i} AS position, '{c}' AS name, CAST({c} AS VARCHAR) AS v FROM {t}" for t, own in PROFILED.items() for i, c in enumerate(own.split()))
+    order = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(profiles.NAMES)) + " END"
+    return f""", k AS (SELECT table_name, position, name, {kind} AS kind, count(*) AS n FROM ({values}) GROUP BY ALL),
+c AS (SELECT table_name, position, name, kind, n AS n_kind, CAST(sum(n) OVER (PARTITION BY table_name, position) AS BIGINT) AS n_values FROM k WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY table_name, position ORDER BY n DESC, {order}) = 1) """
+
+
+@query(_profile_sql() + "SELECT * FROM c")
+def column_types(spark, sf_dir):
+    return _profiles(spark, sf_dir)
+
+
+@query(_profile_sql() + "SELECT table_name, sha256(string_agg(name || ':' || kind, ',' ORDER BY position)) AS fingerprint, CAST(count(*) AS INTEGER) AS n_columns FROM c GROUP BY table_name")
+def table_fingerprints(spark, sf_dir):
+    return profiles.fingerprint(_profiles(spark, sf_dir))
