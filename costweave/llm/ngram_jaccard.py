@@ -12,7 +12,8 @@ its neighbour by size and with the hub of its size), then rounds of one random p
 they merge; only pairs that are still in different components are tried after that, so a group of near copies never
 becomes all its pairs.
 
-Rows with null or wordless text have an empty set and stand alone. Repeated rows give repeated result rows. A null
+Rows with null or wordless text have an empty set and stand alone. Repeated rows give repeated result rows; of rows
+with one doc_id and several texts each text is linked by itself, and component ids are the smallest doc_ids all the same. A null
 doc_id gets the component of its class's smallest id, or null. Very long texts are hashed in blocks. Other columns are
 not looked at, whatever their names. Empty tables give empty results.
 """
@@ -162,8 +163,27 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: int, scratch: Scratch,
 
 def similar_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    digest = [F.xxhash64(F.coalesce("text", F.lit("")), F.lit(seed)) for seed in (1, 2)]
+    apart = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest[0]).alias("low"), F.max(digest[0]).alias("high")).where("low <> high")
+    apart = stage(apart.select("doc_id"), "repeated")
+    if apart.isEmpty():
+        return _classes(docs, threshold)
+    # every text of an id that has several becomes a node of its own, with a number far below all ids
+    keyed = docs.select("*", *(d.alias(f"d{i}") for i, d in enumerate(digest)))
+    nodes = keyed.join(_bounded(apart), "doc_id").select("doc_id", "d0", "d1").distinct()
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id() - F.lit(2**63 - 1)), "nodes")
+    asked = keyed.join(_bounded(nodes), ["doc_id", "d0", "d1"], "left").select(F.coalesce("node", "doc_id").alias("doc_id"), "text")
+    found = _classes(asked, threshold)
+    real = nodes.select("node", F.col("doc_id").alias("of"))
+    found = found.join(_bounded(real), F.col("doc_id") == F.col("node"), "left").select(F.coalesce("of", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("c"))
+    least = found.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "c", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame, threshold: int) -> DataFrame:
+    """``similar_classes`` of rows whose ids have one text each."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
     base = _base(docs, threshold, scratch)
     slim = base.drop("prefix", "sketch")
     same = ["n", "p", "s1", "s2"]
@@ -250,7 +270,11 @@ def similar_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` but those linked to a smaller doc_id; rows with null doc_id stay, repeated rows too."""
-    gone = _bounded(stage(similar_classes(docs, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone"))
+    """The rows of ``docs`` but those linked to a smaller doc_id; rows with null doc_id stay, repeated rows too.
+
+    Rows that share a doc_id and not their text stay together if one of them does.
+    """
+    ids = similar_classes(docs, threshold).where("doc_id is not null").groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = _bounded(stage(ids.where("not stays").select("gone_id"), "gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     return rows.join(gone, F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
