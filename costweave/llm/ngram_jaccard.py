@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costweave.llm.words import batch_shingles, mix
+from costweave.llm.words import batch_shingles, blocks, mix
 from costweave.operators.graph import components
 from costweave.session import Scratch, stage
 
@@ -51,7 +51,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of all documents (at most ORDERED) with their rank by count."""
 
     def count(batches):
-        for batch in batches:
+        for batch in blocks(batches):
             hashes, at = batch_shingles(batch.column("text"))
             parts = [np.unique(hashes[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
             value, n = np.unique(np.concatenate(parts) if parts else hashes, return_counts=True)
@@ -76,7 +76,7 @@ def _base(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
 
     def build(batches):
         value, rank = frequent.value
-        for batch in batches:
+        for batch in blocks(batches):
             hashes, at = batch_shingles(batch.column("text"))
             n, s1, s2, p, prefix, sketch = [], [], [], [], [], []
             for i, j in zip(at[:-1], at[1:], strict=True):
@@ -142,7 +142,7 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: int, scratch: Scratch,
 
     def compare(batches):
         key, own = None, None
-        for batch in batches:
+        for batch in blocks(batches):
             hashes, at = batch_shingles(batch.column("text"))
             a, b, salt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "salt"))
             keep = []

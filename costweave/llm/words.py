@@ -52,6 +52,16 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw, at - at[0]
 
 
+def blocks(batches, column: str = "text", size: int = 2 * BLOCK):
+    """The batches cut so that each holds about ``size`` bytes of text; a longer text is whole. Hashing takes several times a text's bytes."""
+    for batch in batches:
+        block = np.cumsum(np.diff(text_buffers(batch.column(column))[1])) // size
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+        for at, end in zip(edges[:-1], edges[1:], strict=True):
+            if end > at:
+                yield batch.slice(at, end - at)
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of every word; a text's end also ends its word."""
     solid = ~separators[raw]
