@@ -89,3 +89,25 @@ def common_characters(a: list[str], b: list[str], classes: int = 64) -> np.ndarr
         return np.bincount(np.repeat(np.arange(len(texts)), lengths) * classes + codes, minlength=len(texts) * classes).reshape(-1, classes)
 
     return np.minimum(bags(a), bags(b)).sum(axis=1)
+
+
+def common_subsequences(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair, many pairs at once."""
+    na, nb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    out = np.zeros(len(a), np.int64)
+    some = np.flatnonzero((na > 0) & (nb > 0))
+    order = some[np.argsort(na[some], kind="stable")]
+    start = 0
+    while start < len(order):
+        own = order[start : start + 16384]
+        while len(own) > 1 and len(own) * int(nb[own].max()) > CELLS:
+            own = own[: len(own) // 2]
+        x, y = _codes([a[i] for i in own], int(na[own].max())), _codes([b[i] for i in own], int(nb[own].max()))
+        row = np.zeros((len(own), y.shape[1] + 1), np.int32)
+        for i in range(x.shape[1]):
+            here = (y == x[:, i : i + 1]) & (x[:, i : i + 1] >= 0)
+            row[:, 1:] = np.maximum(row[:, 1:], np.where(here, row[:, :-1] + 1, 0))
+            np.maximum.accumulate(row, axis=1, out=row)
+        out[own] = row[:, -1]
+        start += len(own)
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from costweave import streaming
 from costweave.functions import text
-from costweave.operators import abbreviations, analytics, build, cascade, catalogue, codes, context, fuzzy, fuzzy_top, gate, hierarchy, lifecycle, masters, matching, profiles, review, rules, sections, specs, units, updates, vector_index
+from costweave.operators import abbreviations, analytics, build, cascade, catalogue, codes, context, fuzzy, fuzzy_keywords as nearly, fuzzy_top, gate, hierarchy, lifecycle, masters, matching, profiles, review, rules, sections, specs, units, updates, vector_index
 from costweave.session import shared_dir, table
 from costweave.sources import sinks, views
 
@@ -1095,3 +1095,17 @@ def column_types(spark, sf_dir):
 @query(_profile_sql() + "SELECT table_name, sha256(string_agg(name || ':' || kind, ',' ORDER BY position)) AS fingerprint, CAST(count(*) AS INTEGER) AS n_columns FROM c GROUP BY table_name")
 def table_fingerprints(spark, sf_dir):
     return profiles.fingerprint(_profiles(spark, sf_dir))
+
+
+def fuzzy_keywords(spark, sf_dir):
+    """Words and names of the catalogue that runs of words of documents come near; no SQL, since it lacks the ratio: tests compare with all runs."""
+    name = F.col("description")
+    words = views.catalogue(spark, sf_dir).select(F.explode(F.concat(F.split(name, " "), F.array(name))).alias("keyword"))
+    return nearly.find(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), words)
+
+
+def fuzzy_keyword_best(spark, sf_dir):
+    return nearly.best(fuzzy_keywords(spark, sf_dir))
+
+
+QUERIES |= {f.__name__: f for f in (fuzzy_keywords, fuzzy_keyword_best)}
