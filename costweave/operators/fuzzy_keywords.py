@@ -68,7 +68,7 @@ def _subsequences(length: int, partners: tuple[int, ...], keyword: bool, thresho
 
 
 def _signatures(texts: list[str], partners: dict[int, tuple[int, ...]], keyword: bool, threshold: int, bitmap: np.ndarray | None = None):
-    """Frames of (place of the text, signature): hashes of the texts' subsequences; equal ones are the same hash."""
+    """Pairs of arrays (place of the text, signature): hashes of the texts' subsequences; equal ones are the same hash."""
     shapes: dict[tuple[int, int], list[int]] = {}
     for i, x in enumerate(texts):
         shapes.setdefault((x.count(" ") + 1, len(x)), []).append(i)
@@ -88,7 +88,7 @@ def _signatures(texts: list[str], partners: dict[int, tuple[int, ...]], keyword:
                     at = (h >> np.uint64(64 - BITS)).astype(np.int64)
                     kept = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                     rows, h = rows[kept], h[kept]
-                yield pd.DataFrame({"row": rows, "sig": h.view(np.int64)}).drop_duplicates()
+                yield rows, h.view(np.int64)
 
 
 def normal(column: str) -> F.Column:
@@ -125,8 +125,8 @@ def find(texts: DataFrame, keywords: DataFrame, threshold: int = THRESHOLD) -> D
     def of_keywords(frames):
         for f in frames:
             names = f["keyword"].to_numpy()
-            for s in _signatures(f["keyword"].tolist(), asked, True, threshold):
-                yield pd.DataFrame({"keyword": names[s["row"]], "sig": s["sig"].to_numpy()})
+            for rows, sig in _signatures(f["keyword"].tolist(), asked, True, threshold):
+                yield pd.DataFrame({"keyword": names[rows], "sig": sig})
 
     own = stage(keys.mapInPandas(of_keywords, "keyword string, sig long").distinct(), "neighbourhoods")
     bitmap = np.zeros(1 << BITS, bool)
@@ -137,9 +137,10 @@ def find(texts: DataFrame, keywords: DataFrame, threshold: int = THRESHOLD) -> D
     def of_runs(frames):
         for f in frames:
             names = f["run"].to_numpy()
-            for s in _signatures(f["run"].tolist(), offered, False, threshold, bitmap):
-                if len(s):
-                    yield pd.DataFrame({"run": names[s["row"]], "sig": s["sig"].to_numpy()})
+            kept = [x for x in _signatures(f["run"].tolist(), offered, False, threshold, bitmap) if len(x[0])]
+            if kept:
+                rows, sig = (np.concatenate(x) for x in zip(*kept, strict=True))
+                yield pd.DataFrame({"run": names[rows], "sig": sig})
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from costweave.session import stage
+
 #: Kinds of values, in the order in which a value is tried and in which ties are decided; anything else is text.
 KINDS = {"integer": r"^[+-]?[0-9]+$", "number": r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$", "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}", "empty": r"^\s*$"}
 NAMES = (*KINDS, "text")
+#: What shared names, the number of columns, their order and their kinds weigh, and the least similarity.
+WORDS, COUNT, ORDER, SIGNATURE, LEAST = 0.5, 0.25, 0.15, 0.1, 75.0
 
 
 def kinds(table: DataFrame) -> DataFrame:
@@ -37,3 +41,68 @@ def fingerprint(columns: DataFrame) -> DataFrame:
     line = F.concat_ws(":", F.lower("name"), F.coalesce("kind", F.lit("none")))
     parts = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
     return columns.groupBy("table_name").agg(parts.alias("p")).select("table_name", F.sha2(F.array_join("p.line", ","), 256).alias("fingerprint"), F.size("p").alias("n_columns"))
+
+
+def _formed(rows: DataFrame) -> DataFrame:
+    """(id, profile, names, kinds, words) with names trimmed and in lower case, null names and kinds as empty texts."""
+    text = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.trim(F.coalesce(x, F.lit("")))))
+    rows = rows.where("id is not null").select("id", text("names").alias("names"), text("kinds").alias("kinds"))
+    return rows.select("id", F.sha2(F.to_json(F.struct("names", "kinds")), 256).alias("profile"), "names", "kinds", F.array_distinct("names").alias("words"))
+
+
+def _similarity(a: str, b: str) -> F.Column:
+    """Weighted similarity in percent of two profiles; kinds that one side lacks count half."""
+    size = lambda x, c: F.size(F.col(f"{x}.{c}"))
+    shared = F.size(F.array_intersect(f"{a}.words", f"{b}.words"))
+    words = shared / (size(a, "words") + size(b, "words") - shared) * 100
+    counts = 100 - F.abs(size(a, "names") - size(b, "names")) / F.greatest(size(a, "names"), size(b, "names"), F.lit(1)) * 100
+    order = F.when(F.col(f"{a}.names") == F.col(f"{b}.names"), 100.0).otherwise(0.0)
+    held = F.least(size(a, "kinds"), size(b, "kinds"))
+    agree = F.size(F.filter(F.zip_with(F.slice(f"{a}.kinds", F.lit(1), held), F.slice(f"{b}.kinds", F.lit(1), held), lambda x, y: x == y), lambda e: e))
+    kinds_ = F.when(held > 0, agree / held * 100).when((size(a, "kinds") == 0) | (size(b, "kinds") == 0), 50.0)
+    return F.round(words * WORDS + counts * COUNT + order * ORDER + kinds_ * SIGNATURE, 6)
+
+
+def match(tables: DataFrame, templates: DataFrame, least: float = LEAST, k: int = 6) -> DataFrame:
+    """(id, template_id, similarity, match, place): the k templates most like each table, from ``least`` on (above 50).
+
+    Both are (id, names, kinds), arrays in the order of the columns. A table with the profile of a template matches it
+    exactly, the smallest id of them alone; others rank by similarity, ties by id. Only different profiles are compared:
+    those with equal names in equal order by an equi join, and since without that order all but the names weighs 35
+    together, other pairs that reach ``least`` share (least - 35) / 50 of their names at least. So for two sizes they
+    differ in few names: dealt by hash into one part more, one part is the same in both, and there they meet. Tables
+    without columns match such templates only; null ids take no part.
+    """
+    if not 100 * (1 - WORDS) < least <= 100:
+        raise ValueError("least must be above 50, at most 100")
+    share = (least - 100 * (COUNT + SIGNATURE)) / (100 * WORDS)
+    tables, templates = stage(_formed(tables), "tables"), _formed(templates)
+    # no more than k ids of a profile can be among the k best
+    nth = F.row_number().over(Window.partitionBy("profile").orderBy("id"))
+    templates = stage(templates.withColumn("nth", nth).where(F.col("nth") <= k), "templates")
+    single = templates.where("nth = 1").drop("nth")
+    own = ["profile", "names", "kinds", "words"]
+    loose = tables.select(*own).dropDuplicates(["profile"]).join(single.select("profile"), "profile", "left_anti")
+
+    def parted(rows: DataFrame, name: str) -> DataFrame:
+        """For every size that a partner's names can have, the names in one part more than such a pair can differ in."""
+        sized = rows.select(F.col("profile").alias(name), F.array_sort("words").alias("words"), F.size("words").alias("s"))
+        low, high = F.ceil(F.col("s") * share - 1e-9).cast("int"), F.floor(F.col("s") / share + 1e-9).cast("int")
+        other = sized.where((F.col("s") > 0) & (low <= high)).withColumn("t", F.explode(F.sequence(low, high)))
+        both = F.col("s") + F.col("t")
+        differ = (both - 2 * F.ceil(both * (share / (1 + share)) - 1e-9)).cast("int")
+        parts = other.withColumn("differ", differ).where("differ >= 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("differ"))))
+        held = F.filter("words", lambda w: F.pmod(F.xxhash64(w), F.col("differ") + 1) == F.col("part"))
+        return parts.select(name, F.xxhash64(F.least("s", "t"), F.greatest("s", "t"), "part", held).alias("key"))
+
+    pairs = parted(loose, "a").join(parted(single, "b"), "key")
+    ordered = lambda rows, name: rows.where("size(names) > 0").select(F.col("profile").alias(name), F.sha2(F.to_json("names"), 256).alias("line"))
+    pairs = pairs.select("a", "b").union(ordered(loose, "a").join(ordered(single, "b"), "line").select("a", "b"))
+    met = pairs.distinct().join(loose.select(F.col("profile").alias("a"), F.struct(*own).alias("x")), "a").join(single.select(F.col("profile").alias("b"), F.struct(*own).alias("y")), "b")
+    near = met.select("a", "b", _similarity("x", "y").alias("similarity")).where(F.col("similarity") >= least)
+    ids = templates.select(F.col("profile").alias("b"), F.col("id").alias("template_id"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "template_id"))
+    ranked = near.join(ids, "b").withColumn("place", place).where(F.col("place") <= k)
+    fuzzy = ranked.select(F.col("a").alias("profile"), "template_id", "similarity", F.lit("fuzzy").alias("match"), "place")
+    exact = single.select("profile", F.col("id").alias("template_id"), F.lit(100.0).alias("similarity"), F.lit("exact").alias("match"), F.lit(1).alias("place"))
+    return tables.select("id", "profile").join(fuzzy.union(exact), "profile").drop("profile")

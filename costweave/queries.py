@@ -1109,3 +1109,22 @@ def fuzzy_keyword_best(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (fuzzy_keywords, fuzzy_keyword_best)}
+
+
+@query(""", s AS (SELECT file_id, list(lower(trim(description)) ORDER BY line_number, description, unit) AS names, list(lower(trim(unit)) ORDER BY line_number, description, unit) AS kinds FROM line_items GROUP BY 1),
+p AS (SELECT names, kinds, list_distinct(names) AS words, row_number() OVER () AS p FROM (SELECT DISTINCT names, kinds FROM s)),
+f AS (SELECT file_id, p FROM s JOIN p USING (names, kinds)), t AS (SELECT file_id AS template_id, p AS q FROM f JOIN files USING (file_id) WHERE status = 'F'),
+e AS (SELECT q, min(template_id) AS template_id FROM t GROUP BY 1), w AS (SELECT p, unnest(words) AS word FROM p),
+m AS (SELECT w.p, v.p AS q, count(*) AS shared FROM w JOIN w v USING (word) WHERE w.p NOT IN (SELECT q FROM e) AND v.p IN (SELECT q FROM e) GROUP BY ALL),
+c AS (SELECT m.p, m.q, round(shared / (len(x.words) + len(y.words) - shared) * 100 * 0.5::DOUBLE + (100 - abs(len(x.names) - len(y.names)) / greatest(len(x.names), len(y.names)) * 100) * 0.25::DOUBLE
+  + CASE WHEN x.names = y.names THEN 100 ELSE 0 END * 0.15::DOUBLE
+  + len(list_filter(range(1, least(len(x.kinds), len(y.kinds)) + 1), lambda i: x.kinds[i] = y.kinds[i])) / least(len(x.kinds), len(y.kinds)) * 100 * 0.1::DOUBLE, 6) AS similarity
+  FROM m JOIN p x ON x.p = m.p JOIN p y ON y.p = m.q WHERE 2 * shared >= len(x.words) + len(y.words) - shared),
+r AS (SELECT p, template_id, similarity, row_number() OVER (PARTITION BY p ORDER BY similarity DESC, template_id) AS place FROM c JOIN t USING (q) WHERE similarity >= 75 QUALIFY place <= 6)
+SELECT file_id AS id, template_id, similarity, 'fuzzy' AS match, CAST(place AS INTEGER) AS place FROM f JOIN r USING (p)
+UNION ALL SELECT file_id, template_id, 100.0::DOUBLE, 'exact', 1 FROM f JOIN e ON p = q""")
+def template_match(spark, sf_dir):
+    """Every file as a table whose columns are its lines, named by their description, of the kind of their unit; files of status F are the templates."""
+    lines = F.array_sort(F.collect_list(F.struct("line_number", "description", "unit")))
+    sheets = views.line_items(spark, sf_dir).groupBy("file_id").agg(lines.alias("l")).select(F.col("file_id").alias("id"), F.col("l.description").alias("names"), F.col("l.unit").alias("kinds"))
+    return profiles.match(sheets, sheets.join(views.files(spark, sf_dir).where("status = 'F'"), F.col("id") == F.col("file_id"), "left_semi"))
