@@ -9,8 +9,9 @@ their sizes require. So a bucket (a shingle and a run of sizes that the size fil
 its sets has the shingle that early, and a pair is only made where the shingle is early enough in both: a passage that
 many documents share makes no pairs of those it can't link. A bucket of m classes gives 2 m candidates first (each with
 its neighbour by size and with the hub of its size), then rounds of one random partner of another component each, as long as
-they merge; only pairs that are still in different components are tried after that, so a group of near copies never
-becomes all its pairs.
+they merge. What is left of a bucket is compared by sizes, places and sketches in blocks of its chunks, and only pairs in
+different components that these leave in reach become rows and are verified, so a group of near copies never becomes
+all its pairs.
 
 Rows with null or wordless text have an empty set and stand alone. Repeated rows give repeated result rows; of rows
 with one doc_id and several texts each text is linked by itself, and component ids are the smallest doc_ids all the same. A null
@@ -41,8 +42,10 @@ SALT = 512
 #: sets differ in shingles, and a pair whose sketches differ too much can't reach the threshold.
 SKETCH = 2048
 #: Rounds of random partners go on while buckets hold over FEW pairs a row and a round merges over one in GAIN of the
-#: components that meet in buckets; whatever they leave apart is then tried pair by pair. This changes the work only.
+#: components that meet in buckets; whatever they leave apart then meets in blocks. This changes the work only.
 FEW, GAIN = 4, 20
+#: Classes of a bucket that are one side of a block, and pairs whose sketches are compared at once.
+CHUNK, SLICE = 1024, 4096
 #: Up to so many requests of 24 bytes are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -161,6 +164,71 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: int, scratch: Scratch,
     return found
 
 
+def _within(base: DataFrame, wide: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """The distinct pairs (a, b) of a bucket's classes in different components that sizes, places and sketches leave in reach.
+
+    A bucket of ``wide`` (tok, gid, rep, n, pos, c) is dealt into chunks of about CHUNK classes by hash, and every two of
+    its chunks meet in a block. A class travels once a chunk, not once a partner, and only pairs that its block leaves
+    become rows.
+    """
+    chunks = wide.groupBy("tok").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    nodes = scratch.stage(wide.select(F.col("rep").alias("doc_id")).distinct(), "nodes")
+    sketches = base.select("doc_id", "sketch").join(_bounded(nodes), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    own = F.pmod(F.xxhash64("rep", "tok"), "chunks").cast("int")
+    dealt = wide.join(chunks, "tok").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sent = dealt.select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "gid", "rep", "n", "pos", "c").join(sketches, "rep")
+    block = ["tok", "i", "j"]
+
+    def meet(batches):
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            new = _starts(held, block)
+            if new[-1]:
+                yield _meet(held.slice(0, new[-1]), block, threshold)
+                held = held.slice(new[-1])
+        if held is not None:
+            yield _meet(held, block, threshold)
+
+    sorted_blocks = sent.select(*block, "own", "gid", "rep", "n", "pos", "c", "sketch").repartition(*block).sortWithinPartitions(*block)
+    found = scratch.stage(sorted_blocks.mapInArrow(meet, "a long, b long").distinct(), "within")
+    scratch.drop("nodes")
+    return found
+
+
+def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the blocks of sorted rows begin."""
+    key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in keys])
+    return np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1])
+
+
+def _meet(rows: pa.Table, keys: list[str], threshold: int) -> pa.RecordBatch:
+    """Pairs of whole blocks: every row with the one s places behind it, for each s that a block still has."""
+    at = _starts(rows, keys)
+    i, j, own, gid, rep, n, pos, c = (rows.column(x).to_numpy() for x in ("i", "j", "own", "gid", "rep", "n", "pos", "c"))
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+    behind = np.repeat(np.append(at[1:], len(rep)), np.diff(np.append(at, len(rep)))) - np.arange(len(rep)) - 1
+    x, s, pairs = np.arange(len(rep)), 0, []
+    while True:
+        s += 1
+        x = x[behind[x] >= s]
+        if not len(x):
+            break
+        # of two chunks only classes of different ones meet; pairs of one group come from its own bucket alone
+        a = x[((i[x] == j[x]) | (own[x] != own[x + s])) & (c[x] != c[x + s]) & ((gid[x] == gid[x + s]) == (pos[x] < 0))]
+        b = a + s
+        a, b = (y[100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])] for y in (a, b))
+        both = n[a] + n[b]
+        early = (100 + threshold) * np.minimum(n[a] - pos[a], n[b] - pos[b]) >= threshold * both
+        a, b, both = a[early], b[early], both[early]
+        for y in range(0, len(a), SLICE):
+            p, q = a[y : y + SLICE], b[y : y + SLICE]
+            near = (100 + threshold) * np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) <= (100 - threshold) * both[y : y + SLICE]
+            pairs.append(np.stack([rep[p[near]], rep[q[near]]]))
+    low_first = np.sort(np.concatenate(pairs, axis=1), axis=0) if pairs else np.zeros((2, 0), np.int64)
+    return pa.record_batch([pa.array(y.astype(np.int64)) for y in low_first], ["a", "b"])
+
+
 def similar_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -250,12 +318,8 @@ def _classes(docs: DataFrame, threshold: int) -> DataFrame:
         links = links.union(more)
         found = components(links)
         wide, seed = mixed(found), seed + 1
-    left, right = (wide.select("tok", *(F.col(c).alias(f"{c}{i}") for c in ("gid", "rep", "n", "pos", "c"))) for i in (1, 2))
-    # pairs of one group come from its own bucket alone
-    together = F.col("gid1") == F.col("gid2")
-    pairs = left.join(right, "tok").where((together == (F.col("pos1") < 0)) & (F.col("c1") != F.col("c2")) & (F.struct("n1", "rep1") < F.struct("n2", "rep2")) & fits("n1", "pos1", "n2", "pos2"))
-    rest = pairs.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
-    rest = plausible(base, rest.join(tried, ["a", "b"], "left_anti"), threshold, scratch, "rest")
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = scratch.stage(_within(base, wide, threshold, scratch).join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = verify(docs, rest, threshold, scratch, "last")
         if not more.isEmpty():
