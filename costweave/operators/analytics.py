@@ -83,6 +83,18 @@ def price_distribution(items: DataFrame) -> DataFrame:
     return rows.groupBy("sec_code").agg(F.sum("n").alias("n_prices"), F.min("unit_price").alias("min_price"), F.max("unit_price").alias("max_price"), at(1).alias("p25"), at(3).alias("p75"))
 
 
+def price_statistics(items: DataFrame) -> DataFrame:
+    """``price_distribution`` with mean and median, both with two decimals; the mean's sum is exact in eight decimals."""
+    rows = placed(items.where("unit_price > 0"), ["sec_code"], "unit_price")
+    at = lambda q: _at(F.when(F.col("total") >= 4, F.floor(F.col("total") * q / 4)), "unit_price")
+    low, high = (_at(F.floor((F.col("total") - k) / 2), "unit_price") for k in (1, 0))
+    mean = F.sum(F.col("unit_price").cast("decimal(20,8)") * F.col("n")).cast("double") / F.sum("n")
+    return rows.groupBy("sec_code").agg(
+        F.sum("n").alias("n_prices"), F.min("unit_price").alias("min_price"), F.max("unit_price").alias("max_price"), F.round(mean, 2).alias("mean_price"), F.round((low + high) / 2, 2).alias("median_price"),
+        F.round(at(1), 2).alias("p25"), F.round(at(3), 2).alias("p75"),
+    )
+
+
 def regions(projects: DataFrame) -> DataFrame:
     return projects.select("region").distinct()
 

@@ -70,6 +70,22 @@ def version_diffs(items: DataFrame, files: DataFrame) -> DataFrame:
     return _with_status(old.join(new, ["project_id", "version", "item"], "full_outer"))
 
 
+def version_changes(diffs: DataFrame) -> DataFrame:
+    """Rows of ``version_diffs`` that both versions have, with ``change``, ``price_diff`` and ``quantity_diff`` in percent.
+
+    A price that moved by more than PRICE_CHANGE decides, a quantity only after it. Without a positive value before there
+    is no difference, and one of zero is null; a null value after counts as zero.
+    """
+    def percent(name):
+        old, new = F.col(f"{name}_old"), F.coalesce(F.col(f"{name}_new"), F.lit(0.0))
+        return F.when(old > 0, (new - old) / old * 100)
+
+    price, quantity = percent("price"), percent("quantity")
+    change = F.when(F.abs(price) > PRICE_CHANGE * 100, "price_changed").when(F.abs(quantity) > QUANTITY_CHANGE * 100, "quantity_changed").otherwise("unchanged")
+    both = diffs.where(~F.col("status").isin("added", "removed"))
+    return both.select("project_id", "version", "item", change.alias("change"), F.nullif(price, F.lit(0.0)).alias("price_diff"), F.nullif(quantity, F.lit(0.0)).alias("quantity_diff"))
+
+
 def next_codes(rows: DataFrame, prefix: str, value: str, existing: DataFrame | None = None, width: int = 4) -> DataFrame:
     """(prefix, value, work_code): PREFIX-0001, ... in order of the distinct numeric ``value``; ``width`` digits or more.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costweave.operators import vector_index
@@ -12,6 +12,7 @@ from costweave.session import stage
 
 BOUNDARY_BONUS, MOST = 20, 95  # fixed values: points for a whole word, the highest score
 MOST_CLASSES = 10_000
+NAME, OVERLAP, KEYWORD = 0.5, 0.3, 0.2  # fixed values: points for a contained name, for all of its words, for a contained keyword
 
 
 def by_terms(rows: DataFrame, terms: dict[str, list[str]], k: int, text: str = "description") -> DataFrame:
@@ -83,3 +84,41 @@ def containing(texts: DataFrame, keywords: DataFrame, q: int = 3) -> DataFrame:
     rare = own.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
     anchors = rare.groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     return grams.join(anchors, "gram").select("id", "keyword").join(texts, "id").where(F.contains("text", F.col("keyword"))).select("id", "keyword").distinct()
+
+
+def scored_codes(texts: DataFrame, codes: DataFrame, k: int, excluded: DataFrame | None = None) -> DataFrame:
+    """(id, code, score, place): the k codes of ``codes`` (code, name, keywords) that fit a text of ``texts`` (id, text) best.
+
+    A contained name counts NAME, else the share of its distinct words that the text has counts OVERLAP; every contained
+    keyword adds KEYWORD, one listed twice counts twice. ``excluded`` (keyword, context) takes a keyword back where the
+    text contains the context too. Codes without a point are left out, ties go by code; scores have three decimals.
+
+    Names, keywords and contexts are looked up as tables by ``containing``, once for equal texts. A text's words meet a
+    name's on equal words, with equal names held once; pairs are summed before texts are expanded to their ids. Null
+    ids, texts, codes and names take no part, keywords may be null; rows that share an id and a text are one.
+    """
+    texts = stage(texts.select("id", F.lower("text").alias("text")).where("id is not null and text <> ''").distinct(), "texts")
+    codes = stage(codes.where("code is not null and name is not null").select("code", F.lower("name").alias("name"), F.transform("keywords", F.lower).alias("keywords")), "codes")
+    each = stage(texts.select("text").distinct().withColumn("t", F.monotonically_increasing_id()), "each")
+    asked = each.select(F.col("t").alias("id"), "text")
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    listed = codes.select("code", F.explode("keywords").alias("keyword"))
+    sought = codes.select(F.col("name").alias("keyword")).union(listed.select("keyword"))
+    if excluded is not None:
+        excluded = stage(excluded.select(F.lower("keyword").alias("keyword"), F.lower("context").alias("context")).where("context <> ''").distinct(), "excluded")
+        sought = sought.union(excluded.select("context"))
+    hits = stage(containing(asked, sought.distinct()).withColumnRenamed("id", "t"), "hits")
+    named = hits.join(codes.select(F.col("name").alias("keyword"), "code"), "keyword").select("t", "code", F.lit(NAME).alias("by_name"), F.lit(0).alias("n"))
+    counted = hits
+    if excluded is not None:
+        around = hits.withColumnRenamed("keyword", "context").join(excluded, "context").select("t", "keyword").distinct()
+        counted = hits.join(around, ["t", "keyword"], "left_anti")
+    keyed = counted.join(listed, "keyword").select("t", "code", F.lit(0.0).alias("by_name"), F.lit(1).alias("n"))
+    name_words = codes.select("name").distinct().select("name", F.size(words("name")).alias("of"), F.explode(words("name")).alias("word"))
+    shared = each.select("t", F.explode(words("text")).alias("word")).join(name_words, "word").groupBy("t", "name").agg((F.lit(OVERLAP) * F.count("*") / F.max("of")).alias("by_name"))
+    overlapped = shared.join(codes.select("name", "code"), "name").select("t", "code", "by_name", F.lit(0).alias("n"))
+    # a contained name is worth more than all of its words, so the larger of the two counts
+    points = named.union(keyed).union(overlapped).groupBy("t", "code").agg(F.round(F.max("by_name") + KEYWORD * F.sum("n"), 3).alias("score"))
+    ranked = points.where("score > 0").withColumn("place", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("score"), "code")))
+    best = ranked.where(F.col("place") <= k)
+    return texts.join(each, "text").join(best, "t").select("id", "code", "score", "place")

@@ -1128,3 +1128,35 @@ def template_match(spark, sf_dir):
     lines = F.array_sort(F.collect_list(F.struct("line_number", "description", "unit")))
     sheets = views.line_items(spark, sf_dir).groupBy("file_id").agg(lines.alias("l")).select(F.col("file_id").alias("id"), F.col("l.description").alias("names"), F.col("l.unit").alias("kinds"))
     return profiles.match(sheets, sheets.join(views.files(spark, sf_dir).where("status = 'F'"), F.col("id") == F.col("file_id"), "left_semi"))
+
+
+@query(""", codes AS (SELECT unit || '/' || sec_code AS code, min(lower(description)) AS name, list_distinct(list(split_part(lower(description), ' ', 1))) AS keywords FROM catalogue GROUP BY 1),
+texts AS (SELECT DISTINCT master_id AS id, lower(description || ' ' || unit || ' ' || sec_code) AS text FROM catalogue),
+x AS (SELECT w AS keyword, unnest([w || ' ' || lower(unit), lower(unit) || ' ' || lower(sec_code)]) AS context FROM (SELECT DISTINCT split_part(lower(description), ' ', 1) AS w, unit, sec_code FROM catalogue WHERE sec_code LIKE '%1')),
+n AS (SELECT id, text, code, name, len(list_intersect(list_distinct(string_split(name, ' ')), list_distinct(string_split(text, ' ')))) AS shared, len(list_distinct(string_split(name, ' '))) AS words FROM texts, codes),
+h AS (SELECT id, code, count(*) AS hits FROM texts JOIN (SELECT code, unnest(keywords) AS keyword FROM codes) k ON contains(text, k.keyword)
+  WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.keyword = k.keyword AND contains(text, x.context)) GROUP BY 1, 2),
+s AS (SELECT id, code, round(CASE WHEN contains(text, name) THEN 0.5::DOUBLE ELSE 0.3::DOUBLE * shared / words END + 0.2::DOUBLE * coalesce(hits, 0), 3) AS score FROM n LEFT JOIN h USING (id, code)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, code) AS INTEGER) AS place FROM s WHERE score > 0)
+SELECT id, code, score, place FROM r WHERE place <= 3""")
+def keyword_codes(spark, sf_dir):
+    """The three codes (unit and brand) whose name and keywords fit a catalogue row's text best; some keywords don't count in some company."""
+    rows = views.catalogue(spark, sf_dir)
+    name, first = F.lower("description"), F.split(F.lower("description"), " ")[0]
+    groups = rows.groupBy(F.concat_ws("/", "unit", "sec_code").alias("code")).agg(F.min(name).alias("name"), F.collect_set(first).alias("keywords"))
+    contexts = F.array(F.concat_ws(" ", first, F.lower("unit")), F.concat_ws(" ", F.lower("unit"), F.lower("sec_code")))
+    excluded = rows.where(F.col("sec_code").like("%1")).select(first.alias("keyword"), F.explode(contexts).alias("context"))
+    return rules.scored_codes(rows.select(F.col("master_id").alias("id"), F.concat_ws(" ", "description", "unit", "sec_code").alias("text")), groups, 3, excluded)
+
+
+@query(""", s AS (SELECT sec_code, list_sort(list(unit_price)) AS v, sum(CAST(unit_price AS DECIMAL(20,8))) AS total FROM line_items WHERE unit_price > 0 GROUP BY 1)
+SELECT sec_code, len(v) AS n_prices, v[1] AS min_price, v[len(v)] AS max_price, round(CAST(total AS DOUBLE) / len(v), 2) AS mean_price, round((v[(len(v) + 1) // 2] + v[len(v) // 2 + 1]) / 2, 2) AS median_price,
+  CASE WHEN len(v) >= 4 THEN round(v[len(v) // 4 + 1], 2) END AS p25, CASE WHEN len(v) >= 4 THEN round(v[3 * len(v) // 4 + 1], 2) END AS p75 FROM s""")
+def price_statistics_by_code(spark, sf_dir):
+    return analytics.price_statistics(views.line_items(spark, sf_dir))
+
+
+@query(_DIFFS + """, e AS (SELECT project_id, version, item, CASE WHEN price_old > 0 THEN (coalesce(price_new, 0) - price_old) / price_old * 100 END AS p, CASE WHEN quantity_old > 0 THEN (coalesce(quantity_new, 0) - quantity_old) / quantity_old * 100 END AS q FROM d WHERE status NOT IN ('added', 'removed'))
+SELECT project_id, version, item, CASE WHEN abs(p) > 5 THEN 'price_changed' WHEN abs(q) > 1 THEN 'quantity_changed' ELSE 'unchanged' END AS change, nullif(p, 0) AS price_diff, nullif(q, 0) AS quantity_diff FROM e""")
+def version_changes(spark, sf_dir):
+    return catalogue.version_changes(version_diff_items(spark, sf_dir))

@@ -64,3 +64,27 @@ def test_kinds_of_columns(spark):
     rows = [("1", "1.5", "2024-01-01", None, " "), ("2", "x", "2024-01-02 00:00", None, ""), ("y", "2", "no", None, "z")]
     got = {r.name: (r.kind, r.n_kind, r.n_values) for r in profiles.kinds(spark.createDataFrame(rows, "a string, b string, c string, d string, e string")).collect()}
     assert got == {"a": ("integer", 2, 3), "b": ("integer", 1, 3), "c": ("date", 2, 3), "d": (None, 0, 0), "e": ("empty", 2, 3)}
+
+
+def test_scored_codes_count_names_words_and_keywords(spark):
+    texts = spark.createDataFrame([(1, "Red Steel pipe DN50"), (2, "red steel pipe dn50"), (2, "red steel pipe dn50"), (3, "pipe"), (4, None), (5, ""), (None, "red"), (6, "steelwork")], "id long, text string")
+    codes = spark.createDataFrame([("A", "steel pipe", ["DN50", "dn50"]), ("B", "pipe pipe red tee", None), ("C", "wire", [None, "red"]), ("D", None, ["red"]), (None, "red", []), ("E", "steel", [""])], "code string, name string, keywords array<string>")
+    run = lambda k, excluded=None: {(r.id, r.place): (r.code, r.score) for r in rules.scored_codes(texts, codes, k, excluded).collect()}
+    full = {(1, 1): ("A", 0.9), (1, 2): ("E", 0.5), (1, 3): ("B", 0.2), (1, 4): ("C", 0.2)}
+    full |= {(2, place): v for (_, place), v in full.items()} | {(3, 1): ("A", 0.15), (3, 2): ("B", 0.1), (6, 1): ("E", 0.5)}
+    assert run(9) == full
+    assert run(1) == {k: v for k, v in full.items() if k[1] == 1}
+    context = spark.createDataFrame([("red", "Red Steel"), ("dn50", None), ("dn50", "")], "keyword string, context string")
+    assert run(9, context) == {k: v for k, v in full.items() if v[0] != "C"}
+    assert run(9, context.where("false")) == full
+    assert rules.scored_codes(texts.where("false"), codes, 3).isEmpty() and rules.scored_codes(texts, codes.where("false"), 3).isEmpty()
+
+
+def test_price_statistics_of_few_prices_and_changes_without_a_base(spark):
+    items = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 7.0), ("b", 3.0), ("b", 4.0), ("b", 0.0), (None, 5.0), ("c", None)], "sec_code string, unit_price double")
+    got = {r.sec_code: (r.n_prices, r.mean_price, r.median_price, r.p25, r.p75) for r in analytics.price_statistics(items).collect()}
+    assert got == {"a": (4, 3.0, 2.0, 2.0, 7.0), "b": (2, 3.5, 3.5, None, None), None: (1, 5.0, 5.0, None, None)}
+    rows = [("x", 10.0, 1.0, 10.0, 1.1), ("y", 10.0, 1.0, 11.0, 1.04), ("z", 0.0, None, 5.0, 3.0), ("w", 10.0, 1.0, None, 1.0), ("same", 1.0, 1.0, 1.0, 1.0)]
+    diffs = spark.createDataFrame([(1, 2, *r, "modified") for r in rows] + [(1, 2, "new", None, None, 1.0, 1.0, "added")], "project_id long, version int, item string, quantity_old double, price_old double, quantity_new double, price_new double, status string")
+    found = {r.item: (r.change, r.price_diff and round(r.price_diff, 6), r.quantity_diff) for r in catalogue.version_changes(diffs).collect()}
+    assert found == {"x": ("price_changed", 10.0, None), "y": ("quantity_changed", 4.0, 10.0), "z": ("unchanged", None, None), "w": ("quantity_changed", None, -100.0), "same": ("unchanged", None, None)}
