@@ -103,6 +103,24 @@ def log_stats(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n"), F.count_if(F.get_json_object("props", "$.k").cast("int") > 50).alias("n_large"), F.max("value").alias("max_value"))
 
 
+def log_means(log: DataFrame) -> DataFrame:
+    """Rows of a training log (action, confidence, distance) by action, with means of what is not null; sums are exact in eight decimals."""
+    mean = lambda c, d: F.round(F.sum(F.col(c).cast("decimal(20,8)")).cast("double") / F.count(c), d)
+    return log.groupBy("action").agg(F.count("*").alias("n"), mean("confidence", 3).alias("mean_confidence"), mean("distance", 1).alias("mean_distance"))
+
+
+def counts_by_type(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of each type, rows without one too, and of all types together (``is_total``), from one pass."""
+    return rows.select(F.col(kind).alias("type")).rollup("type").agg((F.grouping("type") == 1).alias("is_total"), F.count("*").alias("n"))
+
+
+def coded_rate(items: DataFrame) -> DataFrame:
+    """One row: items, those coded automatically (method A) and by hand (R), and both in percent of all; 0 without items."""
+    of = lambda m: F.count_if(F.col("method") == m)
+    rows = items.agg(F.count("*").alias("n_items"), of("A").alias("n_auto"), of("R").alias("n_manual"))
+    return rows.withColumn("rate", F.when(F.col("n_items") > 0, F.round(100.0 * (F.col("n_auto") + F.col("n_manual")) / F.col("n_items"), 2)).otherwise(0.0))
+
+
 def frequency_buckets(frequencies: DataFrame) -> DataFrame:
     f = F.col("frequency")
     bucket = F.when(f <= 1, "1").when(f <= 5, "2-5").when(f <= 10, "6-10").when(f <= 50, "11-50").otherwise("50+")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from costweave.functions import text
 
 REFERENCE = r"^[AMLE]\.[A-Z]{2,5}\.[A-Z]{2,4}$"
+# Fixed value: section, category, then a part of letters or a grade, and four digits.
+WORK_CODE = r"^(S\d{2})-([A-Z]+)-(?:([A-Z]+|M\d{2,3})-)?([0-9]{4})$"
 LEGAL = r"^([A-Za-z]{2,3})\.(\d{3,4})([A-Za-z+\-]?)$"
 
 
@@ -65,6 +69,31 @@ def legal_parts(code: str) -> Column:
     return F.when(F.col(code).rlike(LEGAL), F.struct(F.upper(part(1)).alias("prefix"), part(2).alias("number"), F.nullif(F.lower(part(3)), F.lit("")).alias("suffix")))
 
 
+def work_code_parts(code: str) -> Column:
+    """(section, category, part, grade, sequence) of S01-CAT-0001, S01-CAT-SUB-0001 or S01-CAT-M250-0001, null for anything else.
+
+    ``part`` is null for a grade, ``grade`` for a part; both are where a code has neither.
+    """
+    at = lambda k: F.nullif(F.regexp_extract(code, WORK_CODE, k), F.lit(""))
+    graded = at(3).rlike(r"\d")
+    parts = F.struct(at(1).alias("section"), at(2).alias("category"), F.when(~graded, at(3)).alias("part"), F.when(graded, at(3)).alias("grade"), at(4).cast("int").alias("sequence"))
+    return F.when(F.col(code).rlike(WORK_CODE), parts)
+
+
+def work_category(column: str, indicators: dict[str, list[str]], keywords: dict[str, list[str]], otherwise: str = "GENERAL") -> Column:
+    """The first category of ``indicators`` that a text contains one of; else the one of ``keywords`` with the most contained words.
+
+    Ties go by the order given; a text without any, and a null one, is ``otherwise``. Both tables are configuration of a
+    few words, so they become one expression.
+    """
+    holds = lambda w: F.contains(F.lower(column), F.lit(w))
+    sure = [F.when(reduce(or_, map(holds, words)), F.lit(name)) for name, words in indicators.items() if words]
+    counts = {name: sum((holds(w).cast("int") for w in words), F.lit(0)) for name, words in keywords.items()}
+    ranked = F.array(*(F.struct(n.alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, n) in enumerate(counts.items())))
+    most = F.when(F.array_max(ranked)["n"] > 0, F.array_max(ranked)["name"]) if counts else F.lit(None).cast("string")
+    return F.coalesce(*sure, most, F.lit(otherwise))
+
+
 def class_parts(code: str) -> Column:
     """(entity, system, element, product, level, path) of a code of two to four parts joined by _, null for anything else."""
     parts = F.split(code, "_")

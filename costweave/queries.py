@@ -1160,3 +1160,47 @@ def price_statistics_by_code(spark, sf_dir):
 SELECT project_id, version, item, CASE WHEN abs(p) > 5 THEN 'price_changed' WHEN abs(q) > 1 THEN 'quantity_changed' ELSE 'unchanged' END AS change, nullif(p, 0) AS price_diff, nullif(q, 0) AS quantity_diff FROM e""")
 def version_changes(spark, sf_dir):
     return catalogue.version_changes(version_diff_items(spark, sf_dir))
+
+
+@query("""SELECT event_type AS action, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(20,8))) AS DOUBLE) / count(value), 3) AS mean_confidence,
+  round(CAST(sum(k) FILTER (WHERE k > 50) AS DOUBLE) / count(*) FILTER (WHERE k > 50), 1) AS mean_distance FROM (SELECT event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY 1""")
+def training_log_means(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return analytics.log_means(table(spark, sf_dir, "events").select(F.col("event_type").alias("action"), F.col("value").alias("confidence"), F.when(k > 50, k).alias("distance")))
+
+
+@query("SELECT unit AS type, grouping(unit) = 1 AS is_total, count(*) AS n FROM (SELECT DISTINCT description || ' type' AS synonym, unit FROM catalogue) GROUP BY ROLLUP (unit)")
+def synonym_counts(spark, sf_dir):
+    return analytics.counts_by_type(views.catalogue(spark, sf_dir).select(F.concat("description", F.lit(" type")).alias("synonym"), "unit").distinct(), "unit")
+
+
+@query("SELECT *, round(100.0::DOUBLE * (n_auto + n_manual) / n_items, 2) AS rate FROM (SELECT count(*) AS n_items, count(*) FILTER (WHERE method = 'A') AS n_auto, count(*) FILTER (WHERE method = 'R') AS n_manual FROM facts)")
+def coded_rate(spark, sf_dir):
+    return analytics.coded_rate(views.facts(spark, sf_dir))
+
+
+@query(""", c AS (SELECT master_id, 'S' || lpad(replace(sec_code, 'Brand#', ''), 2, '0') || '-' || upper(split_part(description, ' ', 2)) || CASE master_id % 4 WHEN 0 THEN '-' || unit WHEN 1 THEN '-M' || CAST(100 + master_id % 300 AS VARCHAR) WHEN 2 THEN '' ELSE '-m' END
+  || '-' || lpad(CAST(master_id % 10000 AS VARCHAR), 4, '0') AS work_code FROM catalogue),
+p AS (SELECT master_id, work_code, string_split(work_code, '-') AS x, regexp_full_match(work_code, 'S[0-9]{2}-[A-Z]+-(([A-Z]+|M[0-9]{2,3})-)?[0-9]{4}') AS valid FROM c)
+SELECT master_id, work_code, valid, CASE WHEN valid THEN x[1] END AS section, CASE WHEN valid THEN x[2] END AS category, CASE WHEN valid AND len(x) = 4 AND NOT regexp_matches(x[3], '[0-9]') THEN x[3] END AS part,
+  CASE WHEN valid AND len(x) = 4 AND regexp_matches(x[3], '[0-9]') THEN x[3] END AS grade, CASE WHEN valid THEN CAST(x[len(x)] AS INTEGER) END AS sequence FROM p""")
+def work_code_parts(spark, sf_dir):
+    """Work codes made of a catalogue row's brand, word, unit or grade and number; those with a small letter are none."""
+    i = F.col("master_id")
+    middle = F.when(i % 4 == 0, F.concat(F.lit("-"), "unit")).when(i % 4 == 1, F.concat(F.lit("-M"), (100 + i % 300).cast("string"))).when(i % 4 == 2, F.lit("")).otherwise(F.lit("-m"))
+    head = F.concat(F.lit("S"), F.lpad(F.replace("sec_code", F.lit("Brand#"), F.lit("")), 2, "0"), F.lit("-"), F.upper(F.split("description", " ")[1]))
+    rows = views.catalogue(spark, sf_dir).select("master_id", F.concat(head, middle, F.lit("-"), F.lpad((i % 10000).cast("string"), 4, "0")).alias("work_code"))
+    return rows.withColumn("parts", codes.work_code_parts("work_code")).select("master_id", "work_code", F.col("parts").isNotNull().alias("valid"), "parts.*")
+
+
+_SURE = {"pipework": ["pipe", "valve"], "fixings": ["bolt economy", "nut economy"]}
+_LIKELY = {"finishing": ["red", "blue", "green"], "fixings": ["bolt", "nut", "screw", "rod"], "plant": ["large", "widget", "gear"]}
+
+
+@query(", t AS (SELECT master_id, lower(description || ' ' || unit) AS x FROM catalogue), n AS (SELECT master_id, x, "
+       + ", ".join(" + ".join(f"CAST(contains(x, '{w}') AS INTEGER)" for w in words) + f" AS {name}" for name, words in _LIKELY.items())
+       + " FROM t) SELECT master_id, CASE " + " ".join(f"WHEN {' OR '.join(f"contains(x, '{w}')" for w in words)} THEN '{name}'" for name, words in _SURE.items())
+       + " WHEN greatest(finishing, fixings, plant) = 0 THEN 'GENERAL' " + " ".join(f"WHEN {name} = greatest(finishing, fixings, plant) THEN '{name}'" for name in _LIKELY) + " END AS category FROM n")
+def work_categories(spark, sf_dir):
+    rows = views.catalogue(spark, sf_dir).withColumn("text", F.concat_ws(" ", "description", "unit"))
+    return rows.select("master_id", codes.work_category("text", _SURE, _LIKELY).alias("category"))

@@ -3,7 +3,7 @@
 import random
 import tempfile
 
-from costweave.operators import analytics, build, cascade, catalogue, gate, hierarchy, profiles, rules
+from costweave.operators import analytics, build, cascade, catalogue, codes, gate, hierarchy, profiles, rules
 
 
 def test_no_null_or_empty_word_speaks_for_its_cluster(spark):
@@ -88,3 +88,24 @@ def test_price_statistics_of_few_prices_and_changes_without_a_base(spark):
     diffs = spark.createDataFrame([(1, 2, *r, "modified") for r in rows] + [(1, 2, "new", None, None, 1.0, 1.0, "added")], "project_id long, version int, item string, quantity_old double, price_old double, quantity_new double, price_new double, status string")
     found = {r.item: (r.change, r.price_diff and round(r.price_diff, 6), r.quantity_diff) for r in catalogue.version_changes(diffs).collect()}
     assert found == {"x": ("price_changed", 10.0, None), "y": ("quantity_changed", 4.0, 10.0), "z": ("unchanged", None, None), "w": ("quantity_changed", None, -100.0), "same": ("unchanged", None, None)}
+
+
+def test_work_codes_and_categories_of_odd_texts(spark):
+    rows = spark.createDataFrame([("S01-CONC-M250-0007",), ("S01-CONC-SUB-0007",), ("S12-X-9999",), ("S1-X-0001",), ("S01-X-00001",), ("S01-X-M2-0001",), ("",), (None,)], "c string")
+    parts = {r.c: r.p and tuple(r.p) for r in rows.select("c", codes.work_code_parts("c").alias("p")).collect()}
+    good = {"S01-CONC-M250-0007": ("S01", "CONC", None, "M250", 7), "S01-CONC-SUB-0007": ("S01", "CONC", "SUB", None, 7), "S12-X-9999": ("S12", "X", None, None, 9999)}
+    assert parts == {c: good.get(c) for c in parts}
+    texts = spark.createDataFrame([("Paint tree",), ("paint and PLASTER a wall",), ("wall beam",), ("other",), ("",), (None,)], "t string")
+    of = lambda *rules: [r.c for r in texts.select(codes.work_category("t", *rules).alias("c")).collect()]
+    assert of({"green": ["tree"], "none": []}, {"structure": ["beam", "slab"], "finish": ["paint", "plaster", "wall"]}) == ["green", "finish", "structure", "GENERAL", "GENERAL", "GENERAL"]
+    assert of({}, {}, "any") == ["any"] * 6
+
+
+def test_means_totals_and_rates_of_few_rows(spark):
+    log = spark.createDataFrame([("a", 0.5, None), ("a", None, 3), ("a", 0.25, 4), (None, None, None)], "action string, confidence double, distance int")
+    assert {tuple(r) for r in analytics.log_means(log).collect()} == {("a", 3, 0.375, 3.5), (None, 1, None, None)}
+    kinds = spark.createDataFrame([("x",), ("x",), (None,)], "kind string")
+    assert {tuple(r) for r in analytics.counts_by_type(kinds, "kind").collect()} == {("x", False, 2), (None, False, 1), (None, True, 3)}
+    items = spark.createDataFrame([("A",), ("R",), ("N",), (None,), ("A",), ("N",)], "method string")
+    assert [tuple(r) for r in analytics.coded_rate(items).collect()] == [(6, 2, 1, 50.0)]
+    assert [tuple(r) for r in analytics.coded_rate(items.where("false")).collect()] == [(0, 0, 0, 0.0)]
