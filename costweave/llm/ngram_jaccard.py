@@ -169,7 +169,8 @@ def _within(base: DataFrame, wide: DataFrame, threshold: int, scratch: Scratch)
 
     A bucket of ``wide`` (tok, gid, rep, n, pos, c) is dealt into chunks of about CHUNK classes by hash, and every two of
     its chunks meet in a block. A class travels once a chunk, not once a partner, and only pairs that its block leaves
-    become rows.
+    become rows. The comparisons inside the blocks are still as many as the bucket's pairs in different components, so
+    their number, and a CHUNK-th of it in rows sent, grows with the square of a bucket that the rounds leave apart.
     """
     chunks = wide.groupBy("tok").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     nodes = scratch.stage(wide.select(F.col("rep").alias("doc_id")).distinct(), "nodes")
