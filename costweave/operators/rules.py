@@ -21,15 +21,22 @@ def by_terms(rows: DataFrame, terms: dict[str, list[str]], k: int, text: str = "
     A contained term scores its share of the text in percent and BOUNDARY_BONUS more as a whole word; a code's score is
     the mean over its contained terms, MOST at most. Rules are configuration, so they become expressions, not a join.
     """
-    t = F.lower(F.col(text))
-    each = []
-    for order, (code, words) in enumerate(terms.items()):
-        hits = [F.when(F.contains(t, F.lit(w)), len(w) * 100.0 / F.greatest(F.length(t), F.lit(1)) + F.when(t.rlike(rf"(?<!\w)\Q{w}\E(?!\w)"), BOUNDARY_BONUS).otherwise(0)) for w in words]
-        found = F.array_compact(F.array(*hits))
-        mean = F.aggregate(found, F.lit(0.0), lambda a, x: a + x) / F.when(F.size(found) > 0, F.size(found))
-        each.append(F.when(mean.isNotNull(), F.struct(F.round(F.least(mean, F.lit(float(MOST))), 6).alias("score"), F.lit(-order).alias("order"), F.lit(code).alias("code"))))
+    t = F.col("_t")
+    rows = rows.withColumn("_t", F.lower(F.col(text)))
+    points, means = {}, {}
+    for i, words in enumerate(terms.values()):
+        for j, w in enumerate(words):
+            whole = F.when(t.rlike(rf"(?<!\w)\Q{w}\E(?!\w)"), BOUNDARY_BONUS).otherwise(0)
+            points[f"_p{i}_{j}"] = F.when(F.contains(t, F.lit(w)), len(w) * 100.0 / F.greatest(F.length(t), F.lit(1)) + whole)
+        own = [f"_p{i}_{j}" for j in range(len(words))]
+        n = sum((F.col(p).isNotNull().cast("int") for p in own), F.lit(0))
+        means[f"_m{i}"] = sum((F.coalesce(p, F.lit(0.0)) for p in own), F.lit(0.0)) / F.when(n > 0, n)
+    # in columns of their own, so that each point and mean is computed once
+    rows = rows.withColumns(points).withColumns(means)
+    each = (F.when(F.col(f"_m{i}").isNotNull(), F.struct(F.round(F.least(f"_m{i}", F.lit(float(MOST))), 6).alias("score"), F.lit(-i).alias("order"), F.lit(code).alias("code"))) for i, code in enumerate(terms))
     ranked = F.slice(F.sort_array(F.array_compact(F.array(*each)), asc=False), 1, k)
-    return rows.withColumn("classes", F.transform(ranked, lambda c: F.struct(c["score"].alias("score"), c["code"].alias("code"))))
+    rows = rows.withColumn("_ranked", ranked).withColumn("classes", F.transform("_ranked", lambda c: F.struct(c["score"].alias("score"), c["code"].alias("code"))))
+    return rows.drop("_t", "_ranked", *points, *means)
 
 
 def by_class_mean(vectors: DataFrame, k: int) -> DataFrame:
