@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costweave.operators import analytics
@@ -43,9 +43,13 @@ def versions(files: DataFrame) -> DataFrame:
 
 
 def _last_lines(items: DataFrame, numbered: DataFrame) -> DataFrame:
-    """The last line of every item, by lower-cased trimmed description, in a version."""
-    rows = items.join(numbered, "file_id").withColumn("item", F.lower(F.trim("description"))).where("item <> ''")
-    return first_of(rows, ["project_id", "version", "item"], [F.desc("line_number"), F.desc("master_id"), F.desc("amount")])
+    """The last line of every item, by lower-cased trimmed description, in a version.
+
+    A version is one file, so lines that have met their file are ranked where they are.
+    """
+    rows = items.select("file_id", "line_number", "master_id", "description", "quantity", "unit_price", "amount").join(numbered, "file_id")
+    rows = rows.withColumn("item", F.lower(F.trim("description"))).drop("description").where("item <> ''")
+    return first_of(rows, ["file_id", "project_id", "version", "item"], [F.desc("line_number"), F.desc("master_id"), F.desc("amount")])
 
 
 def _with_status(pairs: DataFrame) -> DataFrame:
@@ -60,14 +64,28 @@ def version_diffs(items: DataFrame, files: DataFrame) -> DataFrame:
     """Items of every version from a project's second one on against the version before it; last line wins.
 
     A version without any line has all items of the one before it removed; nothing follows a project's newest version.
+    An item's versions in a project stand in order once: each is compared with the one before it, and is removed from
+    the next version where that lacks it. Files without a project have no version before or after.
     """
-    numbered = versions(files).select("file_id", "project_id", "version")
-    last = _last_lines(items, numbered)
-    newest = numbered.groupBy("project_id").agg(F.max("version").alias("newest"))
-    old = last.join(newest, "project_id").where("version < newest").withColumn("version", F.col("version") + 1)
-    new = last.where("version > 1")
-    old, new = (x.select("project_id", "version", "item", F.col("quantity").alias(f"quantity_{n}"), F.col("unit_price").alias(f"price_{n}"), F.lit(True).alias(f"here_{n}")) for x, n in ((old, "old"), (new, "new")))
-    return _with_status(old.join(new, ["project_id", "version", "item"], "full_outer"))
+    numbered = versions(files).select("file_id", "project_id", "version", F.count("*").over(Window.partitionBy("project_id")).alias("newest"))
+    order = Window.partitionBy("project_id", "item").orderBy("version")
+    before, after = F.lag(F.struct("version", "quantity", "unit_price")).over(order), F.lead("version").over(order)
+    last = _last_lines(items, numbered).select("project_id", "item", "version", "newest", "quantity", "unit_price").withColumns({"before": before, "after": after})
+    known = F.col("project_id").isNotNull()
+    old = F.when(known & (F.col("before.version") == F.col("version") - 1), F.col("before"))
+    none = F.lit(None)
+
+    def row(version: Column, old: tuple, new: tuple) -> Column:
+        values = dict(zip(("quantity_old", "price_old", "here_old", "quantity_new", "price_new", "here_new"), (*old, *new), strict=True))
+        return F.struct(version.alias("version"), *(v.cast("boolean" if k.startswith("here") else "double").alias(k) for k, v in values.items()))
+
+    own = (F.col("quantity"), F.col("unit_price"), F.lit(True))
+    here = row(F.col("version"), (old["quantity"], old["unit_price"], F.when(old.isNotNull(), True)), own)
+    gone = row(F.col("version") + 1, own, (none, none, none))
+    left = known & (F.col("version") < F.col("newest")) & ~F.col("after").eqNullSafe(F.col("version") + 1)
+    rows = F.array_compact(F.array(F.when(F.col("version") > 1, here), F.when(left, gone)))
+    pairs = last.select("project_id", "item", F.explode(rows).alias("r"))
+    return _with_status(pairs.select("project_id", "r.version", "item", *(f"r.{c}_{n}" for n in ("old", "new") for c in ("quantity", "price", "here"))))
 
 
 def version_changes(diffs: DataFrame) -> DataFrame:
