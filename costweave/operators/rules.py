@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from costweave.operators import vector_index
-from costweave.session import stage
+from costweave.session import spread, stage
 
 BOUNDARY_BONUS, MOST = 20, 95  # fixed values: points for a whole word, the highest score
 MOST_CLASSES = 10_000
+#: Up to so many grams of keywords are held in tasks and drop a text's others there, more by a join; grams handed on at once.
+MOST_GRAMS, HELD = 100_000, 200_000
 NAME, OVERLAP, KEYWORD = 0.5, 0.3, 0.2  # fixed values: points for a contained name, for all of its words, for a contained keyword
 
 
@@ -78,15 +83,31 @@ def containing(texts: DataFrame, keywords: DataFrame, q: int = 3) -> DataFrame:
     """
     texts = texts.select("id", F.lower("text").alias("text")).where("id is not null and text <> ''")
     keys = stage(keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct(), "keywords")
-    # by way of the array of characters: cutting at a place of a long text has to walk there
-    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    pieces = lambda c, n: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + j) for j in range(n))))
+
+    def cut(rows: DataFrame, key: str, sizes: Callable[[str], list[int]], wanted: set[str] | None = None) -> DataFrame:
+        """(key, gram): the distinct grams of every ``text`` in the sizes for it."""
+
+        def grams(frames):
+            for f in frames:
+                names, found, held = [], [], 0
+                for i, (name, x) in enumerate(zip(f[key], f["text"], strict=True)):
+                    own = {x[k : k + n] for n in sizes(x) for k in range(len(x) - n + 1)}
+                    own = own if wanted is None else own & wanted
+                    names.append(pd.Series([name] * len(own), dtype=f[key].dtype))
+                    found.extend(own)
+                    held += len(own)
+                    if held >= HELD or i == len(f) - 1:
+                        yield pd.DataFrame({key: pd.concat(names, ignore_index=True), "gram": pd.Series(found, dtype=object)})
+                        names, found, held = [], [], 0
+
+        return rows.select(key, "text").mapInPandas(grams, StructType([rows.schema[key], StructField("gram", StringType())]))
+
+    own = stage(cut(keys.withColumn("text", F.col("keyword")), "keyword", lambda x: [min(q, len(x))]), "own")
     # the few lengths of grams that there are: q, and those of shorter keywords
-    sizes = sorted(r[0] for r in keys.select(F.least(F.length("keyword"), F.lit(q))).distinct().collect())
-    none = F.array().cast("array<string>")
-    own = keys.withColumn("c", letters("keyword")).select("keyword", F.explode(F.when(F.size("c") >= q, pieces(F.col("c"), q)).otherwise(F.array("keyword"))).alias("gram")).distinct()
-    every = [F.when(F.size("c") >= n, pieces(F.col("c"), n)).otherwise(none) for n in sizes]
-    grams = texts.withColumn("c", letters("text")).select("id", F.explode(F.array_distinct(F.concat(*every) if every else none)).alias("gram"))
+    sizes = sorted(r[0] for r in own.select(F.length("gram")).distinct().collect())
+    some = own.select("gram").distinct().limit(MOST_GRAMS + 1).collect()
+    wanted = {r.gram for r in some} if len(some) <= MOST_GRAMS else None
+    grams = cut(spread(texts), "id", lambda x: sizes, wanted)
     grams = stage(grams.join(own.select("gram").distinct(), "gram", "left_semi"), "grams")
     rare = own.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
     anchors = rare.groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
