@@ -38,14 +38,15 @@ ORDERED = 200_000
 LOCAL_LEAST, TOTAL_LEAST = 2, 16
 #: Partners that meet one hub in a task.
 SALT = 512
-#: Bits of the parity sketch of a set: every shingle flips one, so two sketches differ in at most as many bits as the
-#: sets differ in shingles, and a pair whose sketches differ too much can't reach the threshold.
-SKETCH = 2048
+#: Least bits per shingle of the parity sketch of a set: every shingle flips one, so two sketches differ in at most as many
+#: bits as the sets differ in shingles, and a pair whose sketches differ too much can't reach the threshold. A sketch of
+#: fixed size fills up: at 2,048 bits it says nothing of sets of over 4,600 shingles, which are the largest texts.
+SKETCH = 1
 #: Rounds of random partners go on while buckets hold over FEW pairs a row and a round merges over one in GAIN of the
 #: components that meet in buckets; whatever they leave apart then meets in blocks. This changes the work only.
 FEW, GAIN = 4, 20
-#: Classes of a bucket that are one side of a block, and pairs whose sketches are compared at once.
-CHUNK, SLICE = 1024, 4096
+#: Classes of a bucket that are one side of a block, and words of 64 bits of sketches that are compared at once.
+CHUNK, SLICE = 1024, 1 << 17
 #: Up to so many requests of 24 bytes are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -73,6 +74,45 @@ def required(n: int, threshold: int = THRESHOLD) -> int:
     return -(-threshold * n // 100)
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of a set of n: a power of two, SKETCH times n or more."""
+    return max(64, 1 << (SKETCH * n - 1).bit_length())
+
+
+class Sketches:
+    """The sketches of a column's rows; of two the wider one is folded onto the other's bits, as parities add up."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        column = column.cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        words = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint64) if at[-1] > at[0] else np.zeros(0, np.uint64)
+        self.words, first = np.diff(at) // 8, (at[:-1] - at[0]) // 8
+        self.table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        width, wider = int(self.words.max(initial=0)), None
+        while width:
+            rows = np.flatnonzero(self.words >= width)
+            place = np.zeros(len(self.words), np.int64)
+            place[rows] = np.arange(len(rows))
+            table, own = np.empty((len(rows), width), np.uint64), self.words[rows] == width
+            table[own] = words[first[rows[own]][:, None] + np.arange(width)]
+            if wider is not None:
+                table[~own] = wider[:, :width] ^ wider[:, width:]
+            self.table[width], wider, width = (table, place), table, width // 2
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of the rows a and b differ."""
+        out, common = np.empty(len(a), np.int64), np.minimum(self.words[a], self.words[b])
+        for width in np.unique(common).tolist():
+            (table, place), pairs = self.table[width], np.flatnonzero(common == width)
+            step = max(1, SLICE // width)
+            for x in (pairs[i : i + step] for i in range(0, len(pairs), step)):
+                out[x] = np.bitwise_count(table[place[a[x]]] ^ table[place[b[x]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _base(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     """A row per document: size and signature of its set, its prefix and the prefix's signature."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
@@ -90,7 +130,8 @@ def _base(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
                     if seen.any():
                         own = own[np.lexsort((own, np.where(seen, rank[where] + 1, 0)))]
                 head = own[: len(own) - required(len(own), threshold) + 1] if len(own) else own
-                bits = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+                width = sketch_bits(len(own))
+                bits = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
                 sketch.append(np.packbits(bits.astype(np.uint8)).tobytes())
                 n.append(len(own))
                 s1.append(mix(own, 1).sum(dtype=np.uint64))
@@ -121,8 +162,8 @@ def plausible(base: DataFrame, pairs: DataFrame, threshold: int, scratch: Scratc
     def test(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("s_a", "s_b"))
-            apart = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
+            row = np.arange(batch.num_rows)
+            apart = Sketches(pa.chunked_array([batch.column("s_a"), batch.column("s_b")])).apart(row, row + batch.num_rows)
             # 100 i >= t u with i = (na + nb - d) / 2 and u = (na + nb + d) / 2
             yield batch.select(["a", "b"]).filter(pa.array((100 + threshold) * apart <= (100 - threshold) * (na + nb)))
 
@@ -207,7 +248,7 @@ def _meet(rows: pa.Table, keys: list[str], threshold: int) -> pa.RecordBatch:
     """Pairs of whole blocks: every row with the one s places behind it, for each s that a block still has."""
     at = _starts(rows, keys)
     i, j, own, gid, rep, n, pos, c = (rows.column(x).to_numpy() for x in ("i", "j", "own", "gid", "rep", "n", "pos", "c"))
-    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+    sketch = Sketches(rows.column("sketch"))
     behind = np.repeat(np.append(at[1:], len(rep)), np.diff(np.append(at, len(rep)))) - np.arange(len(rep)) - 1
     x, s, pairs = np.arange(len(rep)), 0, []
     while True:
@@ -222,10 +263,8 @@ def _meet(rows: pa.Table, keys: list[str], threshold: int) -> pa.RecordBatch:
         both = n[a] + n[b]
         early = (100 + threshold) * np.minimum(n[a] - pos[a], n[b] - pos[b]) >= threshold * both
         a, b, both = a[early], b[early], both[early]
-        for y in range(0, len(a), SLICE):
-            p, q = a[y : y + SLICE], b[y : y + SLICE]
-            near = (100 + threshold) * np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) <= (100 - threshold) * both[y : y + SLICE]
-            pairs.append(np.stack([rep[p[near]], rep[q[near]]]))
+        near = (100 + threshold) * sketch.apart(a, b) <= (100 - threshold) * both
+        pairs.append(np.stack([rep[a[near]], rep[b[near]]]))
     low_first = np.sort(np.concatenate(pairs, axis=1), axis=0) if pairs else np.zeros((2, 0), np.int64)
     return pa.record_batch([pa.array(y.astype(np.int64)) for y in low_first], ["a", "b"])
 
@@ -281,9 +320,13 @@ def _classes(docs: DataFrame, threshold: int) -> DataFrame:
     in_run, in_band = Window.partitionBy("tok", "run").orderBy("n", "gid"), Window.partitionBy("tok", "run", "band").orderBy("pos", "n", "gid")
     # the smaller set of a linked pair has a shared shingle at least this early
     early = F.col("n") - F.col("pos") >= overlap(F.col("n"), F.col("n"))
-    some = F.max(early).over(Window.partitionBy("tok", "run"))
-    shared = runs.select("tok", "run", "gid", "n", "pos", some.alias("some"), *(f(c).over(w).alias(f"{x}_{c}") for x, f, w in (("prev", F.lag, in_run), ("hub", F.first, in_band)) for c in ("gid", "n", "pos"))).where("some")
-    shared = scratch.stage(shared.withColumn("tok", F.xxhash64("tok", "run")).drop("run", "some"), "shared")
+    whole = Window.partitionBy("tok", "run")
+    some = F.max(early).over(whole)
+    # buckets of the same groups, as the shingles of a shared passage make, are one bucket from here on; if two different
+    # ones had the same hash, the groups of both would meet
+    same_groups = F.xxhash64(F.bit_xor(F.xxhash64("gid")).over(whole), F.count("*").over(whole))
+    shared = runs.select(same_groups.alias("bucket"), "gid", "n", "pos", some.alias("some"), *(f(c).over(w).alias(f"{x}_{c}") for x, f, w in (("prev", F.lag, in_run), ("hub", F.first, in_band)) for c in ("gid", "n", "pos"))).where("some")
+    shared = scratch.stage(shared.withColumnRenamed("bucket", "tok").drop("some"), "shared")
 
     near = [shared.where(F.col(f"{x}_gid").isNotNull() & (F.col(f"{x}_gid") != F.col("gid")) & fits(f"{x}_n", f"{x}_pos", "n", "pos")).select(F.col(f"{x}_gid").alias("a"), F.col("gid").alias("b")) for x in ("prev", "hub")]
     inside = members.where("size > 1 and gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
@@ -292,7 +335,8 @@ def _classes(docs: DataFrame, threshold: int) -> DataFrame:
     found = components(links)
 
     # what is left: classes of one bucket in different components; rounds of few pairs merge most of them first
-    met = shared.select("tok", "gid", "n", "pos").join(members.select("gid", "rep"), "gid").select("tok", "gid", "rep", "n", "pos")
+    met = shared.groupBy("tok", "gid", "n").agg(F.min("pos").alias("pos"))
+    met = met.join(members.select("gid", "rep"), "gid").select("tok", "gid", "rep", "n", "pos")
     # classes of one group share their whole prefix, whether or not another group has any of it: a bucket of their own
     own = members.where("size > 1").select(F.xxhash64("gid", F.lit("group")).alias("tok"), "gid", "rep", "n", F.lit(-1).alias("pos"))
     slots = scratch.stage(met.union(own), "slots")
