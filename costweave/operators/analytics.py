@@ -55,13 +55,15 @@ def project_summary(projects: DataFrame, files: DataFrame, items: DataFrame) ->
 def placed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """A row per distinct value of every group: its count ``n``, the rows ``before`` it in order and the group's ``total``.
 
-    Values are counted first, then cut into buckets at approximate quantiles (which change the work only) and ranked in
-    their bucket from where it starts, so that no group is held or sorted in one task.
+    Values are counted first, then cut into buckets at approximate quantiles and ranked in their bucket from where it
+    starts, so that no group is held or sorted in one task. Any quantiles do, but only if starts and ranks see the same:
+    they differ with the order in which a cluster merges its sketches, so they are worked out once.
     """
     counts = stage(rows.groupBy(*keys, value).agg(F.count("*").alias("n")), "counts")
     same = lambda c: F.lit(True) if not keys else reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"{c}_{k}")) for k in keys))
     renamed = lambda c: [F.col(k).alias(f"{c}_{k}") for k in keys]
-    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("edges")).select(*renamed("e"), "edges")
+    quantiles = F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000)
+    edges = stage(counts.groupBy(*keys).agg(F.array_distinct(quantiles).alias("edges")).select(*renamed("e"), "edges"), "edges")
     dealt = counts.join(edges, same("e")).select(*keys, value, "n", F.size(F.filter("edges", lambda e: e < F.col(value))).alias("bucket"))
     sums = dealt.groupBy(*keys, "bucket").agg(F.sum("n").alias("held"))
     group = Window.partitionBy(*keys)
